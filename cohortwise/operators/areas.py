@@ -201,14 +201,20 @@ def attach_areas(df: DataFrame, lookup: DataFrame, key: str = "lsoa_derived") ->
 
 
 def assert_unique_lookup(lookup: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """The lookup itself, failing at run time if a key has more than one row."""
+    """The lookup itself, failing at run time if a key has more than one row.
+
+    Rows are combined per key before the shuffle, so a key with very many rows
+    fails without being gathered.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    rows = F.count("*").over(Window.partitionBy(*keys))
+    others = [c for c in lookup.columns if c not in keys]
     message = F.lit(f"lookup has several rows for one value of {', '.join(keys)}")
+    unique = F.when(F.col("_rows") == 1, True).otherwise(F.raise_error(message).cast("boolean"))
     return (
-        lookup.withColumn("_rows", rows)
-        .filter(F.when(F.col("_rows") > 1, F.raise_error(message).cast("boolean")).otherwise(True))
-        .drop("_rows")
+        lookup.groupBy(*keys)
+        .agg(F.count("*").alias("_rows"), *[F.first(c).alias(c) for c in others])
+        .filter(unique)
+        .select(*lookup.columns)
     )
 
 

@@ -29,8 +29,8 @@ from cohortwise.functions.dates import DAYS_PER_YEAR, days_to_age, month_of, mon
 BANDS: dict[str, BandScheme] = {"age_group": GROUP_BANDS, "age_group_esp": STANDARD_BANDS}
 
 
-def _int_array(values: Sequence[int]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def _literal_array(values: Sequence[int | str]) -> Column:
+    return F.expr(f"array({', '.join(map(repr, values))})")
 
 
 class _Segments:
@@ -51,17 +51,16 @@ class _Segments:
         oldest = self.lower[-1]
         by_year = [bisect_right(self.lower, year) - 1 for year in range(oldest + 1)]
         years = F.floor(age_days / F.lit(DAYS_PER_YEAR)).cast("int")
-        return F.element_at(_int_array(by_year), F.least(years, F.lit(oldest)) + 1)
+        return F.element_at(_literal_array(by_year), F.least(years, F.lit(oldest)) + 1)
 
     def first_month(self, index: Column, born: Column) -> Column:
         """Month at whose end the stretch has been reached."""
-        days = _int_array([days_to_age(a) for a in self.lower])
+        days = _literal_array([days_to_age(a) for a in self.lower])
         return month_of(F.date_add(born, F.element_at(days, index + 1)))
 
     def label(self, cell: Column, name: str) -> Column:
         position = list(self.bands).index(name)
-        labels = F.array(*[F.lit(c[position]) for c in self.cells])
-        return F.element_at(labels, cell + 1)
+        return F.element_at(_literal_array([c[position] for c in self.cells]), cell + 1)
 
 
 def _spans(df: DataFrame, run: RunConfig, segments: _Segments, keep: Sequence[str]) -> DataFrame:
@@ -144,7 +143,11 @@ def _changes(spans: DataFrame, run: RunConfig, keep: Sequence[str]) -> DataFrame
 
 
 def _per_exposure(df: DataFrame, pairs: Sequence[tuple[str, str, tuple[str, ...]]]) -> DataFrame:
-    """Repeat each row for every (call and exposure, areas) with its values."""
+    """Repeat each row for every (cell number, exposure, areas) with its values.
+
+    ``cell`` holds the number as text: it is part of the aggregation key, and
+    short keys keep the hash map and the shuffle small.
+    """
     width = max(len(areas) for _, _, areas in pairs)
     names = ["group", *[f"area_{i}" for i in range(width)]]
     # UNPIVOT takes columns only, so short area lists are padded with a null one.
@@ -180,11 +183,8 @@ def count_cells(
     first, last = run.month_range
     late = {e: a for e, a in exposure_min_age.items() if a > run.min_age}
     segments = _Segments(bands, run.min_age, list(late.values()))
-    pairs = [
-        (f"{call}|{exposure}", exposure, tuple(areas))
-        for call, exposures, areas in specs
-        for exposure in exposures
-    ]
+    calls = [(call, e, tuple(areas)) for call, exposures, areas in specs for e in exposures]
+    pairs = [(str(number), e, areas) for number, (_, e, areas) in enumerate(calls)]
     used = list(dict.fromkeys(c for _, e, areas in pairs for c in (e, *areas)))
     text = df.withColumns({c: F.col(c).cast("string") for c in used})
     changes = _changes(_spans(text, run, segments, used), run, used)
@@ -195,7 +195,7 @@ def count_cells(
             too_young = F.col("cell").isin(*keys) & (F.col("segment") < segments.lower.index(age))
             rows = rows.filter(~too_young)
     areas = [c for c in rows.columns if c.startswith("area_")]
-    band = F.element_at(_int_array(segments.cell_of), F.col("segment") + 1)
+    band = F.element_at(_literal_array(segments.cell_of), F.col("segment") + 1)
     keys = ["cell", "group", *areas, "band"]
     sums = ["population", *fv.DOSES]
     summed = (
@@ -213,10 +213,10 @@ def count_cells(
     ).filter(F.col("population") > 0)
     months = totals.withColumn("month", F.explode(F.sequence("month", "until")))
     year, month = year_month(F.col("month"))
-    call_exposure = F.split("cell", r"\|")
+    number = F.col("cell").cast("int") + 1
     return months.select(
-        call_exposure[0].alias("call"),
-        call_exposure[1].alias("exposure"),
+        F.element_at(_literal_array([call for call, _, _ in calls]), number).alias("call"),
+        F.element_at(_literal_array([e for _, e, _ in calls]), number).alias("exposure"),
         "group",
         *areas,
         *[segments.label(F.col("band"), name).alias(name) for name in bands],

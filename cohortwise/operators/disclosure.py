@@ -33,10 +33,15 @@ def disclosure_counts(df: DataFrame, limit: int = fv.DISCLOSURE_LIMIT) -> DataFr
 
 
 def disclosure_by_month(
-    df: DataFrame, check: str = "vaccinated", limit: int = fv.DISCLOSURE_LIMIT
+    df: DataFrame, limit: int = fv.DISCLOSURE_LIMIT, checks: Sequence[str] = CHECKS
 ) -> DataFrame:
-    """Low rows per month; months without one are absent."""
-    return df.filter(_low(check, limit)).groupBy("year", "month").agg(F.count("*").alias("n"))
+    """Low rows per check and month, all checks in one pass; empty months are absent."""
+    failed = F.array_compact(F.array(*[F.when(_low(c, limit), F.lit(c)) for c in checks]))
+    return (
+        df.select("year", "month", F.explode(failed).alias("check"))
+        .groupBy("check", "year", "month")
+        .agg(F.count("*").alias("n"))
+    )
 
 
 def disclosure_listing(
@@ -56,7 +61,7 @@ def disclosure_report(df: DataFrame, limit: int = fv.DISCLOSURE_LIMIT) -> dict[s
     report = {"rows": df.agg(F.count("*").alias("n"))}
     for check in CHECKS:
         report[f"{check}_below"] = df.filter(_low(check, limit)).agg(F.count("*").alias("n"))
-        report[f"{check}_below_by_month"] = disclosure_by_month(df, check, limit)
+        report[f"{check}_below_by_month"] = disclosure_by_month(df, limit, [check]).drop("check")
         report[f"{check}_below_rows"] = disclosure_listing(df, check, limit)
     return report
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortwise import fixed_values as fv
@@ -52,12 +53,20 @@ def read_poisson_limits(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schemas.POISSON)
 
 
+def _values(spark: SparkSession, rows: tuple, schema: T.StructType) -> DataFrame:
+    """A small fixed table as a literal relation, which needs no Python on the way."""
+    lines = ", ".join(str(row) for row in rows)
+    names = ", ".join(schema.names)
+    table = spark.sql(f"SELECT * FROM VALUES {lines} AS t({names})")
+    return table.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+
+
 def default_standard_population(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(fv.STANDARD_POPULATION), schemas.STANDARD_POPULATION)
+    return _values(spark, fv.STANDARD_POPULATION, schemas.STANDARD_POPULATION)
 
 
 def default_poisson_limits(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(fv.POISSON_LIMITS), schemas.POISSON)
+    return _values(spark, fv.POISSON_LIMITS, schemas.POISSON)
 
 
 def spread(df: DataFrame) -> DataFrame:

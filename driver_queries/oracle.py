@@ -238,8 +238,8 @@ RATES = ["crude_rate", "crude_lower_ci", "crude_upper_ci", "age_standardised_rat
 KEYS = 'vaccine_number, year, month, exposure, "group", "SubCategory", "Sex"'
 
 
-def rate_table_sql(name: str) -> dict[str, str]:
-    call, where, exposure, group, sub, sex, standardise = TABLES[name]
+def rate_table_sql(name: str, table: tuple | None = None) -> dict[str, str]:
+    call, where, exposure, group, sub, sex, standardise = table or TABLES[name]
     keys = f'vaccine_number, year, month, {exposure} AS exposure, {group} AS "group", {sub} AS sub, ' \
            f"{sex or 'CAST(NULL AS VARCHAR)'} AS sex"
     band = "age_group_esp" if standardise else "CAST(NULL AS VARCHAR)"
@@ -688,8 +688,6 @@ def oracle_sql() -> dict[str, str]:
             {
                 "pm": person_months("derived", 18),
                 "counts": counts_sql(("disability",), ["age_group"], 18),
-                "cnt_plain": "SELECT * REPLACE (CASE WHEN vaccine_number = 'first' THEN "
-                "population - vaccinated ELSE vaccinated END AS vaccinated) FROM counts",
                 **_plain("plain", "age_group", False),
             },
         ),
@@ -699,8 +697,6 @@ def oracle_sql() -> dict[str, str]:
             {
                 "pm": person_months("derived", 18),
                 "counts": counts_sql(("region",), ["age_group_esp"], 18),
-                "cnt_plain": "SELECT * REPLACE (CASE WHEN vaccine_number = 'first' THEN "
-                "population - vaccinated ELSE vaccinated END AS vaccinated) FROM counts",
                 **_plain("plain", "'x'", True),
             },
         ),
@@ -802,14 +798,11 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _plain(name: str, sub: str, standardise: bool) -> dict[str, str]:
-    """Rates of the operators used directly: counts are complemented by the caller only."""
-    TABLES["plain"] = ("plain", "TRUE", "'x'", '"group"', sub, None, standardise)
-    out = rate_table_sql(name)
-    del TABLES["plain"]
-    # The operators do not take the complement of the first dose.
-    out["cnt_plain"] = "SELECT * FROM counts"
+    """Rates of the operators used directly, which do not take the complement."""
+    table = ("plain", "TRUE", "'x'", '"group"', sub, None, standardise)
+    out = rate_table_sql(name, table)
     out["t_plain_round"] = (
         "SELECT * EXCLUDE (p0, v0), round(p0 / 5.0) * 5 AS p, round(v0 / 5.0) * 5 AS v "
         "FROM t_plain_band"
     )
-    return out
+    return {"cnt_plain": "SELECT * FROM counts", **out}

@@ -382,15 +382,6 @@ def _from_rates(function: Callable[[DataFrame], DataFrame]) -> Query:
     return query
 
 
-def disclosure_by_month(spark, sf_dir):
-    df = _regional_rates(spark, sf_dir)
-    flagged = [
-        disclosure.disclosure_by_month(df, check).withColumn("check", F.lit(check))
-        for check in disclosure.CHECKS
-    ]
-    return union_tables(*flagged).select("check", "year", "month", "n")
-
-
 def _exposure_region_rates(spark, sf_dir):
     specs = [CountSpec("region", ("ethnicity", "religion"), "region")]
     table = counts.monthly_counts_all(study_without_areas(spark, sf_dir), RUN, specs)
@@ -566,7 +557,7 @@ def queries() -> dict[str, Query]:
         "embed_sex": embed_sex_rows,
         "union_tables": union_of_tables,
         "disclosure_counts": _from_rates(disclosure.disclosure_counts),
-        "disclosure_by_month": disclosure_by_month,
+        "disclosure_by_month": _from_rates(disclosure.disclosure_by_month),
         "disclosure_listing": _from_rates(disclosure.disclosure_listing),
         "disclosure_listing_complement": _from_rates(
             lambda df: disclosure.disclosure_listing(df, "not_vaccinated")
