@@ -11,7 +11,7 @@ from cohortwise import fixed_values as fv
 from cohortwise.sources.lookups import lookup_join
 from cohortwise.sources.staging import stage
 
-BOUNDED_ROWS = 1_000_000
+BOUNDED_ROWS = 4_000_000
 QUINTILE_POINTS = (0.2, 0.4, 0.6, 0.8)
 
 
@@ -87,28 +87,23 @@ def exact_percentiles(
     return found.unionByName(empty, allowMissingColumns=True)
 
 
+def _points(rank: str) -> dict[str, float]:
+    return {f"{rank}_p{round(p * 100)}": p for p in QUINTILE_POINTS}
+
+
 def area_percentiles(
-    units: DataFrame,
-    area: str,
-    rank: str = "imd_rank",
-    bucket_width: float = 32.0,
-    max_rows: int = BOUNDED_ROWS,
+    units: DataFrame, area: str, rank: str = "imd_rank", bucket_width: float = 32.0
 ) -> DataFrame:
-    """The four quintile borders of the rank within each area.
+    """The four quintile borders of the rank within each area."""
+    return exact_percentiles(units, area, rank, _points(rank), bucket_width)
 
-    A lookup counted to be small goes through the built-in exact percentile,
-    which gathers the ranks of an area; a larger one through
-    ``exact_percentiles``.  Both give the same numbers.
+
+def is_bounded(*inputs: DataFrame, max_rows: int = BOUNDED_ROWS) -> bool:
+    """Whether the inputs are counted to have at most ``max_rows`` rows together.
+
+    A count of a stored table reads its metadata only.
     """
-    points = {f"{rank}_p{round(p * 100)}": p for p in QUINTILE_POINTS}
-    if units.limit(max_rows + 1).count() > max_rows:
-        return exact_percentiles(units, area, rank, points, bucket_width)
-    borders = F.percentile(F.col(rank), [float(p) for p in points.values()])
-    return (
-        units.groupBy(area)
-        .agg(borders.alias("borders"))
-        .select(area, *[F.col("borders")[i].alias(name) for i, name in enumerate(points)])
-    )
+    return sum(df.count() for df in inputs) <= max_rows
 
 
 def area_quintile(
@@ -117,23 +112,31 @@ def area_quintile(
     name: str,
     rank: str = "imd_rank",
     bucket_width: float = 32.0,
+    bounded: bool = False,
 ) -> DataFrame:
     """Add the quintile ``"1"``..``"5"`` of the rank within the area.
 
     A rank equal to a border belongs to the lower quintile; a null rank or a
-    null area has no quintile.
+    null area has no quintile.  For units that are ``bounded`` the built-in
+    exact percentile runs over the area as a window, which holds the ranks of
+    one area in one task; otherwise the borders come from
+    ``exact_percentiles``.  Both give the same numbers.
     """
-    borders = area_percentiles(units, area, rank, bucket_width)
-    joined = units.join(borders, area, "left")
+    names = list(_points(rank))
+    if bounded:
+        points = [float(p) for p in QUINTILE_POINTS]
+        inside = F.percentile(F.col(rank), points).over(Window.partitionBy(area))
+        borders = F.when(F.col(area).isNotNull(), inside)
+        joined = units.withColumn("_borders", borders).withColumns(
+            {c: F.col("_borders")[i] for i, c in enumerate(names)}
+        )
+    else:
+        joined = units.join(area_percentiles(units, area, rank, bucket_width), area, "left")
     value = F.col(rank)
-    out = None
-    for quintile, point in enumerate(QUINTILE_POINTS, start=1):
-        hit = value <= F.col(f"{rank}_p{round(point * 100)}")
-        label = F.lit(str(quintile))
-        out = F.when(hit, label) if out is None else out.when(hit, label)
-    last = value > F.col(f"{rank}_p{round(QUINTILE_POINTS[-1] * 100)}")
-    out = out.when(last, F.lit(str(len(QUINTILE_POINTS) + 1)))
-    return joined.withColumn(name, out).drop(*[c for c in borders.columns if c != area])
+    out = F.when(value > F.col(names[-1]), F.lit(str(len(names) + 1)))
+    for quintile in range(len(names), 0, -1):
+        out = F.when(value <= F.col(names[quintile - 1]), F.lit(str(quintile))).otherwise(out)
+    return joined.withColumn(name, out).drop("_borders", *names)
 
 
 def area_names(names: DataFrame) -> DataFrame:
@@ -157,22 +160,35 @@ def small_area_units(imd: DataFrame) -> DataFrame:
 
 
 def local_authority_quintiles(
-    imd: DataFrame, postcodes: DataFrame, names: DataFrame, bucket_width: float = 32.0
+    imd: DataFrame,
+    postcodes: DataFrame,
+    names: DataFrame,
+    bucket_width: float = 32.0,
+    max_rows: int = BOUNDED_ROWS,
 ) -> DataFrame:
     """Small area -> local authority code, name and quintile within it."""
     areas = postcode_areas(postcodes, names).withColumnRenamed("lsoa11", "lsoa_derived")
-    units = stage(small_area_units(imd).join(areas, "lsoa_derived", "left"), "la-units")
-    out = area_quintile(units, "la_code", "imd_quintile_la", bucket_width=bucket_width)
+    units = small_area_units(imd).join(areas, "lsoa_derived", "left")
+    bounded = is_bounded(imd, postcodes, max_rows=max_rows)
+    out = area_quintile(
+        units, "la_code", "imd_quintile_la", bucket_width=bucket_width, bounded=bounded
+    )
     return out.select("la_code", "la_name", "lsoa_derived", "imd_quintile_la")
 
 
 def region_quintiles(
-    imd: DataFrame, postcodes: DataFrame, bucket_width: float = 32.0
+    imd: DataFrame,
+    postcodes: DataFrame,
+    bucket_width: float = 32.0,
+    max_rows: int = BOUNDED_ROWS,
 ) -> DataFrame:
     """Small area -> quintile within its region."""
     areas = postcodes.select(F.col("lsoa11").alias("lsoa_derived"), "rgn").distinct()
-    units = stage(small_area_units(imd).join(areas, "lsoa_derived", "left"), "region-units")
-    out = area_quintile(units, "rgn", "imd_quintile_region", bucket_width=bucket_width)
+    units = small_area_units(imd).join(areas, "lsoa_derived", "left")
+    bounded = is_bounded(imd, postcodes, max_rows=max_rows)
+    out = area_quintile(
+        units, "rgn", "imd_quintile_region", bucket_width=bucket_width, bounded=bounded
+    )
     return out.select("lsoa_derived", "imd_quintile_region")
 
 

@@ -1,9 +1,10 @@
 """Rate tables of a run: which counts make which published rows.
 
-A table says which counts it takes and what its rows are called.  Every count
-row is sent to the tables that want it (at most one row per table) and one
-aggregation sums all tables, so the counts are computed once however many
-tables there are.
+A table says which counts it takes and what its rows are called.  The tables of
+a run become a small routing relation keyed by (call, exposure); joining the
+counts with it sends every count row to the tables that want it, and one
+aggregation sums all tables.  The counts are computed once however many tables
+there are.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortwise import fixed_values as fv
 from cohortwise.config import RunConfig
 from cohortwise.functions.semantics import sum_or_zero
 from cohortwise.operators.rates import RATE_COLUMNS, complement_first_dose, mixed_rates
@@ -43,7 +45,6 @@ class RateTable:
     without: str | None = None
     standardise: bool = True
     embed_sex: bool = True
-    needs_exposure: str | None = None
 
 
 RATE_TABLES = (
@@ -74,39 +75,50 @@ def standard_tables(run: RunConfig, names: Sequence[str] | None = None) -> tuple
     return tuple(t for t in tables if names is None or t.name in names)
 
 
-def _label(text: str) -> Column:
-    return F.col(text[1:]) if text.startswith("$") else F.lit(text)
-
-
-def _row(table: RateTable) -> Column:
-    wanted = F.col("call") == table.call
-    if table.only:
-        wanted = wanted & (F.col("exposure") == table.only)
-    if table.without:
-        wanted = wanted & (F.col("exposure") != table.without)
-    band = F.col("age_group_esp") if table.standardise else F.lit(None).cast("string")
-    sex = F.lit(None).cast("string") if table.embed_sex else F.col("area")
-    return F.when(
-        wanted,
-        F.struct(
-            F.lit(table.name).alias("table"),
-            _label(table.exposure).alias("exposure"),
-            _label(table.group).alias("group"),
-            _label(table.sub_category).alias("SubCategory"),
-            sex.alias("Sex"),
-            band.alias("age_group_esp"),
-            F.lit(table.standardise).alias("standardise"),
-            F.lit(table.embed_sex).alias("embed"),
-        ),
-    )
+ROUTING = (
+    "call string, exposure string, table string, to_exposure string, to_group string, "
+    "to_sub string, standardise boolean, embed boolean"
+)
+
+
+def _routes(spark: SparkSession, tables: Sequence[RateTable]) -> DataFrame:
+    """One row per table and exposure it takes; at most a few hundred rows."""
+    exposures = {
+        "region": fv.REGION_EXPOSURES, "la": fv.AREA_EXPOSURES, "sex": fv.SEX_EXPOSURES
+    }
+    rows = [
+        (t.call, e, t.name, t.exposure, t.group, t.sub_category, t.standardise, t.embed_sex)
+        for t in tables
+        for e in exposures[t.call]
+        if t.only in (None, e) and t.without != e
+    ]
+    lines = ", ".join(str(row) for row in rows)
+    names = [f.split()[0] for f in ROUTING.split(", ")]
+    return spark.sql(f"SELECT * FROM VALUES {lines} AS t({', '.join(names)})")
+
+
+def _label(text: Column) -> Column:
+    """The column a ``$name`` stands for, or the text itself."""
+    out = F.when(text.startswith("$"), F.lit(None).cast("string")).otherwise(text)
+    for name in ("exposure", "group", "area", "age_group"):
+        out = F.when(text == f"${name}", F.col(name)).otherwise(out)
+    return out
 
 
 def table_counts(counts: DataFrame, tables: Sequence[RateTable]) -> DataFrame:
     """Counts summed to the rows of the tables (and the age band, if standardised)."""
-    rows = (
-        counts.withColumn("target", F.explode(F.array(*[_row(t) for t in tables])))
-        .filter(F.col("target").isNotNull())
-        .select("vaccine_number", "year", "month", "target.*", "population", "vaccinated")
+    routes = F.broadcast(_routes(counts.sparkSession, tables))
+    names = {
+        "exposure": _label(F.col("to_exposure")),
+        "group": _label(F.col("to_group")),
+        "SubCategory": _label(F.col("to_sub")),
+        "Sex": F.when(~F.col("embed"), F.col("area")),
+        "age_group_esp": F.when(F.col("standardise"), F.col("age_group_esp")),
+    }
+    rows = counts.join(routes, ["call", "exposure"]).select(
+        "vaccine_number", "year", "month", "table", "standardise", "embed",
+        *[column.alias(name) for name, column in names.items()],
+        "population", "vaccinated",
     )
     keys = [c for c in rows.columns if c not in ("population", "vaccinated")]
     summed = rows.groupBy(*keys).agg(

@@ -616,8 +616,8 @@ def oracle_sql() -> dict[str, str]:
         "linkage_dist_by_band_wide": linkage_wide("age_group", "linked"),
         "linkage_dist_by_sex_wide": linkage_wide("sex", "linked"),
         "area_percentiles": borders,
-        "area_percentiles_large": borders,
         "area_quintile_la": with_tables("SELECT * FROM area_la"),
+        "area_quintile_large": with_tables("SELECT * FROM area_la"),
         "area_quintile_region": with_tables("SELECT * FROM area_rgn"),
         "distinct_lookup": with_tables(
             "SELECT DISTINCT lsoa11, laua AS la_code, utla22nm AS la_name FROM nspl_split "

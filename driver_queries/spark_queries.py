@@ -56,6 +56,11 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_person(mapping.raw_persons(spark, sf_dir))
 
 
+def linked_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All loaded persons, from the stored linked table."""
+    return load_person(mapping.linked_table(spark, sf_dir))
+
+
 def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas.area_lookup(
         mapping.imd(spark, sf_dir),
@@ -159,14 +164,21 @@ def month_expansion(spark, sf_dir):
 
 def _check(function: Callable[[DataFrame], DataFrame]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(function(persons(spark, sf_dir)))
+        return rounded(function(linked_persons(spark, sf_dir)))
+
+    return query
+
+
+def _deaths(function: Callable[[DataFrame], DataFrame]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return function(persons(spark, sf_dir))
 
     return query
 
 
 def _linkage(function: Callable[[DataFrame], DataFrame]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        cells = linkage.linkage_cells(persons(spark, sf_dir), END, END, "first", min_age=18)
+        cells = linkage.linkage_cells(linked_persons(spark, sf_dir), END, END, "first", min_age=18)
         return rounded(function(cells))
 
     return query
@@ -183,15 +195,14 @@ def _units(spark, sf_dir):
 
 
 def area_percentiles(spark, sf_dir):
-    return rounded(areas.area_percentiles(_units(spark, sf_dir), "la_code"))
+    return rounded(areas.area_percentiles(_units(spark, sf_dir), "la_code", bucket_width=RANK_BUCKET))
 
 
-def area_percentiles_large(spark, sf_dir):
-    """The same borders by the way a large lookup goes."""
-    return rounded(
-        areas.area_percentiles(
-            _units(spark, sf_dir), "la_code", bucket_width=RANK_BUCKET, max_rows=0
-        )
+def area_quintile_large(spark, sf_dir):
+    """Quintiles by the way a lookup beyond the bound goes."""
+    return areas.local_authority_quintiles(
+        mapping.imd(spark, sf_dir), mapping.postcodes(spark, sf_dir),
+        mapping.area_names(spark, sf_dir), RANK_BUCKET, max_rows=0,
     )
 
 
@@ -478,10 +489,10 @@ def queries() -> dict[str, Query]:
         "static_filter_nulls": static_filter_nulls,
         "age_window_counts": age_window_counts,
         "month_expansion": month_expansion,
-        "registrations_by_month": _check(checks.registrations_by_month),
-        "registrations_by_day": _check(checks.registrations_by_day),
-        "deaths_by_month": _check(checks.deaths_by_month),
-        "deaths_by_day": _check(checks.deaths_by_day),
+        "registrations_by_month": _deaths(checks.registrations_by_month),
+        "registrations_by_day": _deaths(checks.registrations_by_day),
+        "deaths_by_month": _deaths(checks.deaths_by_month),
+        "deaths_by_day": _deaths(checks.deaths_by_day),
         "dose_trend_all": _check(lambda df: checks.dose_trend(df, death_date=END)),
         "dose_trend_cumulative": _check(
             lambda df: checks.dose_trend(df, death_date=END, age_date=END, min_age=18)
@@ -510,7 +521,7 @@ def queries() -> dict[str, Query]:
         ),
         "linkage_dist_by_sex_wide": _linkage(lambda c: linkage.linkage_wide(c, "sex", "linked")),
         "area_percentiles": area_percentiles,
-        "area_percentiles_large": area_percentiles_large,
+        "area_quintile_large": area_quintile_large,
         "area_quintile_la": area_quintile_la,
         "area_quintile_region": area_quintile_region,
         "distinct_lookup": distinct_lookup,

@@ -33,17 +33,24 @@ def test_exact_percentiles_equal_numpy_and_builtin(spark, width):
     assert got["empty"]["p20"] is None and got[None]["p0"] == 4.0
 
 
-def test_both_ways_assign_the_same_quintiles(spark):
-    rows = [(f"l{i}", (i * 37) % 101, f"a{i % 3}") for i in range(300)]
+@pytest.mark.parametrize("area_of", [lambda i: f"a{i % 3}", lambda i: "a" if i % 3 else None])
+def test_both_ways_assign_the_same_quintiles(spark, area_of):
+    rows = [(f"l{i}", (i * 37) % 101 if i % 9 else None, area_of(i)) for i in range(300)]
     df = units(spark, rows)
-    small = areas.area_percentiles(df, "la_code")
-    large = areas.area_percentiles(df, "la_code", bucket_width=8.0, max_rows=10)
-    assert sorted(small.collect()) == sorted(large.collect())
+    small = areas.area_quintile(df, "la_code", "q", bounded=True)
+    large = areas.area_quintile(df, "la_code", "q", bucket_width=8.0)
+    assert sorted(small.select(*large.columns).collect(), key=str) == sorted(large.collect(), key=str)
 
 
-def test_quintile_borders_and_nulls(spark):
+def test_bound_counts_all_inputs(spark):
+    assert areas.is_bounded(spark.range(3), spark.range(4), max_rows=7)
+    assert not areas.is_bounded(spark.range(3), spark.range(4), max_rows=6)
+
+
+@pytest.mark.parametrize("bounded", [True, False])
+def test_quintile_borders_and_nulls(spark, bounded):
     rows = [(f"l{i}", i, "a") for i in range(1, 12)] + [("x", None, "a"), ("y", 3, None)]
-    out = areas.area_quintile(units(spark, rows), "la_code", "q")
+    out = areas.area_quintile(units(spark, rows), "la_code", "q", bounded=bounded)
     q = {r["lsoa_derived"]: r["q"] for r in out.collect()}
     # Ranks 1..11 have borders 3, 5, 7, 9; a rank on a border is in the lower quintile.
     assert [q[f"l{i}"] for i in range(1, 12)] == list("11122334455")
