@@ -12,6 +12,9 @@ SETTINGS = {
     # Counting shrinks its input by orders of magnitude before the shuffle, and
     # shrinks it further the more rows one task sees: prefer long scan tasks.
     "spark.sql.files.maxPartitionBytes": "512m",
+    # The counts have far more groups than the small first-level map holds, so
+    # it only adds a second lookup per row (measured: 13 s against 9 s).
+    "spark.sql.codegen.aggregate.map.twolevel.enabled": "false",
     "spark.ui.enabled": "false",
 }
 
