@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortwise import fixed_values as fv
@@ -13,6 +13,7 @@ from cohortwise.functions import predicates as p
 from cohortwise.functions.bands import REPORT_BANDS, assign_band
 from cohortwise.functions.dates import age_at
 from cohortwise.functions.semantics import sum_or_zero, text_slice
+from cohortwise.sources.staging import stage
 
 Day = date | str | None
 
@@ -21,34 +22,50 @@ def nulls_last(*names: str) -> list:
     return [F.col(n).asc_nulls_last() for n in names]
 
 
-def registrations_by_month(df: DataFrame) -> DataFrame:
+def death_cells(df: DataFrame) -> DataFrame:
+    """People by registration text, text year and month of death, and date of death.
+
+    One pass over the persons; the four death reports are made of these rows, of
+    which there are a few per calendar day.
+    """
+    return df.groupBy("dor", "dodyr", "dodmt", "dod").agg(F.count("*").alias("n"))
+
+
+def _people() -> Column:
+    return F.sum("n").alias("n")
+
+
+def registrations_by_month(cells: DataFrame) -> DataFrame:
     """People by year and month written in the registration text; null is a group."""
     year = text_slice(F.col("dor"), 1, 4).try_cast("double")
     month = text_slice(F.col("dor"), 5, 6).try_cast("double")
-    return df.groupBy(year.alias("doryr"), month.alias("dormt")).agg(F.count("*").alias("n"))
+    return cells.groupBy(year.alias("doryr"), month.alias("dormt")).agg(_people())
 
 
-def registrations_by_day(df: DataFrame, floor: str = fv.DEATH_REPORT_FLOOR) -> DataFrame:
+def registrations_by_day(cells: DataFrame, floor: str = fv.DEATH_REPORT_FLOOR) -> DataFrame:
     """People by registration text from the floor on, compared as text."""
-    return df.filter(F.col("dor") >= floor).groupBy("dor").agg(F.count("*").alias("n"))
+    return cells.filter(F.col("dor") >= floor).groupBy("dor").agg(_people())
 
 
-def deaths_by_month(df: DataFrame) -> DataFrame:
+def deaths_by_month(cells: DataFrame) -> DataFrame:
     keys = [F.col(c).try_cast("double").alias(c) for c in ("dodyr", "dodmt")]
-    return df.groupBy(*keys).agg(F.count("*").alias("n"))
+    return cells.groupBy(*keys).agg(_people())
 
 
-def deaths_by_day(df: DataFrame, floor: str = fv.DEATH_REPORT_FLOOR) -> DataFrame:
-    return df.filter(F.col("dod") >= p.day(floor)).groupBy("dod").agg(F.count("*").alias("n"))
+def deaths_by_day(cells: DataFrame, floor: str = fv.DEATH_REPORT_FLOOR) -> DataFrame:
+    return cells.filter(F.col("dod") >= p.day(floor)).groupBy("dod").agg(_people())
 
 
 def death_counts(df: DataFrame) -> dict[str, DataFrame]:
-    """The four death reports in display order, by name."""
+    """The four death reports in display order, by name, from one pass over the persons."""
+    cells = stage(death_cells(df), "death-cells")
     return {
-        "registrations_by_month": registrations_by_month(df).orderBy(*nulls_last("doryr", "dormt")),
-        "registrations_by_day": registrations_by_day(df).orderBy(*nulls_last("dor")),
-        "deaths_by_month": deaths_by_month(df).orderBy(*nulls_last("dodyr", "dodmt")),
-        "deaths_by_day": deaths_by_day(df).orderBy(*nulls_last("dod")),
+        "registrations_by_month": registrations_by_month(cells).orderBy(
+            *nulls_last("doryr", "dormt")
+        ),
+        "registrations_by_day": registrations_by_day(cells).orderBy(*nulls_last("dor")),
+        "deaths_by_month": deaths_by_month(cells).orderBy(*nulls_last("dodyr", "dodmt")),
+        "deaths_by_day": deaths_by_day(cells).orderBy(*nulls_last("dod")),
     }
 
 

@@ -9,6 +9,7 @@ from cohortwise.functions import predicates as p
 from cohortwise.functions.bands import REPORT_BANDS, assign_band
 from cohortwise.functions.semantics import if_else
 from cohortwise.operators.checks import Day, nulls_last
+from cohortwise.sources.staging import stage
 
 LINKED, NOT_LINKED = "Linked", "Not linked"
 # A person with a null flag is neither; wide reports give them columns of their own.
@@ -86,8 +87,10 @@ def linkage_report(
     min_age: float | None = None,
     max_age: float | None = None,
 ) -> dict[str, DataFrame]:
-    """The six linkage reports in display order, by name."""
-    cells = linkage_cells(df, vacc_date, death_date, dose, min_age, max_age)
+    """The six linkage reports in display order, by name, from one pass over the persons."""
+    cells = stage(
+        linkage_cells(df, vacc_date, death_date, dose, min_age, max_age), "linkage-cells"
+    )
     return {
         "overall": linkage_overall(cells),
         "linked_by_age": linkage_wide(cells, "age_group", "age_group").orderBy(

@@ -171,7 +171,7 @@ def _check(function: Callable[[DataFrame], DataFrame]) -> Query:
 
 def _deaths(function: Callable[[DataFrame], DataFrame]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return function(persons(spark, sf_dir))
+        return function(checks.death_cells(persons(spark, sf_dir)))
 
     return query
 
