@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 
 from cohortwise.config import PublicationText, RunConfig, standard_rules, standard_specs
 from cohortwise.operators import publication
-from cohortwise.operators.areas import attach_areas, merge_small_areas
-from cohortwise.operators.characteristics import derive_characteristics
+from cohortwise.operators.areas import area_domains, attach_areas, merge_small_areas
+from cohortwise.operators.characteristics import derive_characteristics, label_domains
 from cohortwise.operators.checks import (
     death_counts,
     dose_trend,
@@ -33,8 +33,14 @@ def study_population(raw: DataFrame, lookup: DataFrame) -> DataFrame:
     return merge_small_areas(attach_areas(persons, lookup))
 
 
-def all_counts(persons: DataFrame, run: RunConfig) -> DataFrame:
-    return monthly_counts_all(persons, run, standard_specs(run))
+def study_domains(lookup: DataFrame) -> dict[str, tuple[str, ...]] | None:
+    """Values of every column counted by a run, or None if there are too many areas."""
+    areas = area_domains(lookup)
+    return None if areas is None else {**label_domains(), **areas}
+
+
+def all_counts(persons: DataFrame, run: RunConfig, domains: dict | None = None) -> DataFrame:
+    return monthly_counts_all(persons, run, standard_specs(run), domains)
 
 
 def all_rates(
@@ -113,7 +119,9 @@ def run_month(
     counts = read_or_compute(
         spark,
         paths["counts"],
-        lambda: all_counts(study_population(raw, lookups.areas), run),
+        lambda: all_counts(
+            study_population(raw, lookups.areas), run, study_domains(lookups.areas)
+        ),
         recompute=run.run_counts,
         partition_by=("call",),
     )

@@ -35,7 +35,7 @@ from cohortwise.operators.tables import (
     rate_tables,
     union_tables,
 )
-from cohortwise.plans.monthly_run import published_rows, study_population
+from cohortwise.plans.monthly_run import published_rows, study_domains, study_population
 from cohortwise.sources.readers import default_poisson_limits, default_standard_population
 from driver_queries import mapping
 
@@ -75,6 +75,12 @@ def study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study_population(mapping.linked_table(spark, sf_dir), lookup(spark, sf_dir))
 
 
+def study_and_domains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict | None]:
+    """The study population and the values of its counted columns."""
+    table = lookup(spark, sf_dir)
+    return study_population(mapping.linked_table(spark, sf_dir), table), study_domains(table)
+
+
 def study_without_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive_characteristics(static_filters(load_person(mapping.linked_table(spark, sf_dir))))
 
@@ -277,7 +283,8 @@ def period_exclusions(spark, sf_dir):
 
 def all_calls(spark, sf_dir):
     """The three calls in one plan, summed over bands and areas."""
-    df = counts.monthly_counts_all(study(spark, sf_dir), RUN, standard_specs(RUN))
+    people, domains = study_and_domains(spark, sf_dir)
+    df = counts.monthly_counts_all(people, RUN, standard_specs(RUN), domains)
     return df.groupBy("call", "vaccine_number", "year", "month", "exposure", "group").agg(
         F.sum("population").alias("population"), F.sum("vaccinated").alias("vaccinated")
     )
@@ -455,7 +462,8 @@ def monthly_total(spark, sf_dir):
 def _run(run: RunConfig) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Every table of a run, from one count plan, summed per published table."""
-        table = counts.monthly_counts_all(study(spark, sf_dir), run, standard_specs(run))
+        people, domains = study_and_domains(spark, sf_dir)
+        table = counts.monthly_counts_all(people, run, standard_specs(run), domains)
         df = rate_tables(
             table, weights(spark), default_poisson_limits(spark), run, keep_name=True
         )
