@@ -12,7 +12,6 @@ from cohortwise.sources.lookups import lookup_join
 from cohortwise.sources.staging import stage
 
 BOUNDED_ROWS = 4_000_000
-MAX_DOMAIN = 1_000
 QUINTILE_POINTS = (0.2, 0.4, 0.6, 0.8)
 
 
@@ -217,28 +216,6 @@ def attach_areas(df: DataFrame, lookup: DataFrame, key: str = "lsoa_derived") ->
     return lookup_join(df, lookup, key)
 
 
-def area_domains(
-    lookup: DataFrame, max_values: int = MAX_DOMAIN
-) -> dict[str, tuple[str, ...]] | None:
-    """The values of the area columns of a lookup, small areas merged.
-
-    None if a column has more than ``max_values``: such areas are counted by
-    their text.
-    """
-    columns = ("la_derived", "imd_quintile", "imd_quintile_la", "imd_quintile_region")
-    values = (
-        merge_small_areas(lookup)
-        .select(*[F.col(c).cast("string").alias(c) for c in columns])
-        .unpivot([], list(columns), "name", "value")
-        .filter(F.col("value").isNotNull())
-        .distinct()
-        .limit(len(columns) * max_values + 1)
-        .collect()
-    )
-    found = {c: tuple(sorted(r["value"] for r in values if r["name"] == c)) for c in columns}
-    return found if all(len(v) <= max_values for v in found.values()) else None
-
-
 def assert_unique_lookup(lookup: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """The lookup itself, failing at run time if a key has more than one row.
 

@@ -65,20 +65,3 @@ def characteristic_columns() -> dict[str, Column]:
 def derive_characteristics(df: DataFrame, recodes: dict[str, Column] | None = None) -> DataFrame:
     """Add the derived characteristics (all of them unless ``recodes`` is given)."""
     return df.withColumns(characteristic_columns() if recodes is None else recodes)
-
-
-def label_domains() -> dict[str, tuple[str, ...]]:
-    """The labels each derived characteristic can have."""
-    return {
-        "sex": ("Male", "Female"),
-        "ethnicity": tuple(fv.ETHNICITY_LABELS),
-        "religion": tuple(fv.RELIGION_LABELS),
-        "country_of_birth": ("UK", "Non-UK"),
-        "language": tuple(fv.LANGUAGE_LABELS),
-        "education": tuple(fv.EDUCATION_LABELS),
-        "disability": tuple(fv.DISABILITY_LABELS),
-        "nssec_agg": (*[label for _, _, label in fv.OCCUPATION_RANGES], fv.NOT_CLASSIFIED),
-        "tenure": (*fv.TENURE_LABELS, fv.NOT_CLASSIFIED),
-        "rural_urban": tuple(fv.RURAL_URBAN_LABELS),
-        "region": tuple(fv.REGION_LABELS),
-    }

@@ -85,13 +85,6 @@ def test_area_lookup_fans_out_and_left_joins(spark):
     assert rows == [(1, "Bee"), (1, "Cornwall"), (2, ""), (3, ""), (4, "")]
 
 
-def test_area_domains(spark):
-    table = areas.area_lookup(*lookups(spark))
-    domains = areas.area_domains(table)
-    assert domains["la_derived"] == ("Bee", "Cornwall") and domains["imd_quintile"] == ("1", "2", "3")
-    assert areas.area_domains(table, max_values=1) is None
-
-
 def test_lookup_larger_than_the_bound_is_not_broadcast(spark):
     from cohortwise.sources.lookups import lookup_join
 

@@ -141,34 +141,6 @@ def test_all_calls_equal_single_calls(spark, people):
         assert {tuple(r) for r in mine.collect()} == {tuple(r) for r in single.collect()}
 
 
-DOMAINS = {
-    "sex": ("Male", "Female"), "education": ("L1", "L2"), "region": ("North", "South"),
-    "imd": ("1", "2", "not used"),
-}
-
-
-def test_known_domains_change_nothing(spark, people):
-    run = RunConfig(2022, 3)
-    df = spark.createDataFrame(people, SCHEMA)
-    specs = [
-        CountSpec("region", ("sex", "education", "imd"), "region"),
-        CountSpec("sex", ("education",), "sex"),
-    ]
-    by_text = counts.monthly_counts_all(df, run, specs)
-    by_code = counts.monthly_counts_all(df, run, specs, DOMAINS)
-    assert by_code.schema.names == by_text.schema.names
-    assert {tuple(r) for r in by_code.collect()} == {tuple(r) for r in by_text.collect()}
-
-
-def test_value_outside_its_domain_fails(spark, people):
-    df = spark.createDataFrame(people, SCHEMA)
-    specs = [CountSpec("region", ("sex",), "region")]
-    with pytest.raises(Exception, match="outside its domain: Female"):
-        counts.monthly_counts_all(
-            df, RunConfig(2022, 3), specs, {**DOMAINS, "sex": ("Male",)}
-        ).collect()
-
-
 def test_exposures_share_one_population(spark, people):
     """Groups of any exposure (null included) add up to the same population."""
     df = spark.createDataFrame(people, SCHEMA)
