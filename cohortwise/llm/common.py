@@ -29,31 +29,29 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def gapless_rank(rows: DataFrame, groups: list[str], order: list[str], name: str,
-                 blocks: int = 1024) -> DataFrame:
+def gapless_rank(rows: DataFrame, groups: list[str], part: Column, order: list[str], name: str
+                 ) -> DataFrame:
     """``rows`` with ``name``: 0, 1, ... within each group, however large the group is.
 
-    ``rows`` must be stable (written), as they are read twice.  Rows are dealt
-    into ``blocks`` parts of each group by the hash of ``order``; a part is
-    ranked on its own and starts where the parts before it end.  ``order``
-    should tell rows apart; rows equal in it share a part.  The number of parts
-    per group is fixed, so the running total reads ``blocks`` rows a group.
+    ``rows`` must be stable (written), as they are read twice.  ``part`` splits a group into parts
+    of a fixed number and even size, and ascends with ``order`` (the head of a hash that rows
+    are ordered by).  A part is ranked on its own and starts where the parts before it end, so
+    the running total reads one row for each part.  Columns of ``groups`` may hold nulls.
     """
-    part = F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int")
     dealt = rows.withColumn("__part", part)
     counts = dealt.groupBy(*groups, "__part").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*groups).orderBy("__part").rowsBetween(
         Window.unboundedPreceding, -1)
     starts = counts.select(
-        *groups, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+        *[F.col(c).alias(f"__key_{c}") for c in groups], F.col("__part").alias("__key_part"),
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     within = Window.partitionBy(*groups, "__part").orderBy(*order)
     ranked = dealt.withColumn("__i", F.row_number().over(within) - 1)
-    same = [ranked[c].eqNullSafe(starts[c]) for c in [*groups, "__part"]]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    return ranked.join(starts, condition).select(
-        *[ranked[c] for c in rows.columns], (F.col("__start") + F.col("__i")).alias(name))
+    same = F.col("__part") == F.col("__key_part")
+    for c in groups:
+        same = same & F.col(c).eqNullSafe(F.col(f"__key_{c}"))
+    return ranked.join(starts, same).select(
+        *rows.columns, (F.col("__start") + F.col("__i")).alias(name))
 
 
 def bit_words(keys: DataFrame, key: Column, bits: int) -> DataFrame:

@@ -67,13 +67,13 @@ WITH said AS (
 ), placed AS (
   SELECT *, sum(length(lead) + length(body)) OVER (
               PARTITION BY conv_id, part, perspective ORDER BY turn, role, text
-              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(body) AS at
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(body) AS begins
   FROM segments
 )
 SELECT conv_id, part, perspective, count(*) AS n_turns,
        string_agg(lead || body, '' ORDER BY turn, role, text) AS text,
        CAST(sum(CASE WHEN own THEN length(body) ELSE 0 END) AS BIGINT) AS masked_chars,
-       string_agg(CASE WHEN own THEN CAST(at AS VARCHAR) || ':' || CAST(length(body) AS VARCHAR) END,
+       string_agg(CASE WHEN own THEN CAST(begins AS VARCHAR) || ':' || CAST(length(body) AS VARCHAR) END,
                   ',' ORDER BY turn, role, text) AS masks
 FROM placed GROUP BY conv_id, part, perspective
 """

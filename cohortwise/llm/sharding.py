@@ -38,16 +38,6 @@ def even_tree(shards: int, regions: int = 2, racks: int = 3, base: int | None =
     return leaves
 
 
-def _draw(key: Column, label: str, weight: float) -> Column:
-    """Exponential draw of a node for a key: the smaller, the better; rate = weight.
-
-    52 bits of an MD5 value make the uniform number, so any engine can repeat it.
-    """
-    bits = F.conv(F.substring(F.md5(F.concat(key, F.lit(label))), 1, 13), 16, 10).cast("double")
-    uniform = (bits + F.lit(0.5)) / F.lit(float(1 << 52))
-    return -F.log(uniform) / F.lit(float(weight))
-
-
 def tree_shard(key: Column, leaves: Sequence[Leaf]) -> Column:
     """The shard of a key (a column, read as text) in the tree.
 
@@ -57,34 +47,43 @@ def tree_shard(key: Column, leaves: Sequence[Leaf]) -> Column:
     takes keys only into what was added, in proportion, and every other draw stays as it was:
     keys move nowhere but into the subtree whose weight grew.  Leaves of weight 0 or less get
     nothing.  A null key counts as empty text and so has one shard.
+
+    52 bits of an MD5 value of key and node make the uniform number, so that any engine can
+    repeat the draw.
     """
+    children: dict[str, dict[str, float]] = {}
+    shard_of: dict[str, int] = {}
+    for leaf in leaves:
+        if leaf.weight <= 0:
+            continue
+        path, steps = "", (leaf.region, leaf.rack, leaf.shard)
+        for depth, step in enumerate(steps):
+            # the first level tells the layers apart; below it they have nodes of their own
+            below = f"{path}/{step}" if depth else f"+{leaf.layer}/{step}"
+            weights = children.setdefault(path, {})
+            weights[below] = weights.get(below, 0.0) + leaf.weight
+            path = below
+        shard_of[path] = leaf.shard
+    table = F.create_map(*[
+        x for path, weights in sorted(children.items())
+        for x in (F.lit(path), F.array(*[
+            F.struct(F.lit(label).alias("label"), F.lit(w).alias("weight"))
+            for label, w in sorted(weights.items())]))
+    ])
     text = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit("|"))
 
-    def best(options: list[tuple[str, float, Column]]) -> Column:
-        if len(options) == 1:
-            return options[0][2]
-        # The winner's subtree is evaluated alone: CASE stops at the first branch that holds.
-        draws = [_draw(text, label, weight) for label, weight, _ in options]
-        least = F.least(*draws)
-        choice = F.when(draws[0] == least, options[0][2])
-        for d, (_, _, below) in zip(draws[1:], options[1:], strict=True):
-            choice = choice.when(d == least, below)
-        return choice
-
-    def descend(members: list[Leaf], depth: int) -> Column:
-        if depth == 3:
-            return F.lit(members[0].shard)
-        nodes: dict[tuple, list[Leaf]] = {}
-        for leaf in members:
-            nodes.setdefault(((leaf.region, leaf.rack, leaf.shard)[: depth + 1], leaf.layer),
-                             []).append(leaf)
-        return best([
-            ("/".join(map(str, path)) + f"+{layer}", sum(x.weight for x in below),
-             descend(below, depth + 1))
-            for (path, layer), below in sorted(nodes.items())
-        ])
-
-    return descend([leaf for leaf in leaves if leaf.weight > 0], 0)
+    def draw(node: Column) -> Column:
+        bits = F.conv(F.substring(F.md5(F.concat(text, node["label"])), 1, 13), 16, 10)
+        uniform = (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+        return -F.log(uniform) / node["weight"]
+
+    path = F.lit("")
+    for _ in range(3):
+        drawn = F.transform(F.element_at(table, path),
+                            lambda node: F.struct(draw(node).alias("draw"), node["label"].alias("label")))
+        path = F.array_min(drawn)["label"]
+    shards = F.create_map(*[x for p, s in sorted(shard_of.items()) for x in (F.lit(p), F.lit(s))])
+    return F.element_at(shards, path)
 
 
 def shard_documents(docs: DataFrame, leaves: Sequence[Leaf], grown: Sequence[Leaf] | None = None,
@@ -94,22 +93,24 @@ def shard_documents(docs: DataFrame, leaves: Sequence[Leaf], grown: Sequence[Lea
 
     Returns id, size (UTF-8 bytes of the text plus 8; a null text has none), shard, slot, the
     columns of ``carry``, and grown_shard, the place in the tree ``grown``, if that is given.
-    Narrow rows are written once; texts are read once and go through no shuffle.  Slots are
-    ranks in 1,024 parts of each shard, so no task holds a whole shard.  Rows with a null
+    Narrow rows are written once; texts are read once and go through no shuffle.  Slots follow an
+    MD5 value of id and text, and are counted in 4,096 parts of each shard, so that no task holds
+    a whole shard and the result does not depend on how the files are cut.  Rows with a null
     id share a shard; rows that repeat an id share it as well and get slots of their own.  An empty
     table gives an empty result, and other columns of ``docs`` are not looked at.
     """
     carry = carry or {}
     key = F.col(id_col)
+    content = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    place = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit("|"), content))
     rows = written(docs.select(
         key.alias("id"), (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 8)
         .cast("long").alias("size"),
         *[c.alias(name) for name, c in carry.items()],
-        F.monotonically_increasing_id().alias("__row"),
+        place.alias("__place"),
+        tree_shard(key, leaves).cast("int").alias("shard"),
+        *([tree_shard(key, grown).cast("int").alias("grown_shard")] if grown is not None else []),
     ))
-    placed = rows.withColumn("shard", tree_shard(F.col("id"), leaves).cast("int"))
-    slots = gapless_rank(placed, ["shard"], ["__row"], "slot")
-    if grown is not None:
-        slots = slots.withColumn("grown_shard", tree_shard(F.col("id"), grown).cast("int"))
+    slots = gapless_rank(rows, ["shard"], F.substring("__place", 1, 3), ["__place"], "slot")
     out = ["size", "shard", "slot", *carry, *(["grown_shard"] if grown is not None else [])]
     return slots.select(F.col("id").alias(id_col), *out)
