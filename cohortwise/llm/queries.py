@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm import chat_format, exact_dedup, sharding
+from cohortwise.llm import (
+    chat_format,
+    exact_dedup,
+    language_id,
+    line_dedup,
+    packing,
+    sharding,
+)
 
 SHARDS = 24
 
@@ -16,6 +23,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The tokenizer file of the packing query; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def held_out() -> Column:
+    """The fold of documents that nothing is learned from; a null id is in none."""
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    return F.coalesce(fold == 2, F.lit(False))
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     found = exact_dedup.exact_dedup(
@@ -32,6 +52,25 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "slot", "grown_shard")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("line_dedup.n_lines").alias("n_lines"),
+        F.col("line_dedup.n_removed").alias("n_removed"),
+        F.array_join("line_dedup.removed", ",").alias("removed"), "text")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs, ~held_out())
+    return language_id.identify(
+        docs.select("doc_id", "text", held_out().alias("held_out")), model
+    ).select("doc_id", "held_out", "language.*")
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.render_perspectives(_table(spark, sf_dir, "conversations")).select(
         "conv_id", "part", "perspective", "n_turns", "text", "masked_chars",
