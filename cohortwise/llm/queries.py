@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortwise.llm import (
     chat_format,
+    embedding_dedup,
     exact_dedup,
     language_id,
     line_dedup,
@@ -59,6 +60,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("line_dedup.removed", ",").alias("removed"), "text")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
