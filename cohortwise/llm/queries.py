@@ -13,6 +13,7 @@ from cohortwise.llm import (
     exact_dedup,
     language_id,
     line_dedup,
+    mixing,
     packing,
     sharding,
 )
@@ -83,6 +84,28 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("masks"))
 
 
+#: The mixing query's tree and targets; sources are dealt to two domains by a hash of their names.
+MIX_WEIGHTS = {
+    "domain": {"web": 0.6, "books": 0.4},
+    "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1},
+    "source": {"src0": 0.5},
+}
+MIX_SHARE = 0.5
+MIX_EPOCHS = 4
+
+
+def mix_levels() -> dict[str, Column]:
+    web = F.substring(F.md5(F.coalesce(F.col("source"), F.lit(""))), 1, 1) < "8"
+    return {"domain": F.when(web, "web").otherwise("books"), "lang": F.col("lang"),
+            "source": F.col("source")}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS, MIX_SHARE,
+                       MIX_EPOCHS, seed=5)
+    return mixed.select("doc_id", "mix.*")
+
+
 OP1_SQL = """
 SELECT doc_id,
        max(doc_id) OVER same AS keep_id,
@@ -123,9 +146,67 @@ FROM placed GROUP BY conv_id, part, perspective
 """
 
 
+def _filled(level: str, path: str, above: str, weight: str) -> str:
+    """SQL of one level's budgets: each child takes its share of what its parent has, up to its
+    capacity; the level of filling is the highest that any order of full children gives."""
+    parents = path.rpartition(", ")[0]
+    within = f"PARTITION BY {parents}" if parents else ""
+    source = f"JOIN {above} USING ({parents})" if parents else f"CROSS JOIN {above}"
+    return f"""
+  SELECT {path}, least(cap, w * max(fill) OVER ({within})) AS budget
+  FROM (
+    SELECT *, (budget - coalesce(sum(cap) OVER before, 0)) / sum(w) OVER onwards AS fill
+    FROM (SELECT {path}, sum(cap) AS cap, any_value({weight}) AS w FROM leaves GROUP BY {path})
+    {source}
+    WINDOW before AS ({within} ORDER BY cap / w, {level} NULLS FIRST
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+           onwards AS ({within} ORDER BY cap / w, {level} NULLS FIRST
+                       ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+  )"""
+
+
+def _weights_sql(level: str) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS[level].items())
+    return f"CASE {level} {cases} ELSE 1 END :: DOUBLE"
+
+
+OP10_SQL = f"""
+WITH rows AS (
+  SELECT doc_id,
+         CASE WHEN substr(md5(coalesce(source, '')), 1, 1) < '8' THEN 'web' ELSE 'books' END AS domain,
+         lang, source,
+         len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS tokens,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS key
+  FROM documents
+), words AS (SELECT * FROM rows WHERE tokens > 0
+), leaves AS (
+  SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS supply,
+         {MIX_EPOCHS}.0 * sum(tokens) :: DOUBLE AS cap,
+         {_weights_sql('domain')} AS w0, {_weights_sql('lang')} AS w1, {_weights_sql('source')} AS w2
+  FROM words GROUP BY domain, lang, source
+), whole AS (
+  SELECT least(floor(sum(supply) * {MIX_SHARE}), sum(cap)) :: DOUBLE AS budget FROM leaves
+), domains AS ({_filled('domain', 'domain', 'whole', 'w0')}
+), langs AS ({_filled('lang', 'domain, lang', 'domains', 'w1')}
+), sources AS ({_filled('source', 'domain, lang, source', 'langs', 'w2')}
+), plan AS (
+  SELECT *, budget // supply AS full_epochs, budget % supply AS rest
+  FROM (SELECT domain, lang, source, supply, CAST(floor(budget + 1e-6) AS BIGINT) AS budget
+        FROM sources JOIN leaves USING (domain, lang, source))
+), placed AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place) AS upto
+  FROM (SELECT *, md5('5|' || CAST(full_epochs AS VARCHAR) || '|' || key) AS place
+        FROM words JOIN plan USING (domain, lang, source))
+)
+SELECT doc_id, domain, lang, source,
+       unnest(range(full_epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END)) AS epoch, tokens
+FROM placed
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op9_chat_formatting": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op9_chat_formatting": OP9_SQL, "op10_mixing": OP10_SQL}
