@@ -14,6 +14,7 @@ from cohortwise.llm import (
     language_id,
     line_dedup,
     mixing,
+    ngram_join,
     packing,
     sharding,
 )
@@ -54,6 +55,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "slot", "grown_shard")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_table(spark, sf_dir, "documents")).select(
         "doc_id", F.col("line_dedup.n_lines").alias("n_lines"),
