@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -19,6 +20,7 @@ SKETCH = 1 << 18  # counters of the frequency sketch, whatever the corpus
 FILTER_BITS = 1 << 22
 LARGEST_LIGHT = 26
 _COUNTED_SIZES = 64
+_ALL = (1 << 64) - 1
 
 
 def _least_common(size: int, percent: int) -> int:
@@ -60,7 +62,7 @@ def _subset_buckets(elements: np.ndarray, percent: int) -> np.ndarray:
             sums = total - scrambled[out].sum(axis=1, dtype=np.uint64)
         else:
             sums = np.array([total], dtype=np.uint64)
-        found.append(textnum.mixed(sums + np.uint64(n - d) * np.uint64(0x9E3779B97F4A7C15)))
+        found.append(textnum.mixed(sums + np.uint64((n - d) * 0x9E3779B97F4A7C15 & _ALL)))
     return np.concatenate(found)
 
 
@@ -77,10 +79,11 @@ def _node(elements: np.ndarray) -> np.uint64:
         textnum.mixed(elements).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(elements)))[0]
 
 
-def _tag(node: np.uint64, text: bytes, row_id) -> int:
+def _tag(node: np.uint64, row_id) -> int:
     """Tells the rows of one set apart by their id."""
-    seed = np.uint64((hash(row_id) if row_id is not None else -1) & ((1 << 64) - 1))
-    return int(textnum.mixed(np.array([node ^ textnum.mixed(np.array([seed]))[0]]))[0].view(np.int64))
+    name = zlib.crc32(repr(row_id).encode())
+    return int(textnum.mixed(np.array([int(node) ^ (name * 0xD6E8FEB86659FD93 & _ALL)],
+                                      dtype=np.uint64)).view(np.int64)[0])
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -133,17 +136,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             ids, row = batch.column(0), 0
             for run in textnum.chunked(textnum.as_bytes(batch.column(1))):
                 nodes, tags, counts, buckets, ends = [], [], [], [], [0]
-                for text, elements in zip(run, textnum.shingle_sets(run, words), strict=True):
+                for elements in textnum.shingle_sets(run, words):
                     n = len(elements)
                     counts.append(n)
                     found = []
                     if n:
                         node = _node(elements)
                         nodes.append(int(node.view(np.int64)))
-                        tags.append(_tag(node, text, ids[row + len(counts) - 1].as_py()))
+                        tags.append(_tag(node, ids[row + len(counts) - 1].as_py()))
                         if n <= boundary:
                             found.append(_subset_buckets(elements, percent))
-                        if n >= heavy_from and n > 0:
+                        if n >= heavy_from:
                             found.append(textnum.mixed(_prefix(elements, frequency, percent)))
                     else:
                         nodes.append(None)
@@ -171,20 +174,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         described.select("node", "tag").join(live.select("node").distinct(), "node")
         .groupBy("node").agg(F.min("tag").alias("tag")))
     mask = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    for part in [bit_words(needed, F.col("tag"), FILTER_BITS).toPandas()]:
-        mask[part["word"].to_numpy(np.int64)] = part["mask"].to_numpy(np.int64).view(np.uint64)
+    part = bit_words(needed, F.col("tag"), FILTER_BITS).toPandas()
+    mask[part["word"].to_numpy(np.int64)] = part["mask"].to_numpy(np.int64).view(np.uint64)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, row = batch.column(0).to_pylist(), 0
             for run in textnum.chunked(textnum.as_bytes(batch.column(1))):
                 columns: list[list] = [[], [], [], [], []]
-                for text, elements in zip(run, textnum.shingle_sets(run, words), strict=True):
+                for elements in textnum.shingle_sets(run, words):
                     row += 1
                     if not len(elements):
                         continue
                     node = _node(elements)
-                    tag = _tag(node, text, ids[row - 1])
+                    tag = _tag(node, ids[row - 1])
                     bit = tag % FILTER_BITS
                     if int(mask[bit >> 6]) >> (bit & 63) & 1:
                         for column, value in zip(columns, (

@@ -17,6 +17,7 @@ from cohortwise.llm import (
     ngram_join,
     packing,
     sharding,
+    substring_dedup,
 )
 
 SHARDS = 24
@@ -82,6 +83,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "held_out", "language.*")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.render_perspectives(_table(spark, sf_dir, "conversations")).select(
         "conv_id", "part", "perspective", "n_turns", "text", "masked_chars",

@@ -59,6 +59,12 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     Words are runs of bytes other than space and 0x09 to 0x0D, after lower-casing A-Z.  A word's
     hash is a polynomial in its bytes modulo 2^64, scrambled with its length.
     """
+    hashes, bounds, _, _, _ = located_words(texts)
+    return hashes, bounds
+
+
+def located_words(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """As ``word_hashes``, and first and end byte of each word and where texts begin, in the joined texts."""
     buffer = _LOWER[np.frombuffer(_SEPARATOR.join(texts) + _SEPARATOR, dtype=np.uint8)]
     space = _IS_SPACE[buffer]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).astype(np.int8)))
@@ -69,7 +75,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = (sums[ends] - sums[starts]) * power_table(_BASE_INVERSE, len(buffer))[starts]
     hashes = mixed(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     text_starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return hashes, np.searchsorted(starts, text_starts)
+    return hashes, np.searchsorted(starts, text_starts), starts, ends, text_starts
 
 
 def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
