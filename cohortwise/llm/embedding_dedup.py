@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.llm.common import written
+from cohortwise.llm.common import ship_package, written
 from cohortwise.llm.graph import connected_components
 
 THRESHOLD = 0.9
@@ -132,6 +132,8 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id",
     bits = bits or max(8, math.ceil(math.log2(max(n, 2))))
     tables = tables_for(bits, threshold, recall)
 
+    ship_package(vectors.sparkSession)
+
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             raw = [np.asarray(v, dtype=kind).tobytes() for v in pdf["v"]]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.llm import textnum
+from cohortwise.llm.common import ship_package
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 13
@@ -169,6 +170,8 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     drawn = (rows.where(position < F.element_at(share, F.col("lang"))).withColumn("draw", draw)
              .orderBy("draw").limit(2 * rows_per_language * len(counts)).select("lang", "text"))
 
+    ship_package(docs.sparkSession)
+
     def reduce(batches):
         for pdf in batches:
             for start in range(0, len(pdf), 64):
@@ -202,6 +205,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
     if model is None:
         return docs.withColumn(into, none)
 
+    ship_package(docs.sparkSession)
+
     @F.pandas_udf("lang_pred string, score double")
     def best(texts: pd.Series) -> pd.DataFrame:
         runs = _runs(texts) if len(texts) else []

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.llm.common import written
+from cohortwise.llm.common import ship_package, written
 
 RARE_SHARE = 0.1
 RARE_LEAST = 10
@@ -129,6 +129,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     earlier = sequences.select(F.col("__id").alias("first_id"), F.col("__hash").alias("first_hash"),
                                F.col("lines").alias("earlier"))
 
+    ship_package(docs.sparkSession)
+
     @F.pandas_udf("array<int>")
     def align(a: pd.Series, b: pd.Series, rare: pd.Series) -> pd.Series:
         return pd.Series([common_blocks(x.tolist(), y.tolist(), set(z.tolist()))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.llm import textnum
-from cohortwise.llm.common import bit_words, written
+from cohortwise.llm.common import bit_words, ship_package, written
 from cohortwise.llm.links import linked_components, parity_bits, shared_buckets
 
 SKETCH = 1 << 18  # counters of the frequency sketch, whatever the corpus
@@ -110,6 +110,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
+    ship_package(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH + _COUNTED_SIZES + 1, dtype=np.int64)
         for batch in batches:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortwise.llm import textnum
-from cohortwise.llm.common import gapless_rank, written
+from cohortwise.llm.common import gapless_rank, ship_package, written
 from cohortwise.llm.tokens import word_tokenizer
 
 WINDOW = 4096
@@ -37,6 +37,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW,
         fields.append(pa.field("ids", pa.binary()))
     end = np.array([end_id], dtype="<u4").tobytes()
 
+    ship_package(docs.sparkSession)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_tokenizer(tokenizer_path)
         for batch in batches:

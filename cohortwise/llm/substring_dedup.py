@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortwise.llm import textnum
-from cohortwise.llm.common import bit_words, written
+from cohortwise.llm.common import bit_words, ship_package, written
 from cohortwise.llm.links import linked_components, parity_bits, shared_buckets
 
 LEAST_PASSAGE = 51  # words; every shared passage of so many holds a shared paragraph
@@ -75,8 +75,15 @@ class Paragraphs:
         inverse = textnum.power_table(pow(_BASE, -1, 1 << 64), len(self.words))
         #: A 64-bit name for the words of each paragraph.
         self.nodes = textnum.mixed((sums[self.at + size] - sums[self.at]) * inverse[self.at])
+        # Each anchor's next one in its text, and a name for the words up to there.
+        ahead = np.searchsorted(at, self.at, side="right")
+        following = np.append(at, len(self.words))[ahead]
+        self.next = np.minimum(following, self.bounds[self.text + 1])
+        self.onward = textnum.mixed((sums[self.next] - sums[self.at]) * inverse[self.at]
+                                    + (self.next - self.at).astype(np.uint64))
         self.begin = starts[self.at] - text_starts[self.text]
         self.end = ends[self.at + size - 1] - text_starts[self.text] if len(self.at) else self.at
+        self.next_end = ends[self.next - 1] - text_starts[self.text] if len(self.at) else self.at
 
     def rows(self, which: np.ndarray) -> np.ndarray:
         return self.shingles[self.at[which][:, None] + np.arange(self.size - self.k + 1)]
@@ -131,6 +138,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"),
                         F.col(text_col).alias("text"))
 
+    ship_package(docs.sparkSession)
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in textnum.chunked(textnum.as_bytes(batch.column(0))):
@@ -167,46 +176,49 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 bit = found.nodes.view(np.int64) % FILTER_BITS
                 which = np.flatnonzero(mask[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1))
                 sets = [np.unique(x) for x in found.rows(which)] if len(which) else []
-                spans = [(0, 0)] * len(which)
-                content = np.zeros(len(which), np.int64)
+                begin, end, reach, content = np.zeros((4, len(which)), np.int64)
                 for t in np.unique(found.text[which]):
                     own = np.flatnonzero(found.text[which] == t)
-                    begin = _characters_before(run[t], found.begin[which[own]])
-                    end = _characters_before(run[t], found.end[which[own]])
+                    for values, at in ((begin, found.begin), (end, found.end),
+                                       (reach, found.next_end)):
+                        values[own] = _characters_before(run[t], at[which[own]])
                     # all words of the text name its content
-                    own_words = found.words[found.bounds[t] : found.bounds[t + 1]]
-                    content[own] = _sequence_hash(own_words)
-                    for i, b, e in zip(own, begin.tolist(), end.tolist(), strict=True):
-                        spans[i] = (b, e)
+                    content[own] = _sequence_hash(
+                        found.words[found.bounds[t] : found.bounds[t + 1]])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[row + found.text[which]], pa.int64()), pa.array(content),
-                     pa.array([b for b, _ in spans], pa.int64()),
-                     pa.array([e for _, e in spans], pa.int64()),
+                     pa.array(begin), pa.array(end), pa.array(np.maximum(end, reach)),
+                     pa.array(found.onward[which].view(np.int64)),
                      pa.array(found.nodes[which].view(np.int64)),
                      pa.array([len(x) for x in sets], pa.int32()),
                      pa.array([parity_bits(x) for x in sets], pa.binary()),
                      pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())],
-                    names=["id", "content", "start", "stop", "node", "size", "parity", "elements"])
+                    names=["id", "content", "start", "stop", "reach", "onward", "node", "size",
+                           "parity", "elements"])
                 row += len(run)
 
     placed = written(texts.mapInArrow(
-        place, "id long, content long, start long, stop long, node long, size int, parity binary, "
-               "elements binary"))
+        place, "id long, content long, start long, stop long, reach long, onward long, node long, "
+               "size int, parity binary, elements binary"))
     sets = placed.select("node", "size", "parity", "elements").join(
         live.select("node").distinct(), "node").dropDuplicates(["node"])
     sets = written(sets)
     sized = live.drop("size").join(sets.select("node", "size"), "node")
     part_of = linked_components(written(sized.select("bucket", "node", "size")), sets, percent)
 
-    occurrences = placed.select("id", "content", "start", "stop", "node").join(
-        part_of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    place_of = F.struct("id", "content", "start")
+    occurrences = placed.select(
+        "id", "content", "start", "stop", "reach", "onward", "node"
+    ).join(part_of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    place_of = F.struct("id", "content", "start", "onward")
     document = F.struct("id", "content")
     components = occurrences.groupBy("component").agg(
         F.min(place_of).alias("first"), F.min(document).alias("low"), F.max(document).alias("high")
     ).where("low != high").select("component", "first")
     gone = occurrences.join(components, "component").where(place_of != F.col("first")).select(
-        "id", "content", "start", "stop", F.col("first.id").alias("keep_id"))
+        "id", "content", "start",
+        # Where the words up to the next anchor are those of the first occurrence, they go as well.
+        F.when(F.col("onward") == F.col("first.onward"), F.col("reach")).otherwise(F.col("stop"))
+        .alias("stop"), F.col("first.id").alias("keep_id"))
     # Overlapping or touching paragraphs of a document are one passage.
     in_order = Window.partitionBy("id", "content").orderBy("start", "stop", "keep_id")
     reach = F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
