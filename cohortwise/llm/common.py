@@ -21,6 +21,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that they can't clash with those an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def unpacked(row: str, columns: list[str], **changed: Column) -> list[Column]:
+    """The columns of such a struct again, some of them with new values."""
+    return [changed[c].alias(c) if c in changed else F.col(row).getField(c).alias(c)
+            for c in columns]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or something like it that no column of ``df`` has."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 _shipped: set[str] = set()
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.llm.common import ship_package, written
+from cohortwise.llm.common import ship_package, unpacked, whole_row, written
 
 RARE_SHARE = 0.1
 RARE_LEAST = 10
@@ -104,11 +104,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blanks only is no anchor but may be part of a block.  An empty table gives an empty result.  Any
     other columns stay; one named ``into`` is replaced.  Lines are compared by 64-bit hashes.
     """
-    key = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)),
-           "__hash": F.xxhash64(F.col(text_col))}
-    lines = _lines(F.col(text_col))
-    sequences = written(docs.where(F.col(text_col).isNotNull()).select(
-        *[c.alias(k) for k, c in key.items()],
+    rows = docs.select(
+        whole_row(docs).alias("row"), F.col(text_col).alias("text"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("__id"),
+        F.xxhash64(F.col(text_col)).alias("__hash"))
+    lines = _lines(F.col("text"))
+    sequences = written(rows.where(F.col("text").isNotNull()).select(
+        "__id", "__hash",
         F.transform(lines, lambda x: F.when(F.trim(x) == "", 0).otherwise(F.xxhash64(x)))
         .alias("lines"),
         F.transform(F.filter(lines, lambda x: (F.char_length(x) >= anchor_chars) & (F.trim(x) != "")),
@@ -142,7 +144,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("__id", "__hash").agg(F.sort_array(F.collect_set("line")).alias("__removed"))
     )
     none = F.array().cast("array<int>")
-    marked = docs.withColumns(key).join(removed, ["__id", "__hash"], "left").withColumn(
+    marked = rows.join(removed, ["__id", "__hash"], "left").withColumn(
         "__removed", F.coalesce("__removed", none))
     # What stays: the runs between removed lines, so that long documents are rebuilt in one pass.
     cuts = F.concat(F.array(F.lit(-1)), F.col("__removed"), F.array(F.size("__lines")))
@@ -155,11 +157,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.array_join(F.flatten(F.transform(
         runs, lambda r: F.slice("__lines", r["start"], r["length"]))), "\n")
     result = F.struct(
-        F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("__lines")), F.lit(0)).alias("n_lines"),
+        F.coalesce(F.when(F.col("text").isNotNull(), F.size("__lines")), F.lit(0)).alias("n_lines"),
         F.size("__removed").alias("n_removed"), F.col("__removed").alias("removed"))
-    return (
-        marked.withColumn("__lines", lines).withColumn("__cuts", cuts)
-        .withColumn(into, result)
-        .withColumn(text_col, F.when(F.size("__removed") == 0, F.col(text_col)).otherwise(kept))
-        .select(*docs.columns, *([into] if into not in docs.columns else []))
-    )
+    new_text = F.when(F.size("__removed") == 0, F.col("text")).otherwise(kept)
+    others = [c for c in docs.columns if c != into]
+    return marked.withColumn("__lines", lines).withColumn("__cuts", cuts).select(
+        *unpacked("row", others, **{text_col: new_text}), result.alias(into))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortwise.llm.common import written
+from cohortwise.llm.common import unpacked, whole_row, written
 
 EPOCHS = 4
 _PART_DIGITS = 3  # 16^3 parts of a leaf's order
@@ -113,12 +113,13 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Map
     names = list(levels)
     inner = {name: f"__level_{i}" for i, name in enumerate(names)}
     content = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.withColumns({
-        **{inner[name]: c.cast("string") for name, c in levels.items()},
-        "__tokens": word_count(F.col(text_col)),
-        "__row": F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"),
-                                content)),
-    }).where(F.col("__tokens") > 0)
+    keyed = docs.select(
+        whole_row(docs).alias("row"),
+        *[c.cast("string").alias(inner[name]) for name, c in levels.items()],
+        word_count(F.col(text_col)).alias("__tokens"),
+        F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), content))
+        .alias("__row"),
+    ).where(F.col("__tokens") > 0)
     at = list(inner.values())
     narrow = written(keyed.select(*at, "__row", "__tokens"))
     supply = narrow.groupBy(*at).agg(F.sum("__tokens").alias("supply"))
@@ -157,5 +158,5 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Map
         "__taken", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1)))
     result = F.struct(*[F.col(inner[n]).alias(n) for n in names],
                       F.col("__taken").alias("epoch"), F.col("__tokens").alias("tokens"))
-    return chosen.withColumn(into, result).select(
-        *docs.columns, *([into] if into not in docs.columns else []))
+    others = [c for c in docs.columns if c != into]
+    return chosen.select(*unpacked("row", others), result.alias(into))

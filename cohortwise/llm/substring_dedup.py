@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortwise.llm import textnum
-from cohortwise.llm.common import bit_words, ship_package, written
+from cohortwise.llm.common import bit_words, ship_package, unpacked, whole_row, written
 from cohortwise.llm.links import linked_components, parity_bits, shared_buckets
 
 LEAST_PASSAGE = 51  # words; every shared passage of so many holds a shared paragraph
@@ -253,11 +253,13 @@ def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id
         F.sort_array(F.collect_list(F.struct("start", "length"))).alias("__cuts"))
     kept = F.concat(
         F.array_join(F.transform("__cuts", lambda c, i: F.substr(
-            F.col(text_col), _end_of(i - 1) + 1, c["start"] - _end_of(i - 1))), ""),
-        F.substr(F.col(text_col), _end_of(F.size("__cuts") - 1) + 1))
-    return docs.join(cuts, F.col(id_col) == F.col("__id"), "left").withColumn(
-        text_col, F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(kept)
-    ).select(*docs.columns)
+            F.col("text"), _end_of(i - 1) + 1, (c["start"] - _end_of(i - 1)).cast("int"))), ""),
+        F.substr(F.col("text"), _end_of(F.size("__cuts") - 1) + 1))
+    rows = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("__doc"),
+                       F.col(text_col).alias("text"))
+    new_text = F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(kept)
+    return rows.join(cuts, F.col("__doc") == F.col("__id"), "left").select(
+        *unpacked("row", docs.columns, **{text_col: new_text}))
 
 
 def _end_of(i):
