@@ -122,11 +122,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``shingle``-word shingles, banded so that a pair with a Jaccard similarity of ``percent`` / 100
     collides with probability ``recall`` (a passage of more words has several paragraphs).  Colliding
     paragraphs are verified by exact Jaccard and joined into components; no bucket is capped (see
-    ``links.linked_components``).  In each component that spans several documents the occurrence of
-    the smallest (id, place) stays, and the others go.
+    ``links.linked_components``).  In each component that spans several documents what the first
+    document holds of it stays, and the others' occurrences go.
 
     Returns one row per passage to remove, overlapping paragraphs merged: id, start and length
-    (characters of the text), keep_id (the document whose occurrence of its first paragraph stays).
+    (characters of the text), keep_id (the document in which its first paragraph stays).
     Texts that repeat nothing have no row.  A null or empty text has no paragraph, and what
     repeats within one document only is no finding.  Rows equal in id and text are one document;
     null ids come last and are told apart by their texts.  An empty table gives an empty
@@ -209,16 +209,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     occurrences = placed.select(
         "id", "content", "start", "stop", "reach", "onward", "node"
     ).join(part_of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    place_of = F.struct("id", "content", "start", "onward")
     document = F.struct("id", "content")
     components = occurrences.groupBy("component").agg(
-        F.min(place_of).alias("first"), F.min(document).alias("low"), F.max(document).alias("high")
-    ).where("low != high").select("component", "first")
-    gone = occurrences.join(components, "component").where(place_of != F.col("first")).select(
+        F.min(document).alias("first"), F.max(document).alias("last")).where("first != last")
+    held = occurrences.join(components.select("component", "first"), "component")
+    onwards = held.where(document == F.col("first")).select(
+        "component", "onward", F.lit(True).alias("goes_on")).distinct()
+    gone = held.where(document != F.col("first")).join(
+        onwards, ["component", "onward"], "left").select(
         "id", "content", "start",
-        # Where the words up to the next anchor are those of the first occurrence, they go as well.
-        F.when(F.col("onward") == F.col("first.onward"), F.col("reach")).otherwise(F.col("stop"))
-        .alias("stop"), F.col("first.id").alias("keep_id"))
+        # Where the words up to the next anchor are those of the first document, they go as well.
+        F.when(F.col("goes_on"), F.col("reach")).otherwise(F.col("stop")).alias("stop"),
+        F.col("first.id").alias("keep_id"))
     # Overlapping or touching paragraphs of a document are one passage.
     in_order = Window.partitionBy("id", "content").orderBy("start", "stop", "keep_id")
     reach = F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
