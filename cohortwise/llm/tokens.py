@@ -4,23 +4,34 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 CACHE_WORDS = 400_000
 _MARK = "<|endoftext|>"
-# A full stop or comma that is a token of its own: after an ASCII letter or digit or a Latin-1
-# letter, and before white space or the end.  Others may be part of a run of signs.
-_JOINED_SIGN = re.compile(
-    rb"(?<![a-z0-9\s])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,]|[.,](?!\s|\Z)")
+# Latin letters of ASCII and Latin-1 in UTF-8, and a sign that is a token of its own after them.
+_SIMPLE = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]?)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes are their
+    own, the others are numbered from 256."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
+_LETTERS = _byte_letters()
 
 
 class WordTokenizer:
     """Encodes texts word by word, remembering the ids of words it has met.
 
-    Right for tokenizers that lower-case, never join ids over white space, and treat a full stop
-    or comma between a letter and white space as a token of its own.  Texts with something like
-    a special token are handed over whole.  Ids come as little-endian unsigned 32-bit values.
+    Right for byte-level tokenizers with word ends that lower-case, never join ids over white space,
+    and split letters from signs.  A word of plain letters goes to the model at once; any other
+    is encoded with all rules of the file; a text with something like a special token is encoded
+    whole.  Ids come as little-endian unsigned 32-bit values.
     """
 
     def __init__(self, path: str):
@@ -28,17 +39,35 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.mark = self.tokenizer.token_to_id(_MARK)
         self.known: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
 
     def whole(self, text: bytes) -> bytes:
         ids = self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode new words, a thousand in one text, parted by a special token."""
-        for at in range(0, len(words), 1000):
-            part = words[at : at + 1000]
+    def _stem(self, word: bytes) -> bytes:
+        low = word if word.isascii() else word.decode("utf-8").lower().encode()
+        ids = self.stems.get(low)
+        if ids is None:
+            tokens = self.model.tokenize(low.decode("latin-1").translate(_LETTERS))
+            ids = self.stems[low] = array("I", [t.id for t in tokens]).tobytes()
+        return ids
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Encode new words; those that are not plain a thousand in one text, parted by a mark."""
+        other = []
+        signs = {b"": b"", b".": self.whole(b"."), b",": self.whole(b",")}
+        for word in words:
+            plain = _SIMPLE.fullmatch(word)
+            if plain:
+                self.known[word] = self._stem(plain[1]) + signs[plain[2]]
+            else:
+                other.append(word)
+        for at in range(0, len(other), 1000):
+            part = other[at : at + 1000]
             joined = _MARK.encode().join(part).decode("utf-8")
             ids = np.array(
                 self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids,
@@ -50,19 +79,13 @@ class WordTokenizer:
                 self.known[word] = raw[b:e]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        parts: list[list[bytes] | None] = []
-        for text in texts:
-            low = text.lower()  # ASCII only; the tokenizer does the rest
-            if b"<|" in low:
-                parts.append(None)
-                continue
-            if not _JOINED_SIGN.search(low):
-                low = low.replace(b",", b" ,").replace(b".", b" .")
-            parts.append(low.split())
+        # bytes.lower() is for ASCII alone; the tokenizer's rules do the rest.
+        parts = [None if b"<|" in t else t.lower().split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
+            self.stems.clear()
         known = self.known
-        self._learn(list({w for p in parts if p for w in p if w not in known}))
+        self._learn(set().union(*[p for p in parts if p]).difference(known))
         return [self.whole(t) if p is None else b"".join(map(known.__getitem__, p))
                 for t, p in zip(texts, parts, strict=True)]
 
