@@ -291,15 +291,6 @@ DEPRIVATION_FOOTNOTE = (
     "2011 Census"
 )
 CENSUS_FOOTNOTE = "4. {title} was derived from the 2011 Census"
-# "Rural-Urban" differs in case from the title "Rural-urban", so this note is
-# never reached with the default titles; results depend on that.
-GPES_FOOTNOTE_TITLE = "Rural-Urban"
-GPES_FOOTNOTE = (
-    "4. The rural-urban information of an individual was derived from their resident address in "
-    "the General Practice Extraction Service (GPES) data for pandemic planning and research. If "
-    "this was not available, it was derived from the individual's resident address in the 2011 "
-    "Census"
-)
 TENURE_FOOTNOTE = (
     "4. Household tenure was derived from the 2011 Census. Not classified includes people living "
     "in communal establishments at the time of the 2011 Census."
@@ -315,7 +306,6 @@ AREA_FOOTNOTE = (
     "period starts from April 2021 for all local authority breakdowns."
 )
 EXPOSURE_FOOTNOTES = {
-    GPES_FOOTNOTE_TITLE: GPES_FOOTNOTE,
     "Deprivation quintile": DEPRIVATION_FOOTNOTE,
     "Regional deprivation quintile": DEPRIVATION_FOOTNOTE,
     "Local authority deprivation quintile": DEPRIVATION_FOOTNOTE,

@@ -23,11 +23,6 @@ def alive_on(died: Column, when: Column) -> Column:
     return died.isNull() | (died >= when)
 
 
-def alive_after(died: Column, when: Column) -> Column:
-    """Died strictly after the day, or not at all."""
-    return died.isNull() | (died > when)
-
-
 def absent_or_from(when: Column, floor: date | str) -> Column:
     """No date, or a date not before the floor (the date is evaluated once)."""
     return F.coalesce(when >= day(floor), F.lit(True))

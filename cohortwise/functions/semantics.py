@@ -81,7 +81,3 @@ def text_slice(col: Column, start: int, stop: int) -> Column:
 
 def capitalise(col: Column) -> Column:
     return F.concat(F.upper(F.substring(col, 1, 1)), col.substr(F.lit(2), F.length(col)))
-
-
-def starts_with_columns(columns: Iterable[str], prefix: str) -> list[str]:
-    return [c for c in columns if c.startswith(prefix)]

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortwise import fixed_values as fv
-from cohortwise.sources.lookups import lookup_join
-from cohortwise.sources.staging import stage
+from cohortwise.sources.lookups import assert_unique_lookup
 
-BOUNDED_ROWS = 4_000_000
+MOST_BUCKETS = 4096
+SPREAD = 1024
 QUINTILE_POINTS = (0.2, 0.4, 0.6, 0.8)
 
 
@@ -20,24 +20,38 @@ def exact_percentiles(
     group: str,
     value: str,
     points: Mapping[str, float],
-    bucket_width: float = 32.0,
+    most_buckets: int = MOST_BUCKETS,
 ) -> DataFrame:
     """Exact percentiles (linear interpolation) per group, without gathering a group.
 
-    Values are counted per (group, bucket of values, value); the counts per
-    bucket say in which bucket each wanted position lies, and only those
-    buckets are then ordered.  The largest piece of work for one task is one
-    bucket of one group, however large the group is.  ``bucket_width`` should
-    split the range of the values into up to a few thousand buckets.
+    Values are counted per (group, value); the range of a group is cut into
+    equal buckets, as many as it has rows and ``most_buckets`` at most.  The
+    counts per bucket say in which bucket each wanted position lies, and only
+    those buckets are then ordered.  The largest piece of work for one task is
+    one bucket of one group, however large, wide or dense the group is.
 
     A group whose values are all null is returned with null percentiles, and
     null is a group of its own.
     """
-    freq = (
+    counted = (
         df.select(F.col(group), F.col(value).cast("double").alias("v"))
-        .groupBy(group, F.floor(F.col("v") / bucket_width).alias("bucket"), "v")
+        .groupBy(group, "v")
         .agg(F.count("*").alias("n"))
     )
+    spans = counted.groupBy(F.col(group).alias("_group")).agg(
+        F.min("v").alias("_least"),
+        F.max("v").alias("_most"),
+        F.least(F.sum("n"), F.lit(most_buckets)).alias("_buckets"),
+    )
+    width = (F.col("_most") - F.col("_least")) / F.col("_buckets")
+    bucket = F.when(
+        F.col("v").isNotNull(),
+        F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("_least"), width)), F.lit(0)),
+    )
+    freq = (
+        counted.join(spans, F.col(group).eqNullSafe(F.col("_group")))
+        .select(group, bucket.alias("bucket"), "v", "n")
+    )
     in_group = Window.partitionBy(group)
     buckets = (
         freq.groupBy(group, "bucket")
@@ -59,12 +73,12 @@ def exact_percentiles(
                 (index >= F.col("before")) & (index < F.col("before") + F.col("n"))
             )
     wanted = wanted.filter(in_bucket & (F.col("n") > 0)).select(
-        F.col(group).alias("g"), F.col("bucket").alias("b"), "before", "total"
+        F.col(group).alias("_g"), F.col("bucket").alias("_b"), "before", "total"
     )
     in_order = Window.partitionBy(group, "bucket").orderBy("v")
     ranked = (
         freq.filter(F.col("v").isNotNull())
-        .join(wanted, F.col(group).eqNullSafe(F.col("g")) & (F.col("bucket") == F.col("b")))
+        .join(wanted, F.col(group).eqNullSafe(F.col("_g")) & (F.col("bucket") == F.col("_b")))
         .withColumn("upto", F.col("before") + F.sum("n").over(in_order))
     )
 
@@ -91,52 +105,24 @@ def _points(rank: str) -> dict[str, float]:
     return {f"{rank}_p{round(p * 100)}": p for p in QUINTILE_POINTS}
 
 
-def area_percentiles(
-    units: DataFrame, area: str, rank: str = "imd_rank", bucket_width: float = 32.0
-) -> DataFrame:
+def area_percentiles(units: DataFrame, area: str, rank: str = "imd_rank") -> DataFrame:
     """The four quintile borders of the rank within each area."""
-    return exact_percentiles(units, area, rank, _points(rank), bucket_width)
-
-
-def is_bounded(*inputs: DataFrame, max_rows: int = BOUNDED_ROWS) -> bool:
-    """Whether the inputs are counted to have at most ``max_rows`` rows together.
-
-    A count of a stored table reads its metadata only.
-    """
-    return sum(df.count() for df in inputs) <= max_rows
+    return exact_percentiles(units, area, rank, _points(rank))
 
 
-def area_quintile(
-    units: DataFrame,
-    area: str,
-    name: str,
-    rank: str = "imd_rank",
-    bucket_width: float = 32.0,
-    bounded: bool = False,
-) -> DataFrame:
+def area_quintile(units: DataFrame, area: str, name: str, rank: str = "imd_rank") -> DataFrame:
     """Add the quintile ``"1"``..``"5"`` of the rank within the area.
 
     A rank equal to a border belongs to the lower quintile; a null rank or a
-    null area has no quintile.  For units that are ``bounded`` the built-in
-    exact percentile runs over the area as a window, which holds the ranks of
-    one area in one task; otherwise the borders come from
-    ``exact_percentiles``.  Both give the same numbers.
+    null area has no quintile.
     """
     names = list(_points(rank))
-    if bounded:
-        points = [float(p) for p in QUINTILE_POINTS]
-        inside = F.percentile(F.col(rank), points).over(Window.partitionBy(area))
-        borders = F.when(F.col(area).isNotNull(), inside)
-        joined = units.withColumn("_borders", borders).withColumns(
-            {c: F.col("_borders")[i] for i, c in enumerate(names)}
-        )
-    else:
-        joined = units.join(area_percentiles(units, area, rank, bucket_width), area, "left")
+    joined = units.join(area_percentiles(units, area, rank), area, "left")
     value = F.col(rank)
     out = F.when(value > F.col(names[-1]), F.lit(str(len(names) + 1)))
     for quintile in range(len(names), 0, -1):
         out = F.when(value <= F.col(names[quintile - 1]), F.lit(str(quintile))).otherwise(out)
-    return joined.withColumn(name, out).drop("_borders", *names)
+    return joined.withColumn(name, out).drop(*names)
 
 
 def area_names(names: DataFrame) -> DataFrame:
@@ -160,78 +146,53 @@ def small_area_units(imd: DataFrame) -> DataFrame:
 
 
 def local_authority_quintiles(
-    imd: DataFrame,
-    postcodes: DataFrame,
-    names: DataFrame,
-    bucket_width: float = 32.0,
-    max_rows: int = BOUNDED_ROWS,
+    imd: DataFrame, postcodes: DataFrame, names: DataFrame
 ) -> DataFrame:
     """Small area -> local authority code, name and quintile within it."""
     areas = postcode_areas(postcodes, names).withColumnRenamed("lsoa11", "lsoa_derived")
     units = small_area_units(imd).join(areas, "lsoa_derived", "left")
-    bounded = is_bounded(imd, postcodes, max_rows=max_rows)
-    out = area_quintile(
-        units, "la_code", "imd_quintile_la", bucket_width=bucket_width, bounded=bounded
-    )
+    out = area_quintile(units, "la_code", "imd_quintile_la")
     return out.select("la_code", "la_name", "lsoa_derived", "imd_quintile_la")
 
 
-def region_quintiles(
-    imd: DataFrame,
-    postcodes: DataFrame,
-    bucket_width: float = 32.0,
-    max_rows: int = BOUNDED_ROWS,
-) -> DataFrame:
+def region_quintiles(imd: DataFrame, postcodes: DataFrame) -> DataFrame:
     """Small area -> quintile within its region."""
     areas = postcodes.select(F.col("lsoa11").alias("lsoa_derived"), "rgn").distinct()
     units = small_area_units(imd).join(areas, "lsoa_derived", "left")
-    bounded = is_bounded(imd, postcodes, max_rows=max_rows)
-    out = area_quintile(
-        units, "rgn", "imd_quintile_region", bucket_width=bucket_width, bounded=bounded
-    )
+    out = area_quintile(units, "rgn", "imd_quintile_region")
     return out.select("lsoa_derived", "imd_quintile_region")
 
 
-def area_lookup(
-    imd: DataFrame, postcodes: DataFrame, names: DataFrame, bucket_width: float = 32.0
-) -> DataFrame:
-    """All area columns by small area, as one staged table.
+def area_lookup(imd: DataFrame, postcodes: DataFrame, names: DataFrame) -> DataFrame:
+    """All area columns by small area.
 
     The three lookups share their key, so persons are joined once.  A small
     area that lies in several local authorities has several rows here and
-    multiplies its persons, as three separate left joins would.
+    multiplies its persons, as three separate left joins would.  The national
+    lookup must have one row per small area.
     """
-    national = imd.select(
-        F.col("LSOA11CD").alias("lsoa_derived"),
-        F.col("IMD_QUINTILE").cast("string").alias("imd_quintile"),
+    national = assert_unique_lookup(
+        imd.select(
+            F.col("LSOA11CD").alias("lsoa_derived"),
+            F.col("IMD_QUINTILE").cast("string").alias("imd_quintile"),
+        ),
+        "lsoa_derived",
     )
     joined = national.join(
-        local_authority_quintiles(imd, postcodes, names, bucket_width), "lsoa_derived", "left"
-    ).join(region_quintiles(imd, postcodes, bucket_width), "lsoa_derived", "left")
-    return stage(joined.withColumn("la_derived", F.col("la_name")), "area-lookup")
+        local_authority_quintiles(imd, postcodes, names), "lsoa_derived", "left"
+    ).join(region_quintiles(imd, postcodes), "lsoa_derived", "left")
+    return joined.withColumn("la_derived", F.col("la_name"))
 
 
 def attach_areas(df: DataFrame, lookup: DataFrame, key: str = "lsoa_derived") -> DataFrame:
-    """Left join of persons to their area columns."""
-    return lookup_join(df, lookup, key)
-
+    """Left join of persons to their area columns.
 
-def assert_unique_lookup(lookup: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """The lookup itself, failing at run time if a key has more than one row.
-
-    Rows are combined per key before the shuffle, so a key with very many rows
-    fails without being gathered.
+    Where the lookup is too large to broadcast, persons are shuffled by the key; those
+    without one are dealt out under keys that no lookup has, not sent to one task.
     """
-    keys = [key] if isinstance(key, str) else list(key)
-    others = [c for c in lookup.columns if c not in keys]
-    message = F.lit(f"lookup has several rows for one value of {', '.join(keys)}")
-    unique = F.when(F.col("_rows") == 1, True).otherwise(F.raise_error(message).cast("boolean"))
-    return (
-        lookup.groupBy(*keys)
-        .agg(F.count("*").alias("_rows"), *[F.first(c).alias(c) for c in others])
-        .filter(unique)
-        .select(*lookup.columns)
-    )
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD)).cast("string"))
+    named = lookup.withColumnRenamed(key, "_area")
+    return df.join(named, F.coalesce(F.col(key), spread) == F.col("_area"), "left").drop("_area")
 
 
 def merge_small_areas(

@@ -13,7 +13,6 @@ from cohortwise.functions import predicates as p
 from cohortwise.functions.bands import REPORT_BANDS, assign_band
 from cohortwise.functions.dates import age_at
 from cohortwise.functions.semantics import sum_or_zero, text_slice
-from cohortwise.sources.staging import stage
 
 Day = date | str | None
 
@@ -56,9 +55,8 @@ def deaths_by_day(cells: DataFrame, floor: str = fv.DEATH_REPORT_FLOOR) -> DataF
     return cells.filter(F.col("dod") >= p.day(floor)).groupBy("dod").agg(_people())
 
 
-def death_counts(df: DataFrame) -> dict[str, DataFrame]:
-    """The four death reports in display order, by name, from one pass over the persons."""
-    cells = stage(death_cells(df), "death-cells")
+def death_reports(cells: DataFrame) -> dict[str, DataFrame]:
+    """The four death reports in display order, by name, from (written) ``death_cells``."""
     return {
         "registrations_by_month": registrations_by_month(cells).orderBy(
             *nulls_last("doryr", "dormt")
@@ -69,6 +67,11 @@ def death_counts(df: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def death_counts(df: DataFrame) -> dict[str, DataFrame]:
+    """The four death reports of persons; each is a plan over the persons of its own."""
+    return death_reports(death_cells(df))
+
+
 def check_population(
     df: DataFrame,
     death_date: Day = None,
@@ -104,8 +107,9 @@ def dose_trend(
 ) -> DataFrame:
     """Doses by day with running totals, for several doses in one pass.
 
-    People without the dose are the last row of the dose (null date).  The
-    running total orders the days of a dose, one row per calendar day.
+    Rows are in display order: by dose as asked for, then by day; people without
+    the dose are the last row of the dose (null date).  The running total orders
+    the days of a dose, one row per calendar day.
     """
     people = check_population(df, death_date, age_date, min_age, max_age)
     columns = {f"{d}_vacc_date": d for d in doses}
@@ -120,7 +124,10 @@ def dose_trend(
         .orderBy(F.col("vacc_date").asc_nulls_last())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return daily.withColumn("n_cum", F.sum("n").over(upto))
+    place = F.array_position(F.array(*[F.lit(d) for d in doses]), F.col("dose"))
+    return daily.withColumn("n_cum", F.sum("n").over(upto)).orderBy(
+        place, *nulls_last("vacc_date")
+    )
 
 
 def rate_by_age(
@@ -132,15 +139,16 @@ def rate_by_age(
     max_age: float | None = None,
     doses: Sequence[str] = ("first", "second"),
 ) -> DataFrame:
-    """People and share with each dose by age band."""
+    """People and share with each dose by age band, in order of its label, unknown age last."""
     people = check_population(df, death_date, age_date, min_age, max_age)
-    return people.groupBy(assign_band(F.col("age"), REPORT_BANDS).alias("age_group")).agg(
+    bands = people.groupBy(assign_band(F.col("age"), REPORT_BANDS).alias("age_group")).agg(
         F.count("*").alias("n"),
         *[
             F.avg(p.given_by(F.col(f"{d}_vacc_date"), vacc_date)).alias(f"{d}_rate")
             for d in doses
         ],
     )
+    return bands.orderBy(*nulls_last("age_group"))
 
 
 def missing_profile(
@@ -150,9 +158,12 @@ def missing_profile(
     min_age: float | None = None,
     max_age: float | None = None,
 ) -> DataFrame:
-    """Nulls per column, ``country`` and ``age`` included: one pass, one row per column."""
+    """Nulls per column, ``country`` and ``age`` included: one pass, one row per column.
+
+    Rows are ordered by the number missing, then by name.
+    """
     people = check_population(df, death_date, age_date, min_age, max_age)
     nulls = people.agg(
         *[sum_or_zero(F.col(c).isNull().cast("long")).alias(c) for c in people.columns]
     )
-    return nulls.unpivot([], nulls.columns, "variable", "missing")
+    return nulls.unpivot([], nulls.columns, "variable", "missing").orderBy("missing", "variable")

@@ -9,7 +9,6 @@ from cohortwise.functions import predicates as p
 from cohortwise.functions.bands import REPORT_BANDS, assign_band
 from cohortwise.functions.semantics import if_else
 from cohortwise.operators.checks import Day, nulls_last
-from cohortwise.sources.staging import stage
 
 LINKED, NOT_LINKED = "Linked", "Not linked"
 # A person with a null flag is neither; wide reports give them columns of their own.
@@ -79,18 +78,8 @@ def linkage_wide(cells: DataFrame, by: str, within: str) -> DataFrame:
     )
 
 
-def linkage_report(
-    df: DataFrame,
-    vacc_date: Day,
-    death_date: Day,
-    dose: str,
-    min_age: float | None = None,
-    max_age: float | None = None,
-) -> dict[str, DataFrame]:
-    """The six linkage reports in display order, by name, from one pass over the persons."""
-    cells = stage(
-        linkage_cells(df, vacc_date, death_date, dose, min_age, max_age), "linkage-cells"
-    )
+def linkage_reports(cells: DataFrame) -> dict[str, DataFrame]:
+    """The six linkage reports in display order, by name, from (written) ``linkage_cells``."""
     return {
         "overall": linkage_overall(cells),
         "linked_by_age": linkage_wide(cells, "age_group", "age_group").orderBy(
@@ -103,3 +92,15 @@ def linkage_report(
         ),
         "sexes_of_linked": linkage_wide(cells, "sex", "linked").orderBy(*nulls_last("sex")),
     }
+
+
+def linkage_report(
+    df: DataFrame,
+    vacc_date: Day,
+    death_date: Day,
+    dose: str,
+    min_age: float | None = None,
+    max_age: float | None = None,
+) -> dict[str, DataFrame]:
+    """The six linkage reports of persons; each is a plan over the persons of its own."""
+    return linkage_reports(linkage_cells(df, vacc_date, death_date, dose, min_age, max_age))

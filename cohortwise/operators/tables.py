@@ -1,7 +1,7 @@
 """Rate tables of a run: which counts make which published rows.
 
 A table says which counts it takes and what its rows are called.  The tables of
-a run become a small routing relation keyed by (call, exposure); joining the
+a run become a small routing relation keyed by call; joining the
 counts with it sends every count row to the tables that want it, and one
 aggregation sums all tables.  The counts are computed once however many tables
 there are.
@@ -16,7 +16,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise import fixed_values as fv
 from cohortwise.config import RunConfig
 from cohortwise.functions.semantics import sum_or_zero
 from cohortwise.operators.rates import RATE_COLUMNS, complement_first_dose, mixed_rates
@@ -75,26 +74,25 @@ def standard_tables(run: RunConfig, names: Sequence[str] | None = None) -> tuple
     return tuple(t for t in tables if names is None or t.name in names)
 
 
-ROUTING = (
-    "call string, exposure string, table string, to_exposure string, to_group string, "
-    "to_sub string, standardise boolean, embed boolean"
-)
+def _routes(spark: SparkSession, tables: Sequence[RateTable]) -> DataFrame:
+    """One row per table: the call and exposures it takes and the names it gives."""
+    def route(t: RateTable) -> Column:
+        texts = {"to_call": t.call, "only": t.only, "without": t.without, "table": t.name,
+                 "to_exposure": t.exposure, "to_group": t.group, "to_sub": t.sub_category}
+        return F.struct(
+            *[F.lit(v).cast("string").alias(k) for k, v in texts.items()],
+            F.lit(t.standardise).alias("standardise"), F.lit(t.embed_sex).alias("embed"),
+        )
 
+    return spark.range(1).select(F.inline(F.array(*[route(t) for t in tables])))
 
-def _routes(spark: SparkSession, tables: Sequence[RateTable]) -> DataFrame:
-    """One row per table and exposure it takes; at most a few hundred rows."""
-    exposures = {
-        "region": fv.REGION_EXPOSURES, "la": fv.AREA_EXPOSURES, "sex": fv.SEX_EXPOSURES
-    }
-    rows = [
-        (t.call, e, t.name, t.exposure, t.group, t.sub_category, t.standardise, t.embed_sex)
-        for t in tables
-        for e in exposures[t.call]
-        if t.only in (None, e) and t.without != e
-    ]
-    lines = ", ".join(str(row) for row in rows)
-    names = [f.split()[0] for f in ROUTING.split(", ")]
-    return spark.sql(f"SELECT * FROM VALUES {lines} AS t({', '.join(names)})")
+
+def _known_call(tables: Sequence[RateTable]) -> Column:
+    """The call of a count, failing at run time for one that no table takes."""
+    known = sorted({t.call for t in (*RATE_TABLES, *tables)})
+    message = F.concat(F.lit("no rate table takes the counts of call "), F.col("call"))
+    return F.when(F.col("call").isin(known), F.col("call")).otherwise(
+        F.raise_error(message).cast("string"))
 
 
 def _label(text: Column) -> Column:
@@ -106,8 +104,17 @@ def _label(text: Column) -> Column:
 
 
 def table_counts(counts: DataFrame, tables: Sequence[RateTable]) -> DataFrame:
-    """Counts summed to the rows of the tables (and the age band, if standardised)."""
+    """Counts summed to the rows of the tables (and the age band, if standardised).
+
+    Which exposures a table takes is asked of the counts' own exposures, whatever they are.
+    The routes are broadcast: there is one row per table.
+    """
     routes = F.broadcast(_routes(counts.sparkSession, tables))
+    takes = (
+        (F.col("call") == F.col("to_call"))
+        & (F.col("only").isNull() | (F.col("only") == F.col("exposure")))
+        & (F.col("without").isNull() | (F.col("without") != F.col("exposure")))
+    )
     names = {
         "exposure": _label(F.col("to_exposure")),
         "group": _label(F.col("to_group")),
@@ -115,7 +122,7 @@ def table_counts(counts: DataFrame, tables: Sequence[RateTable]) -> DataFrame:
         "Sex": F.when(~F.col("embed"), F.col("area")),
         "age_group_esp": F.when(F.col("standardise"), F.col("age_group_esp")),
     }
-    rows = counts.join(routes, ["call", "exposure"]).select(
+    rows = counts.withColumn("call", _known_call(tables)).join(routes, takes).select(
         "vaccine_number", "year", "month", "table", "standardise", "embed",
         *[column.alias(name) for name, column in names.items()],
         "population", "vaccinated",

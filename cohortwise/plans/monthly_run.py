@@ -12,14 +12,15 @@ from cohortwise.operators import publication
 from cohortwise.operators.areas import attach_areas, merge_small_areas
 from cohortwise.operators.characteristics import derive_characteristics
 from cohortwise.operators.checks import (
-    death_counts,
+    death_cells,
+    death_reports,
     dose_trend,
     missing_profile,
     rate_by_age,
 )
 from cohortwise.operators.counts import monthly_counts_all
 from cohortwise.operators.disclosure import disclosure_report, suppress
-from cohortwise.operators.linkage import linkage_report
+from cohortwise.operators.linkage import linkage_cells, linkage_reports
 from cohortwise.operators.population import load_person, static_filters
 from cohortwise.operators.rates import adapt_standard_population
 from cohortwise.operators.tables import rate_tables
@@ -49,10 +50,15 @@ def published_rows(rates: DataFrame, run: RunConfig, text: PublicationText) -> D
     return publication.publish(publication.rates_long(safe), run, text)
 
 
-def data_checks(persons: DataFrame, run: RunConfig) -> dict[str, DataFrame]:
-    """Check reports without and with the period-end and age filters."""
+def data_checks(
+    persons: DataFrame, run: RunConfig, deaths: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Check reports without and with the period-end and age filters.
+
+    ``deaths`` are the persons' ``death_cells`` if these have been written.
+    """
     end = run.period_end
-    reports = dict(death_counts(persons))
+    reports = death_reports(death_cells(persons) if deaths is None else deaths)
     for label, age_date, cutoff, low in (("all", None, None, None), ("run", end, end, run.min_age)):
         reports[f"dose_trend_{label}"] = dose_trend(
             persons, death_date=end, age_date=age_date, min_age=low
@@ -68,7 +74,7 @@ def data_checks(persons: DataFrame, run: RunConfig) -> dict[str, DataFrame]:
 
 @dataclass(frozen=True)
 class Lookups:
-    """Reference tables of a run; ``areas`` is the staged table of ``area_lookup``."""
+    """Reference tables of a run; ``areas`` is the table of ``area_lookup``."""
 
     areas: DataFrame
     standard_population: DataFrame
@@ -86,8 +92,11 @@ def run_month(
     """Carry out a run and write its files below ``folder``; returns their paths.
 
     Counts and rates are written first and read back by what follows, so an
-    interrupted run resumes from them (``run_counts=False``).  ``report`` is
-    handed every check report as a DataFrame, to show or to store.
+    interrupted run resumes from them (``run_counts=False``).  Their names hold
+    the run month, the minimum age and the version of the data, so a run never
+    reads what another month has left.  ``report`` is handed every check report
+    as a DataFrame, to show or to store; the cells that several reports are
+    made of are written below ``folder`` as well.
     """
     spark = raw.sparkSession
     run.require_standard_age()
@@ -95,20 +104,25 @@ def run_month(
     paths = {
         "counts": f"{base}/{output_name('rates_exposures', run)}",
         "rates": f"{base}/{output_name('df_agg', run)}",
-        "dataset": f"{base}/{output_name('monthly_vaccination_rates', run, with_month=True)}",
-        "metadata": f"{base}/{output_name('vaccination_metadata_lookup', run, with_month=True)}",
-        "periods": f"{base}/{output_name('periods', run, with_month=True)}",
+        "dataset": f"{base}/{output_name('monthly_vaccination_rates', run)}",
+        "metadata": f"{base}/{output_name('vaccination_metadata_lookup', run)}",
+        "periods": f"{base}/{output_name('periods', run)}",
     }
+
+    def cells(name: str, df: DataFrame) -> DataFrame:
+        return read_or_compute(spark, f"{base}/{output_name(name, run)}", lambda: df)
+
     if report is not None:
         persons = load_person(raw)
         if run.run_data_checks:
-            for name, df in data_checks(persons, run).items():
+            deaths = cells("death_cells", death_cells(persons))
+            for name, df in data_checks(persons, run, deaths).items():
                 report(name, df)
         if run.run_linkage:
-            reports = linkage_report(
+            linked = linkage_cells(
                 persons, run.period_end, run.period_end, "first", min_age=run.min_age
             )
-            for name, df in reports.items():
+            for name, df in linkage_reports(cells("linkage_cells", linked)).items():
                 report(f"linkage_{name}", df)
     counts = read_or_compute(
         spark,

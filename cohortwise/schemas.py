@@ -32,7 +32,6 @@ IMD = T.StructType(
         T.StructField("IMD_QUINTILE", T.IntegerType()),
     ]
 )
-POSTCODES = T.StructType([T.StructField(n, T.StringType()) for n in ("lsoa11", "laua", "rgn")])
 AREA_NAMES = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("ltla22cd", "utla22cd", "utla22nm")]
 )

@@ -21,10 +21,6 @@ def read_person_table(spark: SparkSession, name: str, dataset_version: str = "")
     return read_table(spark, f"{name}{dataset_version}", list(fv.PERSON_COLUMNS))
 
 
-def read_person_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*fv.PERSON_COLUMNS)
-
-
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Comma-separated file with a header line, by declared schema.
 
@@ -55,10 +51,11 @@ def read_poisson_limits(spark: SparkSession, path: str) -> DataFrame:
 
 def _values(spark: SparkSession, rows: tuple, schema: T.StructType) -> DataFrame:
     """A small fixed table as a literal relation, which needs no Python on the way."""
-    lines = ", ".join(str(row) for row in rows)
-    names = ", ".join(schema.names)
-    table = spark.sql(f"SELECT * FROM VALUES {lines} AS t({names})")
-    return table.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    lines = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)])
+        for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*lines)))
 
 
 def default_standard_population(spark: SparkSession) -> DataFrame:
@@ -68,13 +65,3 @@ def default_standard_population(spark: SparkSession) -> DataFrame:
 def default_poisson_limits(spark: SparkSession) -> DataFrame:
     return _values(spark, fv.POISSON_LIMITS, schemas.POISSON)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Split a scan that has fewer partitions than the session has cores.
-
-    A large table arrives in many splits and is left alone.  One small file in
-    a single row group would otherwise leave all but one core idle during the
-    expansion to person-months.  Call it on plain scans only.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -1,42 +1,12 @@
-"""Stage tables: written once to shared storage, then read by every consumer."""
+"""Resumable stages: tables written once to a run's folder, then read by what follows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``.
-
-    Only a local session may go without the setting (tests); a cluster must
-    name storage that every executor sees and that outlives any of them.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="cohortwise-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table.
-
-    Cuts the lineage, survives lost executors, and gives the optimizer the true
-    size of the table.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether a finished table lies at ``path`` (it has a success marker)."""
     jvm = spark.sparkContext._jvm

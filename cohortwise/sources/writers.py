@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortwise.config import RunConfig
 
+FOLDER = "period"
 
-def output_name(prefix: str, run: RunConfig, *parts: str, with_month: bool = False) -> str:
-    """Deterministic name: prefix, parts, run month if asked, minimum age."""
-    month = [f"{run.run_year}_{run.run_month:02d}"] if with_month else []
-    return "_".join([prefix, *parts, *month, f"{run.min_age}+"])
 
-
-def counts_name(run: RunConfig, group_vars: list[str], exposures: list[str] = ()) -> str:
-    return output_name("rates_exposures", run, *group_vars, *exposures)
+def output_name(prefix: str, run: RunConfig) -> str:
+    """Deterministic name: prefix, run month, minimum age, version of the data if there is one."""
+    month = f"{run.run_year}_{run.run_month:02d}"
+    version = [run.dataset_version] if run.dataset_version else []
+    return "_".join([prefix, month, f"{run.min_age}+", *version])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -22,20 +22,24 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def write_stage(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).parquet(path)
-
-
 def write_periods(
     df: DataFrame, path: str, key: str = "TimePeriodLabel", file_format: str = "csv",
     mode: str = "overwrite",
 ) -> None:
-    """One folder per period.
+    """One folder per period, whose files hold all columns, the period as well.
 
     Rebalancing brings the rows of a period together and lets adaptive
     execution split a period too large for one task.
     """
-    writer = df.hint("rebalance", key).write.mode(mode).partitionBy(key)
+    copied = df.withColumn(FOLDER, F.col(key))
+    writer = copied.hint("rebalance", FOLDER).write.mode(mode).partitionBy(FOLDER)
     if file_format == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("escape", '"')
     writer.format(file_format).save(path)
+
+
+def read_periods(spark: SparkSession, path: str, period: str | None = None) -> DataFrame:
+    """Published CSV files as they are, of all periods or of one: texts, as the header names them."""
+    folder = path if period is None else f"{path.rstrip('/')}/{FOLDER}={period}"
+    reader = spark.read.option("header", True).option("recursiveFileLookup", True)
+    return reader.option("multiLine", True).option("escape", '"').csv(folder)

@@ -376,7 +376,7 @@ def long_sql(source: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-def published_sql(source: str) -> str:
+def published_sql(source: str, min_age: int = 18) -> str:
     titles = " ".join(f"WHEN {quote(e)} THEN {quote(t)}" for e, t in fv.EXPOSURE_TITLES.items())
     phrases = {
         "first": "who have not received a vaccination",
@@ -388,7 +388,7 @@ def published_sql(source: str) -> str:
 
     def by_dose(start: str, end: str) -> str:
         return "CASE vaccine_number " + " ".join(
-            f"WHEN '{d}' THEN {start} || ' percentage of people aged 18+ {text}{end}'"
+            f"WHEN '{d}' THEN {start} || ' percentage of people aged {min_age}+ {text}{end}'"
             for d, text in phrases.items()
         ) + " END"
 
@@ -399,8 +399,8 @@ def published_sql(source: str) -> str:
     return f"""
     SELECT *, indicator || coalesce(', by ' || title, '') AS chart,
         {general} || chr(10) ||
-        CASE WHEN title = 'Educational attainment' THEN '3. These data only cover adults aged 30+'
-             ELSE '3. These data only cover adults aged 18+' END || chr(10) ||
+        CASE WHEN title = 'Educational attainment' THEN '3. These data only cover adults aged {max(30, min_age)}+'
+             ELSE '3. These data only cover adults aged {min_age}+' END || chr(10) ||
         CASE WHEN title IS NULL THEN '' ELSE CASE title {notes}
              ELSE '4. ' || title || ' was derived from the 2011 Census' END END || chr(10) ||
         {quote(fv.AREA_FOOTNOTE)} AS footnote
@@ -431,17 +431,53 @@ def published(select: str) -> str:
     )
 
 
-def full_run(min_age: int) -> str:
+DATASET = (
+    "SELECT 'Vaccinations' AS \"Theme\", chart AS \"ChartTitle\", indicator AS \"IndDropdown\", "
+    "period AS \"TimePeriodLabel\", title AS \"CategoryType\", \"group\" AS \"Category\", "
+    "\"SubCategory\", \"Sex\", vaccinated AS \"Count\", population AS \"Denominator\", "
+    "round(rate, 6) AS \"Value\", round(lower_ci, 6) AS \"LCI\", round(upper_ci, 6) AS \"UCI\" "
+    "FROM published"
+)
+METADATA = (
+    "SELECT DISTINCT chart AS \"ChartTitle\", axis AS \"yAxisLabel\", footnote AS \"Footnote\", "
+    "'Linked person register' AS \"Source\" FROM published"
+)
+
+
+def in_order(sql: str, order: str) -> str:
+    """A report with the place of each row."""
+    return f"SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS INT) AS position FROM ({sql})"
+
+
+def run_tables(min_age: int) -> dict[str, str]:
+    """All tables of a run, suppressed (``safe``)."""
     la = [e for e in fv.AREA_EXPOSURES if min_age == 18 or e != "tenure"]
     calls = [("region", fv.REGION_EXPOSURES, "region"), ("la", la, "la_derived"),
              ("sex", fv.SEX_EXPOSURES, "sex")]
     names = [n for n in TABLES if min_age == 18 or n not in ("age", "exposure_age", "region_age")]
+    tables = rate_tables(names, calls, "everyone", min_age)
+    return {**tables, "safe": suppressed(rule_conditions(min_age))}
+
+
+def run_rows(min_age: int) -> str:
+    return with_tables(
+        f'SELECT "table", {KEYS}, population, vaccinated, {rounded_rates(4)} FROM safe',
+        run_tables(min_age),
+    )
+
+
+def published_run(min_age: int, select: str) -> str:
+    tables = {"long": long_sql("safe"), "published": published_sql("long", min_age)}
+    return with_tables(select, {**run_tables(min_age), **tables})
+
+
+def full_run(min_age: int) -> str:
     sums = ", ".join(f"round(sum({c}), 4) AS {c}" for c in RATES)
     return with_tables(
         f"""SELECT "table", vaccine_number, year, month, "Sex", count(*) AS "rows",
         count(vaccinated) AS published, CAST(sum(population) AS BIGINT) AS population,
         CAST(sum(vaccinated) AS BIGINT) AS vaccinated, {sums} FROM safe GROUP BY ALL""",
-        {**rate_tables(names, calls, "everyone", min_age), "safe": suppressed(rule_conditions(min_age))},
+        run_tables(min_age),
     )
 
 
@@ -604,6 +640,11 @@ def oracle_sql() -> dict[str, str]:
         ),
         "missing_profile_all": missing(no_age),
         "missing_profile": missing(adults),
+        "dose_trend_order": in_order(dose_trend(no_age), "dose, vacc_date NULLS LAST"),
+        "rate_by_age_order": in_order(
+            rate_by_age(check_population(PERIOD_END, PERIOD_END), None), "age_group NULLS LAST"
+        ),
+        "missing_profile_order": in_order(missing(no_age), "missing, variable"),
         "linkage_overall": linkage(
             "SELECT linked, n, round(n / sum(n) OVER () * 100, 6) AS proportion FROM "
             "(SELECT linked, count(*) AS n FROM people GROUP BY 1)"
@@ -617,7 +658,6 @@ def oracle_sql() -> dict[str, str]:
         "linkage_dist_by_sex_wide": linkage_wide("sex", "linked"),
         "area_percentiles": borders,
         "area_quintile_la": with_tables("SELECT * FROM area_la"),
-        "area_quintile_large": with_tables("SELECT * FROM area_la"),
         "area_quintile_region": with_tables("SELECT * FROM area_rgn"),
         "distinct_lookup": with_tables(
             "SELECT DISTINCT lsoa11, laua AS la_code, utla22nm AS la_name FROM nspl_split "
@@ -700,7 +740,10 @@ def oracle_sql() -> dict[str, str]:
                 **_plain("plain", "'x'", True),
             },
         ),
-        "asr_total": rates_query(["total"], region_sex),
+        "asr_care_home": rates_query(
+            ["total", "exposure", "region", "exposure_region", "age", "exposure_age", "region_age"],
+            [("region", ("care_home", "sex"), "region")],
+        ),
         "asr_by_exposure": rates_query(["exposure"], region_small),
         "asr_by_region": rates_query(["region"], region_sex),
         "asr_exposure_region": rates_query(["exposure_region"], region_small),
@@ -777,17 +820,19 @@ def oracle_sql() -> dict[str, str]:
             "round(lower_ci, 6) AS lower_ci, round(upper_ci, 6) AS upper_ci "
             f"FROM ({long_sql('agg')})"
         ),
-        "publish_dataset": published(
-            "SELECT 'Vaccinations' AS \"Theme\", chart AS \"ChartTitle\", indicator AS \"IndDropdown\", "
-            "period AS \"TimePeriodLabel\", title AS \"CategoryType\", \"group\" AS \"Category\", "
-            "\"SubCategory\", \"Sex\", vaccinated AS \"Count\", population AS \"Denominator\", "
-            "round(rate, 6) AS \"Value\", round(lower_ci, 6) AS \"LCI\", round(upper_ci, 6) AS \"UCI\" "
-            "FROM published"
-        ),
-        "publish_metadata": published(
-            "SELECT DISTINCT chart AS \"ChartTitle\", axis AS \"yAxisLabel\", footnote AS \"Footnote\", "
-            "'Linked person register' AS \"Source\" FROM published"
-        ),
+        "publish_dataset": published(DATASET),
+        "published_files": published(DATASET),
+        "full_run_18_rows": run_rows(18),
+        "full_run_50_rows": run_rows(50),
+        "published_run_18": published_run(18, DATASET),
+        "published_run_50": published_run(50, DATASET),
+        "published_notes_50": published_run(50, METADATA),
+        "person_table_scan": grouped("raw", "rgn_derived", "sex_census"),
+        "csv_header_order": with_tables("SELECT * FROM imd"),
+        "resumed_stage": with_tables(
+            "SELECT dor, dodyr, dodmt, dod, count(*) AS n FROM person GROUP BY ALL"
+        ),
+        "publish_metadata": published(METADATA),
         "period_calendar": with_tables(
             "SELECT m.year, m.month, CAST(row_number() OVER (ORDER BY month_start) AS INT) AS position, "
             "strftime(month_start, '%b %Y') AS \"TimePeriodLabel\", coalesce(n, 0) AS n FROM months m "

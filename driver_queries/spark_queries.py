@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortwise import fixed_values as fv
@@ -36,7 +38,9 @@ from cohortwise.operators.tables import (
     union_tables,
 )
 from cohortwise.plans.monthly_run import published_rows, study_population
+from cohortwise.sources import readers, writers
 from cohortwise.sources.readers import default_poisson_limits, default_standard_population
+from cohortwise.sources.staging import read_or_compute
 from driver_queries import mapping
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,38 +49,31 @@ RUN = RunConfig(2023, 1)
 RUN_50 = RunConfig(2023, 1, min_age=50)
 END = RUN.period_end
 TEXT = PublicationText(source="Linked person register")
-RANK_BUCKET = 16.0
 
 
 # ---------------------------------------------------------------- inputs
 
 
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All loaded persons, straight from the driver tables."""
+    """All loaded persons of the driver tables."""
     return load_person(mapping.raw_persons(spark, sf_dir))
 
 
-def linked_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All loaded persons, from the stored linked table."""
-    return load_person(mapping.linked_table(spark, sf_dir))
-
-
 def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas.area_lookup(
         mapping.imd(spark, sf_dir),
         mapping.postcodes(spark, sf_dir),
         mapping.area_names(spark, sf_dir),
-        RANK_BUCKET,
     )
 
 
 def study(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The study population with all characteristics and areas."""
-    return study_population(mapping.linked_table(spark, sf_dir), lookup(spark, sf_dir))
+    return study_population(mapping.raw_persons(spark, sf_dir), lookup(spark, sf_dir))
 
 
 def study_without_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive_characteristics(static_filters(load_person(mapping.linked_table(spark, sf_dir))))
+    return derive_characteristics(static_filters(load_person(mapping.raw_persons(spark, sf_dir))))
 
 
 def weights(spark: SparkSession) -> DataFrame:
@@ -164,7 +161,17 @@ def month_expansion(spark, sf_dir):
 
 def _check(function: Callable[[DataFrame], DataFrame]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(function(linked_persons(spark, sf_dir)))
+        return rounded(function(persons(spark, sf_dir)))
+
+    return query
+
+
+def _in_order(function: Callable[[DataFrame], DataFrame]) -> Query:
+    """A report (a few rows) with the place of each row in it."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        report = rounded(function(persons(spark, sf_dir)))
+        numbered = report.withColumn("_at", F.monotonically_increasing_id())
+        return numbered.withColumn("position", F.row_number().over(Window.orderBy("_at"))).drop("_at")
 
     return query
 
@@ -178,7 +185,7 @@ def _deaths(function: Callable[[DataFrame], DataFrame]) -> Query:
 
 def _linkage(function: Callable[[DataFrame], DataFrame]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        cells = linkage.linkage_cells(linked_persons(spark, sf_dir), END, END, "first", min_age=18)
+        cells = linkage.linkage_cells(persons(spark, sf_dir), END, END, "first", min_age=18)
         return rounded(function(cells))
 
     return query
@@ -195,27 +202,19 @@ def _units(spark, sf_dir):
 
 
 def area_percentiles(spark, sf_dir):
-    return rounded(areas.area_percentiles(_units(spark, sf_dir), "la_code", bucket_width=RANK_BUCKET))
-
-
-def area_quintile_large(spark, sf_dir):
-    """Quintiles by the way a lookup beyond the bound goes."""
-    return areas.local_authority_quintiles(
-        mapping.imd(spark, sf_dir), mapping.postcodes(spark, sf_dir),
-        mapping.area_names(spark, sf_dir), RANK_BUCKET, max_rows=0,
-    )
+    return rounded(areas.area_percentiles(_units(spark, sf_dir), "la_code"))
 
 
 def area_quintile_la(spark, sf_dir):
     return areas.local_authority_quintiles(
         mapping.imd(spark, sf_dir), mapping.postcodes(spark, sf_dir),
-        mapping.area_names(spark, sf_dir), RANK_BUCKET,
+        mapping.area_names(spark, sf_dir),
     )
 
 
 def area_quintile_region(spark, sf_dir):
     return areas.region_quintiles(
-        mapping.imd(spark, sf_dir), mapping.postcodes(spark, sf_dir), RANK_BUCKET
+        mapping.imd(spark, sf_dir), mapping.postcodes(spark, sf_dir)
     )
 
 
@@ -229,9 +228,9 @@ def lookup_left_join_fanout(spark, sf_dir):
     """Small areas in two local authorities multiply their persons."""
     table = areas.area_lookup(
         mapping.imd(spark, sf_dir), mapping.split_postcodes(spark, sf_dir),
-        mapping.area_names(spark, sf_dir), RANK_BUCKET,
+        mapping.area_names(spark, sf_dir),
     )
-    joined = areas.attach_areas(mapping.linked_table(spark, sf_dir), table)
+    joined = areas.attach_areas(mapping.raw_persons(spark, sf_dir), table)
     return joined.groupBy("la_code", "imd_quintile", "imd_quintile_la", "imd_quintile_region").agg(
         F.count("*").alias("n")
     )
@@ -423,6 +422,47 @@ def publish_dataset(spark, sf_dir):
     return rounded(publication.dataset(_published(spark, sf_dir)))
 
 
+def _shared_path(spark, name):
+    """A new place in the folder that all executors see."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cohortwise-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def published_files(spark, sf_dir):
+    """The files of the periods as they were written, read back as text."""
+    path = _shared_path(spark, "dataset")
+    published = rounded(publication.dataset(_published(spark, sf_dir)))
+    writers.write_periods(published, path)
+    texts = writers.read_periods(spark, path)
+    return texts.select(*[F.col(c).cast(t) for c, t in published.dtypes])
+
+
+def person_table_scan(spark, sf_dir):
+    """The used columns of a table that has more."""
+    raw = mapping.raw_persons(spark, sf_dir)
+    raw.withColumn("unused", F.lit(1)).createOrReplaceTempView("persons_scan_v2")
+    table = readers.read_person_table(spark, "persons_scan", "_v2")
+    return table.groupBy("rgn_derived", "sex_census").agg(F.count("*").alias("n"))
+
+
+def csv_header_order(spark, sf_dir):
+    """A lookup written with its columns in another order and one more, read by header."""
+    path = _shared_path(spark, "imd")
+    table = mapping.imd(spark, sf_dir)
+    shuffled = table.select(F.lit("x").alias("extra"), *reversed(table.columns))
+    writers.write_csv(shuffled, path)
+    return readers.read_imd(spark, path).select(
+        *[F.col(c).cast(t) for c, t in table.dtypes])
+
+
+def resumed_stage(spark, sf_dir):
+    """A stage that is found written, and so not computed again."""
+    path = _shared_path(spark, "cells")
+    cells = checks.death_cells(persons(spark, sf_dir))
+    read_or_compute(spark, path, lambda: cells, recompute=False)
+    return read_or_compute(spark, path, lambda: cells.limit(0), recompute=False)
+
+
 def publish_metadata(spark, sf_dir):
     return publication.metadata(_published(spark, sf_dir))
 
@@ -452,13 +492,33 @@ def monthly_total(spark, sf_dir):
     )
 
 
+def _run_rates(spark, sf_dir, run, keep_name=False):
+    table = counts.monthly_counts_all(study(spark, sf_dir), run, standard_specs(run))
+    return rate_tables(
+        table, weights(spark), default_poisson_limits(spark), run, keep_name=keep_name
+    )
+
+
+def _run_rows(run: RunConfig) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Every row of every table of a run."""
+        df = _run_rates(spark, sf_dir, run, keep_name=True)
+        return rounded(disclosure.suppress(df, standard_rules(run.min_age)), 4)
+
+    return query
+
+
+def _published_run(run: RunConfig, part: Callable[[DataFrame], DataFrame]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(part(published_rows(_run_rates(spark, sf_dir, run), run, TEXT)))
+
+    return query
+
+
 def _run(run: RunConfig) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Every table of a run, from one count plan, summed per published table."""
-        table = counts.monthly_counts_all(study(spark, sf_dir), run, standard_specs(run))
-        df = rate_tables(
-            table, weights(spark), default_poisson_limits(spark), run, keep_name=True
-        )
+        df = _run_rates(spark, sf_dir, run, keep_name=True)
         safe = disclosure.suppress(df, standard_rules(run.min_age))
         figures = [c for c in AGG_COLUMNS if c.startswith(("crude", "age_standardised"))]
         return safe.groupBy("table", "vaccine_number", "year", "month", "Sex").agg(
@@ -510,6 +570,11 @@ def queries() -> dict[str, Query]:
         "missing_profile": _check(
             lambda df: checks.missing_profile(df, END, age_date=END, min_age=18)
         ),
+        "dose_trend_order": _in_order(lambda df: checks.dose_trend(df, death_date=END)),
+        "rate_by_age_order": _in_order(
+            lambda df: checks.rate_by_age(df, death_date=END, age_date=END)
+        ),
+        "missing_profile_order": _in_order(lambda df: checks.missing_profile(df, END)),
         "linkage_overall": _linkage(linkage.linkage_overall),
         "linkage_by_band_wide": _linkage(
             lambda c: linkage.linkage_wide(c, "age_group", "age_group")
@@ -521,7 +586,6 @@ def queries() -> dict[str, Query]:
         ),
         "linkage_dist_by_sex_wide": _linkage(lambda c: linkage.linkage_wide(c, "sex", "linked")),
         "area_percentiles": area_percentiles,
-        "area_quintile_large": area_quintile_large,
         "area_quintile_la": area_quintile_la,
         "area_quintile_region": area_quintile_region,
         "distinct_lookup": distinct_lookup,
@@ -548,7 +612,10 @@ def queries() -> dict[str, Query]:
         "complement_first_dose": complement_first_dose,
         "crude_rates": crude_rates,
         "age_standardised_rates": age_standardised_rates,
-        "asr_total": _single_rates("region", ("sex",), "region", ["total"]),
+        "asr_care_home": _single_rates(
+            "region", ("care_home", "sex"), "region",
+            ["total", "exposure", "region", "exposure_region", "age", "exposure_age", "region_age"],
+        ),
         "asr_by_exposure": _single_rates("region", SMALL, "region", ["exposure"]),
         "asr_by_region": _single_rates("region", ("sex",), "region", ["region"]),
         "asr_exposure_region": _single_rates("region", SMALL, "region", ["exposure_region"]),
@@ -579,5 +646,14 @@ def queries() -> dict[str, Query]:
         "rates_long": _from_rates(publication.rates_long),
         "publish_dataset": publish_dataset,
         "publish_metadata": publish_metadata,
+        "published_files": published_files,
+        "full_run_18_rows": _run_rows(RUN),
+        "full_run_50_rows": _run_rows(RUN_50),
+        "published_run_18": _published_run(RUN, publication.dataset),
+        "published_run_50": _published_run(RUN_50, publication.dataset),
+        "published_notes_50": _published_run(RUN_50, publication.metadata),
+        "person_table_scan": person_table_scan,
+        "csv_header_order": csv_header_order,
+        "resumed_stage": resumed_stage,
         "period_calendar": period_calendar,
     }

@@ -3,14 +3,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortwise.operators import areas
+from cohortwise.sources.lookups import assert_unique_lookup
 
 
 def units(spark, rows):
     return spark.createDataFrame(rows, "lsoa_derived string, imd_rank int, la_code string")
 
 
-@pytest.mark.parametrize("width", [1.0, 7.0, 1000.0])
-def test_exact_percentiles_equal_numpy_and_builtin(spark, width):
+@pytest.mark.parametrize("buckets", [1, 7, 4096])
+def test_exact_percentiles_equal_numpy_and_builtin(spark, buckets):
     rng = np.random.default_rng(3)
     # One group holds a third of the rows, one is tiny, one has ties only.
     groups = {"hot": rng.integers(1, 400, 400), "a": rng.integers(1, 400, 395),
@@ -21,7 +22,7 @@ def test_exact_percentiles_equal_numpy_and_builtin(spark, width):
     points = {"p20": 0.2, "p40": 0.4, "p60": 0.6, "p80": 0.8, "p0": 0.0, "p100": 1.0}
     got = {
         r["la_code"]: r.asDict()
-        for r in areas.exact_percentiles(df, "la_code", "imd_rank", points, width).collect()
+        for r in areas.exact_percentiles(df, "la_code", "imd_rank", points, buckets).collect()
     }
     built_in = df.groupBy("la_code").agg(
         *[F.percentile("imd_rank", p).alias(n) for n, p in points.items()]
@@ -33,24 +34,22 @@ def test_exact_percentiles_equal_numpy_and_builtin(spark, width):
     assert got["empty"]["p20"] is None and got[None]["p0"] == 4.0
 
 
-@pytest.mark.parametrize("area_of", [lambda i: f"a{i % 3}", lambda i: "a" if i % 3 else None])
-def test_both_ways_assign_the_same_quintiles(spark, area_of):
-    rows = [(f"l{i}", (i * 37) % 101 if i % 9 else None, area_of(i)) for i in range(300)]
-    df = units(spark, rows)
-    small = areas.area_quintile(df, "la_code", "q", bounded=True)
-    large = areas.area_quintile(df, "la_code", "q", bucket_width=8.0)
-    assert sorted(small.select(*large.columns).collect(), key=str) == sorted(large.collect(), key=str)
-
-
-def test_bound_counts_all_inputs(spark):
-    assert areas.is_bounded(spark.range(3), spark.range(4), max_rows=7)
-    assert not areas.is_bounded(spark.range(3), spark.range(4), max_rows=6)
+def test_wide_and_dense_ranks(spark):
+    rng = np.random.default_rng(4)
+    groups = {"wide": rng.integers(-10**12, 10**12, 500), "dense": rng.integers(0, 3, 500) / 1e9,
+              "outlier": np.append(rng.integers(0, 100, 300), 10**15)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs]
+    df = spark.createDataFrame(rows, "area string, v double")
+    got = areas.exact_percentiles(df, "area", "v", {"p20": 0.2, "p80": 0.8}).collect()
+    for r in got:
+        assert r["p20"] == pytest.approx(np.quantile(groups[r["area"]], 0.2), rel=1e-12)
+        assert r["p80"] == pytest.approx(np.quantile(groups[r["area"]], 0.8), rel=1e-12)
+    assert len(got) == 3
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_quintile_borders_and_nulls(spark, bounded):
+def test_quintile_borders_and_nulls(spark):
     rows = [(f"l{i}", i, "a") for i in range(1, 12)] + [("x", None, "a"), ("y", 3, None)]
-    out = areas.area_quintile(units(spark, rows), "la_code", "q", bounded=bounded)
+    out = areas.area_quintile(units(spark, rows), "la_code", "q")
     q = {r["lsoa_derived"]: r["q"] for r in out.collect()}
     # Ranks 1..11 have borders 3, 5, 7, 9; a rank on a border is in the lower quintile.
     assert [q[f"l{i}"] for i in range(1, 12)] == list("11122334455")
@@ -85,27 +84,27 @@ def test_area_lookup_fans_out_and_left_joins(spark):
     assert rows == [(1, "Bee"), (1, "Cornwall"), (2, ""), (3, ""), (4, "")]
 
 
-def test_lookup_larger_than_the_bound_is_not_broadcast(spark):
-    from cohortwise.sources.lookups import lookup_join
-
-    left = spark.range(50).withColumnRenamed("id", "k")
-    right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+def test_persons_without_area_are_dealt_out(spark):
+    people = spark.range(400).select("id", F.lit(None).cast("string").alias("lsoa_derived"))
+    table = areas.area_lookup(*lookups(spark))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        small, large = lookup_join(left, right, "k"), lookup_join(left, right, "k", max_rows=10)
-        assert "BroadcastHashJoin" in plan(small) and "BroadcastHashJoin" not in plan(large)
-        assert sorted(small.collect()) == sorted(large.collect()) and small.count() == 50
+        joined = areas.attach_areas(people, table)
+        assert joined.count() == 400 and joined.where("la_code is not null").count() == 0
+        assert joined.columns == ["id", "lsoa_derived", *[c for c in table.columns if c != "lsoa_derived"]]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+def test_lookup_with_two_rows_for_an_area_is_refused(spark):
+    imd, postcodes, names = lookups(spark)
+    with pytest.raises(Exception, match="several rows"):
+        areas.area_lookup(imd.unionByName(imd), postcodes, names).collect()
 
 
 def test_assert_unique_lookup(spark):
     good = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
-    assert sorted(areas.assert_unique_lookup(good, "k").collect()) == sorted(good.collect())
+    assert sorted(assert_unique_lookup(good, "k").collect()) == sorted(good.collect())
     bad = good.union(spark.createDataFrame([("a", 3)], "k string, v int"))
     with pytest.raises(Exception, match="several rows"):
-        areas.assert_unique_lookup(bad, "k").collect()
+        assert_unique_lookup(bad, "k").collect()

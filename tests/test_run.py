@@ -13,18 +13,20 @@ from driver_queries import mapping
 from tests.conftest import SF
 
 RUN = RunConfig(2021, 6)
+HEADER = ("Theme,ChartTitle,IndDropdown,TimePeriodLabel,CategoryType,Category,SubCategory,Sex,"
+          "Count,Denominator,Value,LCI,UCI")
 
 
 @pytest.fixture(scope="module")
 def finished(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("run"))
     areas = area_lookup(
-        mapping.imd(spark, SF), mapping.postcodes(spark, SF), mapping.area_names(spark, SF), 16.0
+        mapping.imd(spark, SF), mapping.postcodes(spark, SF), mapping.area_names(spark, SF)
     )
     lookups = Lookups(
         areas, readers.default_standard_population(spark), readers.default_poisson_limits(spark)
     )
-    raw = mapping.linked_table(spark, SF)
+    raw = mapping.raw_persons(spark, SF)
     reports = {}
     text = PublicationText(source="Register")
     paths = run_month(raw, lookups, RUN, text, folder, lambda n, df: reports.update({n: df.count()}))
@@ -39,11 +41,17 @@ def test_files(spark, finished):
     )
     labels = [r["TimePeriodLabel"] for r in periods.collect()]
     assert labels[0] == "Dec 2020" and labels[-1] == "Jun 2021"
-    folders = {d.split("=")[1].replace("%20", " ") for d in os.listdir(paths["dataset"])
-               if d.startswith("TimePeriodLabel=")}
-    assert folders == set(labels)
-    dataset = spark.read.option("header", True).csv(paths["dataset"])
-    assert set(dataset.columns) >= {"ChartTitle", "Value", "LCI", "TimePeriodLabel"}
+    folders = {d.split("=")[1].replace("%20", " "): os.path.join(paths["dataset"], d)
+               for d in os.listdir(paths["dataset"]) if d.startswith("period=")}
+    assert set(folders) == set(labels)
+    for folder_ in folders.values():
+        for name in os.listdir(folder_):
+            if name.startswith("part-"):
+                with open(os.path.join(folder_, name)) as file:
+                    assert file.readline().rstrip() == HEADER
+    dataset = writers.read_periods(spark, paths["dataset"])
+    one = writers.read_periods(spark, paths["dataset"], "Jun 2021")
+    assert {r[0] for r in one.select("TimePeriodLabel").distinct().collect()} == {"Jun 2021"}
     small = dataset.filter("cast(Count as int) < 10 or cast(Denominator as int) - cast(Count as int) < 10")
     assert small.count() == 0
     metadata = spark.read.option("header", True).option("multiLine", True).csv(paths["metadata"])
@@ -82,10 +90,14 @@ def test_read_or_compute(spark, tmp_path):
     assert len(calls) == 2
 
 
-def test_stage_uses_the_named_folder(spark):
-    folder = spark.conf.get("spark.checkpoint.dir")
-    table = staging.stage(spark.range(4).withColumn("v", F.lit("a")), "small")
-    assert table.count() == 4 and table.inputFiles()[0].startswith(f"file://{folder}/small-")
+def test_counts_of_another_month_or_version_are_not_reused(spark, finished):
+    raw, lookups, text, folder, paths, _ = finished
+    for run in (RunConfig(2021, 5, run_counts=False), RunConfig(2021, 6, dataset_version="v2",
+                                                                run_counts=False)):
+        other = run_month(raw, lookups, run, text, folder)
+        assert not set(other.values()) & set(paths.values())
+        months = spark.read.parquet(other["counts"]).agg(F.max(F.col("year") * 100 + F.col("month")))
+        assert months.first()[0] == 202100 + run.run_month
 
 
 def test_csv_sources_match_by_header(spark, tmp_path):
@@ -104,7 +116,7 @@ def test_csv_sources_match_by_header(spark, tmp_path):
 
 
 def test_person_table_reads_only_its_columns(spark):
-    raw = mapping.linked_table(spark, SF).withColumn("unused", F.lit(1))
+    raw = mapping.raw_persons(spark, SF).withColumn("unused", F.lit(1))
     raw.write.mode("overwrite").saveAsTable("persons_v1")
     table = readers.read_person_table(spark, "persons", "_v1")
     assert len(table.columns) == 27 and table.count() == raw.count()
@@ -114,14 +126,16 @@ def test_person_table_reads_only_its_columns(spark):
 
 def test_names():
     run = RunConfig(2023, 1)
-    assert writers.counts_name(run, ["age_group", "region"]) == "rates_exposures_age_group_region_18+"
-    assert writers.output_name("x", run, with_month=True) == "x_2023_01_18+"
+    assert writers.output_name("x", run) == "x_2023_01_18+"
+    assert writers.output_name("x", RunConfig(2023, 1, 50, dataset_version="v7")) == "x_2023_01_50+_v7"
 
 
-def test_filters_reach_the_scan(spark):
+def test_filters_reach_the_scan(spark, tmp_path):
     from cohortwise.operators.population import load_person, static_filters
 
-    df = static_filters(load_person(mapping.linked_table(spark, SF))).select("sex_census")
+    path = str(tmp_path / "persons")
+    mapping.raw_persons(spark, SF).write.parquet(path)
+    df = static_filters(load_person(spark.read.parquet(path))).select("sex_census")
     spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     plan = df._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.maxMetadataStringLength")
