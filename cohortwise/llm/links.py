@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,7 +12,11 @@ from pyspark.sql import functions as F
 from cohortwise.llm.common import written
 from cohortwise.llm.graph import connected_components
 
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 1
+LEADER_ORDERS = 3  # each names two leaders, its first and its last
+
+POSTING = ("bucket", "node", "size", "left")
+Fetch = Callable[[DataFrame], DataFrame]
 
 
 def parity_bits(elements: np.ndarray) -> bytes:
@@ -30,11 +36,12 @@ def fewest_differences(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, profiles: DataFrame, fetch: Fetch, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets have 100 * intersection >= percent * union.
 
-    ``sets`` has node, size, parity and elements (sorted 64-bit values).  The parity bits, about a
-    quarter byte an element, exclude most unlike pairs for certain; only the rest fetch their sets.
+    ``profiles`` has node, size and parity.  The parity bits, about a quarter byte an element,
+    exclude most unlike pairs for certain; ``fetch`` then gets the sets of the nodes of the rest: node
+    and elements (sorted 64-bit values).
     """
     @F.pandas_udf("boolean")
     def possible(na: pd.Series, pa: pd.Series, nb: pd.Series, pb: pd.Series) -> pd.Series:
@@ -54,82 +61,98 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             good.append(100 * both >= percent * (len(x) + len(y) - both))
         return pd.Series(good, dtype=bool)
 
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("node").alias(name),
-                           *[F.col(c).alias(f"{c}_{name}") for c in columns])
+    def side(table: DataFrame, name: str, *columns: str) -> DataFrame:
+        return table.select(F.col("node").alias(name),
+                            *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
-    hopeful = (
-        pairs.join(side("a", "size", "parity"), "a").join(side("b", "size", "parity"), "b")
+    hopeful = written(
+        pairs.join(side(profiles, "a", "size", "parity"), "a")
+        .join(side(profiles, "b", "size", "parity"), "b")
         .where(possible("size_a", "parity_a", "size_b", "parity_b")).select("a", "b")
     )
+    if hopeful.isEmpty():
+        return hopeful
+    sets = fetch(hopeful.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     return (
-        hopeful.join(side("a", "elements"), "a").join(side("b", "elements"), "b")
+        hopeful.join(side(sets, "a", "elements"), "a").join(side(sets, "b", "elements"), "b")
         .where(alike("elements_a", "elements_b")).select("a", "b")
     )
 
 
 def shared_buckets(postings: DataFrame) -> DataFrame:
-    """Postings (bucket, node, size) of the buckets that hold two nodes or more, written."""
+    """Postings (bucket, node, size, left) of the buckets that hold two nodes or more, written.
+
+    ``left`` is how many of the node's elements may be common if this is the first bucket it shares
+    with another: its size, less the elements before this one where buckets stand for elements in a
+    global order.
+    """
     ends = postings.groupBy("bucket").agg(
         F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    return written(postings.join(ends.select("bucket"), "bucket").select("bucket", "node", "size")
-                   .distinct())
+    return written(postings.join(ends.select("bucket"), "bucket").select(*POSTING).distinct())
 
 
 def _fit(percent: int):
-    """Sizes that allow the similarity."""
-    return ((100 * F.col("size") >= percent * F.col("other_size"))
-            & (100 * F.col("other_size") >= percent * F.col("size")))
+    """What is left of either set allows the similarity; holds at the first bucket of a linked pair."""
+    return ((100 + percent) * F.least("left", "other_left")
+            >= percent * (F.col("size") + F.col("other_size")))
 
 
 def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def linked_components(live: DataFrame, sets: DataFrame, percent: int,
+def linked_components(live: DataFrame, profiles: DataFrame, fetch: Fetch, percent: int,
                       rounds: int = LEADER_ROUNDS) -> DataFrame:
     """(node, component) of the nodes that are linked to others.
 
-    ``live`` has the shared buckets (written); two nodes that are alike must share one.  All links that
-    join different components are found, without comparing all pairs of a bucket:
+    ``live`` has the shared buckets (written); two nodes that are alike must share one.  See
+    ``verified`` for ``profiles`` and ``fetch``.  All links that join different components are found,
+    without comparing all pairs of a bucket:
 
-    1. In a round each bucket names two leaders (the first and last by a hash that changes from
-       round to round), and every node is compared with its buckets' leaders, unless both are in
+    1. In a round each bucket names a few leaders (the first and last in several orders by hash,
+       others in each round), and every node is compared with its buckets' leaders, unless both are in
        one component already.  That is linear in the postings.  Groups of near copies fall together.
     2. Buckets whose nodes are all in one component are done, and so are those of two nodes.
     3. At the end the nodes outside a bucket's main component are compared with all nodes of
        the bucket that are in other components than their own.  No bucket is capped or skipped.
     """
-    links: list[DataFrame] = []
     tested: DataFrame | None = None
     part_of: DataFrame | None = None
     marked = live.withColumn("component", F.col("node"))
 
     def grown(pairs: DataFrame) -> None:
         nonlocal tested, part_of, marked
-        found = written(verified(pairs, sets, percent))
-        links.append(found)
+        found = written(verified(pairs, profiles, fetch, percent))
+        if part_of is not None and found.isEmpty():
+            return
         edges = found if part_of is None else found.unionByName(
             part_of.select(F.col("node").alias("a"), F.col("component").alias("b")))
         part_of = written(connected_components(edges))
 
     def regrouped(postings: DataFrame) -> DataFrame:
         """Postings of the buckets that still hold several components."""
-        now = postings.select("bucket", "node", "size").join(part_of, "node", "left").withColumn(
+        now = postings.select(*POSTING).join(part_of, "node", "left").withColumn(
             "component", F.coalesce("component", "node"))
         open_ = now.groupBy("bucket").agg(
             F.count("*").alias("n"), F.min("component").alias("low"),
             F.max("component").alias("high")).where("n > 2 and low < high")
         return written(now.join(open_.select("bucket"), "bucket")
-                       .select("bucket", "node", "size", "component"))
+                       .select(*POSTING, "component"))
 
     for number in range(rounds):
-        order = F.struct(F.xxhash64(F.lit(number), "node").alias("h"),
-                         *[F.col(c) for c in ("node", "size", "component")])
-        leaders = marked.groupBy("bucket").agg(F.min(order).alias("first"), F.max(order).alias("last"))
-        leaders = leaders.select("bucket", F.explode(F.array("first", "last")).alias("l")).select(
+        orders = [F.struct(F.xxhash64(F.lit(number * LEADER_ORDERS + k), "node").alias("h"),
+                           *[F.col(c) for c in ("node", "size", "left", "component")])
+                  for k in range(LEADER_ORDERS)]
+        ends = [end(order).alias(f"{i}{name}") for i, order in enumerate(orders)
+                for name, end in (("first", F.min), ("last", F.max))]
+        named = F.array_distinct(F.transform(
+            F.array(*[F.col(f"{i}{name}") for i in range(LEADER_ORDERS) for name in ("first", "last")]),
+            lambda s: F.struct(s["node"].alias("node"), s["size"].alias("size"),
+                               s["left"].alias("left"), s["component"].alias("component"))))
+        leaders = marked.groupBy("bucket").agg(*ends).select("bucket", F.explode(named).alias("l"))
+        leaders = leaders.select(
             "bucket", F.col("l.node").alias("other"), F.col("l.size").alias("other_size"),
-            F.col("l.component").alias("other_component"))
+            F.col("l.left").alias("other_left"), F.col("l.component").alias("other_component"))
         pairs = marked.join(leaders, "bucket").where(
             (F.col("component") != F.col("other_component")) & _fit(percent)
         ).select(*_pair("node", "other")).distinct()
@@ -146,9 +169,11 @@ def linked_components(live: DataFrame, sets: DataFrame, percent: int,
         "bucket", F.col("m.component").alias("main"))
     outside = marked.join(main, "bucket").where("component != main").select(
         "bucket", F.col("node").alias("other"), F.col("size").alias("other_size"),
-        F.col("component").alias("other_component"))
+        F.col("left").alias("other_left"), F.col("component").alias("other_component"))
     rest = marked.join(outside, "bucket").where(
         (F.col("component") != F.col("other_component")) & _fit(percent)
     ).select(*_pair("node", "other")).distinct().join(tested, ["a", "b"], "left_anti")
-    grown(written(rest))
+    rest = written(rest)
+    if not rest.isEmpty():
+        grown(rest)
     return part_of

@@ -99,6 +99,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
       alike share the one of their intersection.
     * Heavy sets (and light ones large enough to be like them) are found by inverted lists over
       their rarest n-grams, as many as are needed to share one with any partner.
+    * Two sets meet in the list of their first common n-gram; if what follows it in either set is
+      too little for the similarity, they are not compared.
     * Documents of one set are one node.  Nodes that share a subset or list are compared exactly as
       ``links.linked_components`` says: no list is capped, no link between components is lost.
 
@@ -115,9 +117,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH + _COUNTED_SIZES + 1, dtype=np.int64)
         for batch in batches:
-            for elements in textnum.shingle_sets(textnum.as_bytes(batch.column(0)), words):
-                np.add.at(counts, (elements & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-                counts[SKETCH + min(len(elements), _COUNTED_SIZES)] += 1
+            for run in textnum.chunked(textnum.as_bytes(batch.column(0))):
+                sets = list(textnum.shingle_sets(run, words))
+                slots_ = (np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64)
+                sizes_ = np.minimum([len(x) for x in sets], _COUNTED_SIZES) + SKETCH
+                counts += np.bincount(np.concatenate((slots_, sizes_)), minlength=len(counts))
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(used), pa.array(counts[used])], names=["slot", "n"])
@@ -137,74 +141,88 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             ids, row = batch.column(0), 0
             for run in textnum.chunked(textnum.as_bytes(batch.column(1))):
-                nodes, tags, counts, buckets, ends = [], [], [], [], [0]
+                nodes, tags, counts, parities = [], [], [], []
+                buckets, lefts, ends = [], [], [0]
                 for elements in textnum.shingle_sets(run, words):
                     n = len(elements)
                     counts.append(n)
                     found = []
+                    parities.append(parity_bits(elements) if n else None)
                     if n:
                         node = _node(elements)
                         nodes.append(int(node.view(np.int64)))
                         tags.append(_tag(node, ids[row + len(counts) - 1].as_py()))
                         if n <= boundary:
                             found.append(_subset_buckets(elements, percent))
+                            lefts.append(np.full(len(found[-1]), n, dtype=np.int32))
                         if n >= heavy_from:
                             found.append(textnum.mixed(_prefix(elements, frequency, percent)))
+                            lefts.append(np.arange(n, n - len(found[-1]), -1, dtype=np.int32))
                     else:
                         nodes.append(None)
                         tags.append(None)
                     buckets += found
                     ends.append(ends[-1] + sum(map(len, found)))
                 flat = np.concatenate(buckets).view(np.int64) if buckets else np.zeros(0, np.int64)
+                left = np.concatenate(lefts) if lefts else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(row, len(run)), pa.array(nodes, pa.int64()),
                      pa.array(tags, pa.int64()), pa.array(counts, pa.int32()),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                    names=["id", "node", "tag", "size", "buckets"])
+                     pa.array(parities, pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(left))],
+                    names=["id", "node", "tag", "size", "parity", "buckets", "lefts"])
                 row += len(run)
 
     id_type = texts.schema["id"].dataType.simpleString()
     described = written(texts.mapInArrow(
-        describe, f"id {id_type}, node long, tag long, size int, buckets array<long>"))
+        describe, f"id {id_type}, node long, tag long, size int, parity binary, "
+                  "buckets array<long>, lefts array<int>"))
     live = shared_buckets(
         described.where("node is not null").select(
-            "node", "size", F.explode("buckets").alias("bucket")))
-
-    # The sets of nodes in shared buckets, from one document each: a bit filter of fixed size
-    # spares most other documents the way through the shuffle.
-    needed = written(
-        described.select("node", "tag").join(live.select("node").distinct(), "node")
-        .groupBy("node").agg(F.min("tag").alias("tag")))
-    mask = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    part = bit_words(needed, F.col("tag"), FILTER_BITS).toPandas()
-    mask[part["word"].to_numpy(np.int64)] = part["mask"].to_numpy(np.int64).view(np.uint64)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, row = batch.column(0).to_pylist(), 0
-            for run in textnum.chunked(textnum.as_bytes(batch.column(1))):
-                columns: list[list] = [[], [], [], [], []]
-                for elements in textnum.shingle_sets(run, words):
-                    row += 1
-                    if not len(elements):
-                        continue
-                    node = _node(elements)
-                    tag = _tag(node, ids[row - 1])
-                    bit = tag % FILTER_BITS
-                    if int(mask[bit >> 6]) >> (bit & 63) & 1:
-                        for column, value in zip(columns, (
-                                int(node.view(np.int64)), tag, len(elements),
-                                parity_bits(elements), elements.astype("<u8").tobytes())):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (
-                        pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
-                    names=["node", "tag", "size", "parity", "elements"])
-
-    sets = written(
-        texts.mapInArrow(gather, "node long, tag long, size int, parity binary, elements binary")
-        .join(needed, ["node", "tag"]).dropDuplicates(["node"]).drop("tag"))
-    part_of = linked_components(live, sets, percent)
+            "node", "size", F.explode(F.arrays_zip("buckets", "lefts")).alias("b"))
+        .select("node", "size", F.col("b.buckets").alias("bucket"), F.col("b.lefts").alias("left")))
+
+    profiles = written(
+        described.select("node", "size", "parity").join(
+            live.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+
+    def fetch(nodes: DataFrame) -> DataFrame:
+        """Sets of some nodes, each from one of its documents: the texts are read again, and a bit
+        filter of fixed size spares most other documents the way through the shuffle."""
+        needed = written(described.select("node", "tag").join(nodes, "node")
+                         .groupBy("node").agg(F.min("tag").alias("tag")))
+        mask = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+        part = bit_words(needed, F.col("tag"), FILTER_BITS).toPandas()
+        mask[part["word"].to_numpy(np.int64)] = part["mask"].to_numpy(np.int64).view(np.uint64)
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, row = batch.column(0).to_pylist(), 0
+                for run in textnum.chunked(textnum.as_bytes(batch.column(1))):
+                    columns: list[list] = [[], [], []]
+                    for elements in textnum.shingle_sets(run, words):
+                        row += 1
+                        if not len(elements):
+                            continue
+                        node = _node(elements)
+                        tag = _tag(node, ids[row - 1])
+                        bit = tag % FILTER_BITS
+                        if int(mask[bit >> 6]) >> (bit & 63) & 1:
+                            for column, value in zip(columns, (
+                                    int(node.view(np.int64)), tag, elements.astype("<u8").tobytes())):
+                                column.append(value)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(columns, (
+                            pa.int64(), pa.int64(), pa.binary()))],
+                        names=["node", "tag", "elements"])
+
+        found = texts.mapInArrow(gather, "node long, tag long, elements binary")
+        wanted = needed.select("node", F.col("tag").alias("wanted"))
+        return written(found.join(wanted, "node").where("tag = wanted")
+                       .dropDuplicates(["node"]).select("node", "elements"))
+
+    part_of = linked_components(live, profiles, fetch, percent)
     members = described.select("id", "node", F.col("size").cast("long").alias("n_shingles"))
     grouped = members.join(part_of, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))

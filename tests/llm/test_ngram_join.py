@@ -80,8 +80,8 @@ def test_lists_alone_and_a_large_family(spark, monkeypatch):
 
 
 def test_without_leader_rounds_the_rest_finds_all(spark, monkeypatch):
-    def one_round(live, sets, percent):
-        return links.linked_components(live, sets, percent, rounds=1)
+    def one_round(live, profiles, fetch, percent):
+        return links.linked_components(live, profiles, fetch, percent, rounds=1)
 
     monkeypatch.setattr(ngram_join, "linked_components", one_round)
     rows = near_copies(6, 6, 20, (60, 100))
