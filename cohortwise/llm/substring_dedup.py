@@ -19,12 +19,18 @@ PARAGRAPH = 20  # words
 SHINGLE = 5
 PERCENT = 80
 RECALL = 0.95
+BAND_ROWS = 5  # paragraphs that share a frequent line, but no more, rarely collide
 FILTER_BITS = 1 << 22
 _LAST = (1 << 63) - 1
 _BASE = 0xBF58476D1CE4E5B9 | 1
 
 
-def tune_bands(similarity: float, recall: float, rows: int = 3) -> int:
+def least_similarity(size: int, percent: int) -> float:
+    """The smallest Jaccard similarity of two sets of a size that is ``percent`` / 100 or more."""
+    return min(i / (2 * size - i) for i in range(size + 1) if 100 * i >= percent * (2 * size - i))
+
+
+def tune_bands(similarity: float, recall: float, rows: int = BAND_ROWS) -> int:
     """Bands of ``rows`` MinHash values that find a pair at the similarity with ``recall``."""
     bands = 1
     while 1 - (1 - similarity**rows) ** bands < recall:
@@ -74,6 +80,10 @@ class Paragraphs:
             self.words * textnum.power_table(_BASE, len(self.words)), dtype=np.uint64)))
         inverse = textnum.power_table(pow(_BASE, -1, 1 << 64), len(self.words))
         #: A 64-bit name for the words of each paragraph.
+        powers = textnum.power_table(_BASE, int(np.diff(self.bounds).max(initial=0)))
+        #: A 64-bit name for all words of each text.
+        self.contents = np.array([_sequence_hash(self.words[b:e], powers) for b, e in zip(
+            self.bounds[:-1], self.bounds[1:], strict=True)], dtype=np.uint64)
         self.nodes = textnum.mixed((sums[self.at + size] - sums[self.at]) * inverse[self.at])
         # Each anchor's next one in its text, and a name for the words up to there.
         ahead = np.searchsorted(at, self.at, side="right")
@@ -133,78 +143,110 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     result; other columns are not looked at.
     """
     window = least_passage - paragraph
-    rows_per_band = 3
-    bands = tune_bands(percent / 100, recall, rows_per_band)
+    size = paragraph - shingle + 1
+    bands = tune_bands(least_similarity(size, percent), recall)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"),
                         F.col(text_col).alias("text"))
 
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes], Paragraphs]]:
+        for batch in batches:
+            ids, row = batch.column(0).to_numpy(zero_copy_only=False), 0
+            for run in textnum.chunked(textnum.as_bytes(batch.column(1))):
+                yield ids[row : row + len(run)], run, Paragraphs(run, paragraph, window, shingle)
+                row += len(run)
+
     ship_package(docs.sparkSession)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for run in textnum.chunked(textnum.as_bytes(batch.column(0))):
-                found = Paragraphs(run, paragraph, window, shingle)
-                nodes, which, times = np.unique(found.nodes, return_index=True, return_counts=True)
-                hashes = found.band_hashes(which, bands, rows_per_band)
-                ends = np.arange(len(nodes) + 1, dtype=np.int32) * bands
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes.view(np.int64)), pa.array(times),
-                     pa.ListArray.from_arrays(pa.array(ends),
-                                              pa.array(hashes.reshape(-1).view(np.int64)))],
-                    names=["node", "times", "buckets"])
-
-    posted = texts.select("text").mapInArrow(
-        post, "node long, times long, buckets array<long>").select(
-        "node", "times", F.posexplode("buckets").alias("band", "bucket"))
-    crowd = Window.partitionBy("bucket")
+        """Each paragraph once in a run of texts, with the least and the largest of the 31-bit
+        names of the documents that hold it, and its buckets."""
+        for ids, _, found in runs(batches):
+            names = textnum.mixed(found.contents + ids.astype(np.uint64)
+                                  * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)
+            holder = names[found.text].astype(np.int64)
+            order = np.lexsort((holder, found.nodes))
+            nodes, first, times = np.unique(
+                found.nodes[order], return_index=True, return_counts=True)
+            holders = holder[order[first]] << 31 | holder[order[first + times - 1]]
+            hashes = found.band_hashes(order[first], bands, BAND_ROWS)
+            ends = np.arange(len(nodes) + 1, dtype=np.int32) * bands
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes.view(np.int64)), pa.array(holders),
+                 pa.ListArray.from_arrays(pa.array(ends),
+                                          pa.array(hashes.reshape(-1).view(np.int64)))],
+                names=["node", "holders", "buckets"])
+
+    posted = texts.mapInArrow(post, "node long, holders long, buckets array<long>").select(
+        "node", "holders", F.explode("buckets").alias("bucket"))
+    # A bucket matters if two documents meet in it.  Its rows pass by in order; none is gathered.
+    in_bucket = Window.partitionBy("bucket")
+    least = F.min(F.shiftright("holders", 31)).over(in_bucket)
+    most = F.max(F.col("holders").bitwiseAND(F.lit((1 << 31) - 1))).over(in_bucket)
     shared = written(
-        posted.withColumn("all", F.sum("times").over(crowd)).where("all > 1")
-        .select("bucket", "node", "times", (F.col("band") == 0).alias("first_band")))
-    live = shared_buckets(shared.select("bucket", "node", F.lit(paragraph).alias("size")))
+        posted.withColumn("least", least).withColumn("most", most).where("least < most")
+        .select("bucket", "node"))
+    live = shared_buckets(shared.select("bucket", "node", F.lit(size).alias("size"),
+                                       F.lit(size).alias("left")))
+
+    def bit_mask(nodes: DataFrame) -> np.ndarray:
+        mask = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+        part = bit_words(nodes, F.col("node"), FILTER_BITS).toPandas()
+        mask[part["word"].to_numpy(np.int64)] = part["mask"].to_numpy(np.int64).view(np.uint64)
+        return mask
+
+    def chosen(mask: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        bit = nodes.view(np.int64) % FILTER_BITS
+        return np.flatnonzero(mask[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1))
 
-    # Read the texts again for the paragraphs in shared buckets: places, and sets to verify.
-    mask = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    part = bit_words(shared.where("first_band").select("node").unionByName(live.select("node"))
-                     .distinct(), F.col("node"), FILTER_BITS).toPandas()
-    mask[part["word"].to_numpy(np.int64)] = part["mask"].to_numpy(np.int64).view(np.uint64)
+    # The texts are read again for the places of paragraphs in shared buckets.
+    held = shared.select("node").distinct()
+    held_mask = bit_mask(held)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, row = batch.column(0).to_numpy(zero_copy_only=False), 0
-            for run in textnum.chunked(textnum.as_bytes(batch.column(1))):
-                found = Paragraphs(run, paragraph, window, shingle)
-                bit = found.nodes.view(np.int64) % FILTER_BITS
-                which = np.flatnonzero(mask[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1))
+        for ids, run, found in runs(batches):
+            which = chosen(held_mask, found.nodes)
+            begin, end, reach = np.zeros((3, len(which)), np.int64)
+            for t in np.unique(found.text[which]):
+                own = np.flatnonzero(found.text[which] == t)
+                for values, at in ((begin, found.begin), (end, found.end), (reach, found.next_end)):
+                    values[own] = _characters_before(run[t], at[which[own]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[found.text[which]], pa.int64()),
+                 pa.array(found.contents[found.text[which]].view(np.int64)),
+                 pa.array(begin), pa.array(end), pa.array(np.maximum(end, reach)),
+                 pa.array(found.onward[which].view(np.int64)),
+                 pa.array(found.nodes[which].view(np.int64))],
+                names=["id", "content", "start", "stop", "reach", "onward", "node"])
+
+    placed = written(texts.mapInArrow(
+        place, "id long, content long, start long, stop long, reach long, onward long, node long"
+    ).join(held, "node"))
+
+    def sets_of(nodes: DataFrame, parity: bool) -> DataFrame:
+        """Profiles or sets of some paragraphs, from the texts."""
+        mask = bit_mask(nodes)
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, _, found in runs(batches):
+                which = chosen(mask, found.nodes)
+                which = which[np.unique(found.nodes[which], return_index=True)[1]]
                 sets = [np.unique(x) for x in found.rows(which)] if len(which) else []
-                begin, end, reach, content = np.zeros((4, len(which)), np.int64)
-                for t in np.unique(found.text[which]):
-                    own = np.flatnonzero(found.text[which] == t)
-                    for values, at in ((begin, found.begin), (end, found.end),
-                                       (reach, found.next_end)):
-                        values[own] = _characters_before(run[t], at[which[own]])
-                    # all words of the text name its content
-                    content[own] = _sequence_hash(
-                        found.words[found.bounds[t] : found.bounds[t + 1]])
+                kept = [parity_bits(x) if parity else x.astype("<u8").tobytes() for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row + found.text[which]], pa.int64()), pa.array(content),
-                     pa.array(begin), pa.array(end), pa.array(np.maximum(end, reach)),
-                     pa.array(found.onward[which].view(np.int64)),
-                     pa.array(found.nodes[which].view(np.int64)),
-                     pa.array([len(x) for x in sets], pa.int32()),
-                     pa.array([parity_bits(x) for x in sets], pa.binary()),
-                     pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())],
-                    names=["id", "content", "start", "stop", "reach", "onward", "node", "size",
-                           "parity", "elements"])
-                row += len(run)
+                    [pa.array(found.nodes[which].view(np.int64)),
+                     pa.array([len(x) for x in sets], pa.int32()), pa.array(kept, pa.binary())],
+                    names=["node", "size", "kept"])
 
-    placed = written(texts.mapInArrow(
-        place, "id long, content long, start long, stop long, reach long, onward long, node long, "
-               "size int, parity binary, elements binary"))
-    sets = placed.select("node", "size", "parity", "elements").join(
-        live.select("node").distinct(), "node").dropDuplicates(["node"])
-    sets = written(sets)
-    sized = live.drop("size").join(sets.select("node", "size"), "node")
-    part_of = linked_components(written(sized.select("bucket", "node", "size")), sets, percent)
+        rows = texts.mapInArrow(gather, "node long, size int, kept binary")
+        return written(rows.join(nodes, "node").dropDuplicates(["node"]))
+
+    alive = live.select("node").distinct()
+    profiles = sets_of(alive, True).withColumnRenamed("kept", "parity")
+    sized = written(live.select("bucket", "node").join(profiles.select("node", "size"), "node")
+                    .select("bucket", "node", "size", F.col("size").alias("left")))
+    part_of = linked_components(
+        sized, profiles,
+        lambda nodes: sets_of(nodes, False).select("node", F.col("kept").alias("elements")), percent)
 
     occurrences = placed.select(
         "id", "content", "start", "stop", "reach", "onward", "node"
@@ -238,10 +280,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                            known("keep_id").alias("keep_id"))
 
 
-def _sequence_hash(words: np.ndarray) -> int:
-    powers = textnum.power_table(_BASE, len(words))
-    return int(textnum.mixed((words * powers).sum(dtype=np.uint64, keepdims=True))
-               .view(np.int64)[0])
+def _sequence_hash(words: np.ndarray, powers: np.ndarray) -> int:
+    return int((words * powers[: len(words)]).sum(dtype=np.uint64)) ^ len(words)
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id",
