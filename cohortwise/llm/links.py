@@ -102,7 +102,8 @@ def _pair(x: str, y: str) -> list:
 
 
 def linked_components(live: DataFrame, profiles: DataFrame, fetch: Fetch, percent: int,
-                      rounds: int = LEADER_ROUNDS) -> DataFrame:
+                      rounds: int = LEADER_ROUNDS, links: DataFrame | None = None,
+                      decided: int | None = None) -> DataFrame:
     """(node, component) of the nodes that are linked to others.
 
     ``live`` has the shared buckets (written); two nodes that are alike must share one.  See
@@ -115,6 +116,9 @@ def linked_components(live: DataFrame, profiles: DataFrame, fetch: Fetch, percen
     2. Buckets whose nodes are all in one component are done, and so are those of two nodes.
     3. At the end the nodes outside a bucket's main component are compared with all nodes of
        the bucket that are in other components than their own.  No bucket is capped or skipped.
+
+    ``links`` (a, b) may give links that are known beforehand.  If these are all links among nodes of
+    the size ``decided``, two such nodes are not compared any more.
     """
     tested: DataFrame | None = None
     part_of: DataFrame | None = None
@@ -129,16 +133,26 @@ def linked_components(live: DataFrame, profiles: DataFrame, fetch: Fetch, percen
             part_of.select(F.col("node").alias("a"), F.col("component").alias("b")))
         part_of = written(connected_components(edges))
 
-    def regrouped(postings: DataFrame) -> DataFrame:
-        """Postings of the buckets that still hold several components."""
+    undecided = F.lit(True) if decided is None else F.col("size") != decided
+    compare = (F.col("component") != F.col("other_component")) & _fit(percent) & (
+        F.lit(True) if decided is None else undecided | (F.col("other_size") != decided))
+
+    def regrouped(postings: DataFrame, least: int) -> DataFrame:
+        """Postings of the buckets of ``least`` nodes or more that still hold several components."""
         now = postings.select(*POSTING).join(part_of, "node", "left").withColumn(
             "component", F.coalesce("component", "node"))
         open_ = now.groupBy("bucket").agg(
             F.count("*").alias("n"), F.min("component").alias("low"),
-            F.max("component").alias("high")).where("n > 2 and low < high")
+            F.max("component").alias("high"), F.max(undecided).alias("open")
+        ).where((F.col("n") >= least) & (F.col("low") < F.col("high")) & F.col("open"))
         return written(now.join(open_.select("bucket"), "bucket")
                        .select(*POSTING, "component"))
 
+    if links is not None:
+        part_of = written(connected_components(links))
+        marked = regrouped(live, 2)
+        if marked.isEmpty():
+            return part_of
     for number in range(rounds):
         orders = [F.struct(F.xxhash64(F.lit(number * LEADER_ORDERS + k), "node").alias("h"),
                            *[F.col(c) for c in ("node", "size", "left", "component")])
@@ -153,15 +167,13 @@ def linked_components(live: DataFrame, profiles: DataFrame, fetch: Fetch, percen
         leaders = leaders.select(
             "bucket", F.col("l.node").alias("other"), F.col("l.size").alias("other_size"),
             F.col("l.left").alias("other_left"), F.col("l.component").alias("other_component"))
-        pairs = marked.join(leaders, "bucket").where(
-            (F.col("component") != F.col("other_component")) & _fit(percent)
-        ).select(*_pair("node", "other")).distinct()
+        pairs = marked.join(leaders, "bucket").where(compare).select(*_pair("node", "other")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
         grown(pairs)
-        marked = regrouped(marked)
+        marked = regrouped(marked, 3)
         if marked.isEmpty():
             return part_of
     sizes = marked.groupBy("bucket", "component").agg(F.count("*").alias("n"))
@@ -170,9 +182,8 @@ def linked_components(live: DataFrame, profiles: DataFrame, fetch: Fetch, percen
     outside = marked.join(main, "bucket").where("component != main").select(
         "bucket", F.col("node").alias("other"), F.col("size").alias("other_size"),
         F.col("left").alias("other_left"), F.col("component").alias("other_component"))
-    rest = marked.join(outside, "bucket").where(
-        (F.col("component") != F.col("other_component")) & _fit(percent)
-    ).select(*_pair("node", "other")).distinct().join(tested, ["a", "b"], "left_anti")
+    rest = marked.join(outside, "bucket").where(compare).select(
+        *_pair("node", "other")).distinct().join(tested, ["a", "b"], "left_anti")
     rest = written(rest)
     if not rest.isEmpty():
         grown(rest)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,7 +133,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     documents share hold one paragraph they share.  Each paragraph gets MinHash values of its
     ``shingle``-word shingles, banded so that a pair with a Jaccard similarity of ``percent`` / 100
     collides with probability ``recall`` (a passage of more words has several paragraphs).  Colliding
-    paragraphs are verified by exact Jaccard and joined into components; no bucket is capped (see
+    paragraphs are verified by exact Jaccard, those without repeated shingles by their common subsets,
+    which amounts to the same, and joined into components; no bucket is capped (see
     ``links.linked_components``).  In each component that spans several documents what the first
     document holds of it stays, and the others' occurrences go.
 
@@ -222,31 +225,55 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         place, "id long, content long, start long, stop long, reach long, onward long, node long"
     ).join(held, "node"))
 
-    def sets_of(nodes: DataFrame, parity: bool) -> DataFrame:
-        """Profiles or sets of some paragraphs, from the texts."""
-        mask = bit_mask(nodes)
-
-        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, _, found in runs(batches):
-                which = chosen(mask, found.nodes)
-                which = which[np.unique(found.nodes[which], return_index=True)[1]]
-                sets = [np.unique(x) for x in found.rows(which)] if len(which) else []
-                kept = [parity_bits(x) if parity else x.astype("<u8").tobytes() for x in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.nodes[which].view(np.int64)),
-                     pa.array([len(x) for x in sets], pa.int32()), pa.array(kept, pa.binary())],
-                    names=["node", "size", "kept"])
-
-        rows = texts.mapInArrow(gather, "node long, size int, kept binary")
-        return written(rows.join(nodes, "node").dropDuplicates(["node"]))
-
+    # And for the sets of those that share a bucket with others than themselves.
     alive = live.select("node").distinct()
-    profiles = sets_of(alive, True).withColumnRenamed("kept", "parity")
-    sized = written(live.select("bucket", "node").join(profiles.select("node", "size"), "node")
+    alive_mask = bit_mask(alive)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, found in runs(batches):
+            which = chosen(alive_mask, found.nodes)
+            which = which[np.unique(found.nodes[which], return_index=True)[1]]
+            sets = [np.unique(x) for x in found.rows(which)] if len(which) else []
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.nodes[which].view(np.int64)),
+                 pa.array([len(x) for x in sets], pa.int32()),
+                 pa.array([parity_bits(x) for x in sets], pa.binary()),
+                 pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())],
+                names=["node", "size", "parity", "elements"])
+
+    sets = written(
+        texts.mapInArrow(gather, "node long, size int, parity binary, elements binary")
+        .join(alive, "node").dropDuplicates(["node"]))
+
+    # Sets without repeated shingles have one size.  Two of them are alike exactly if they have a
+    # common subset of the size that the similarity asks for, so links among them come from equal
+    # subsets, each hung on the first set that has it, and no pairs are made.
+    common = -(-2 * percent * size // (100 + percent))
+
+    def subsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left_out = np.array(list(combinations(range(size), size - common)), dtype=np.int64)
+        for pdf in batches:
+            for at in range(0, len(pdf), 4096):
+                part = pdf.iloc[at : at + 4096]
+                x = np.frombuffer(b"".join(part["elements"]), "<u8").reshape(len(part), size)
+                scrambled = textnum.mixed(x ^ np.uint64(0x5851F42D4C957F2D))
+                sums = scrambled.sum(axis=1, dtype=np.uint64)[:, None] - scrambled[:, left_out].sum(
+                    axis=2, dtype=np.uint64)
+                yield pd.DataFrame({
+                    "node": np.repeat(part["node"].to_numpy(), len(left_out)),
+                    "subset": textnum.mixed(sums).reshape(-1).view(np.int64)})
+
+    having = sets.where(F.col("size") == size).select("node", "elements").mapInPandas(
+        subsets, "node long, subset long")
+    first = having.groupBy("subset").agg(
+        F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("subset", "b")
+    links = having.join(first, "subset").where("node != b").select(
+        F.col("node").alias("a"), "b").distinct()
+    sized = written(live.select("bucket", "node").join(sets.select("node", "size"), "node")
                     .select("bucket", "node", "size", F.col("size").alias("left")))
     part_of = linked_components(
-        sized, profiles,
-        lambda nodes: sets_of(nodes, False).select("node", F.col("kept").alias("elements")), percent)
+        sized, sets.select("node", "size", "parity"), lambda nodes: sets.select("node", "elements"),
+        percent, links=links, decided=size)
 
     occurrences = placed.select(
         "id", "content", "start", "stop", "reach", "onward", "node"
