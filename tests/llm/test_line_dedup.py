@@ -67,3 +67,15 @@ def test_awkward_rows(spark):
     assert [r.text for r in out if r.doc_id == 2] == ["", "", ""]
     assert [r.text for r in out if r.doc_id == 1] == [rows[0][1]]
     assert line_dedup(documents(spark, rows).limit(0)).count() == 0
+
+
+def test_hot_copies_and_passages_go(spark):
+    passage, copy = lines(20, 2), lines(21, 1)
+    texts = ["\n".join([*lines(100 + i, 1), *passage, *lines(200 + i, 1)]) for i in range(20)]
+    texts += ["\n".join(copy)] * 20
+    # Each of the passage's lines stands alone in an earlier document.
+    texts = ["\n".join([passage[1], *lines(300, 1)]), "\n".join([passage[0], *lines(301, 1)]), *texts]
+    got = [r.text for r in line_dedup(documents(spark, texts), rare_least=3).collect()]
+    assert got[:3] == texts[:3]
+    assert got[3:22] == ["\n".join(lines(100 + i, 1) + lines(200 + i, 1)) for i in range(1, 20)]
+    assert got[22:] == ["\n".join(copy)] + [""] * 19
