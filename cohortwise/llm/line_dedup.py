@@ -67,13 +67,18 @@ def _longest_ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def common_blocks(later: Sequence, earlier: Sequence, shared: set,
-                  keys: Sequence[tuple] | None = None) -> list[int]:
-    """Indices in ``later`` of aligned common blocks that hold a shared key.
+                  keys: Sequence[tuple] | None = None, places: dict | None = None) -> list[int]:
+    """Indices in ``later`` of common blocks that hold a shared key.
 
-    ``keys`` are those of ``later`` (key, first line, end); the shared lines if not given.
+    Blocks are those of the alignment first.  Keys that it leaves, as they repeat or stand in another
+    order, are then met with their place in ``earlier`` and extended to both sides.  ``keys``
+    are those of ``later`` (key, first line, end), ``places`` where keys begin in ``earlier``; of
+    the shared lines if not given.
     """
     if keys is None:
         keys = [(x, i, i + 1) for i, x in enumerate(later) if x in shared]
+    if places is None:
+        places = {x: j for j, x in reversed([*enumerate(earlier)]) if x in shared}
     ends_at: dict[int, int] = {}
     for _, i, end in keys:
         ends_at[i] = min(end, ends_at.get(i, end))
@@ -87,7 +92,17 @@ def common_blocks(later: Sequence, earlier: Sequence, shared: set,
             block = []
         block.append(i)
         last = (i, j)
-    return removed
+    gone = set(removed)
+    for key, i, end in keys:
+        if key not in places or all(x in gone for x in range(i, end)):
+            continue
+        j, shift = places[key], places[key] - i
+        while i and j and later[i - 1] == earlier[j - 1]:
+            i, j = i - 1, j - 1
+        while end < len(later) and end + shift < len(earlier) and later[end] == earlier[end + shift]:
+            end += 1
+        gone.update(range(i, end))
+    return sorted(gone)
 
 
 def line_keys(lines: Sequence, sizes: Sequence, least: int, frequent: set | frozenset = frozenset()
@@ -142,7 +157,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at least ``anchor_chars`` characters: each that holds one is paired with the first that
     does, so pairs grow with the lines and not with the square of a group of copies.  Each pair is
     aligned with patience diff over line hashes; aligned common blocks with such a line are deleted
-    from the later document.  Only a single line that stands alone may be boilerplate: one that more
+    from the later document, and so are blocks around such lines that repeat or stand in another order:
+    each is left in its first document alone.  Only a single line that stands alone may be boilerplate: one that more
     than ``rare_share`` of all documents (and more than ``rare_least``) hold counts together with
     ``anchor_chars`` characters of its neighbours only.  A block of several lines goes however
     frequent it is.  The first holder of a line keeps it, so no line is lost.
@@ -220,7 +236,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for *sides, z in zip(a, a_sizes, b, b_sizes, shared, strict=True):
             x, x_sizes, y, y_sizes = (side.tolist() for side in sides)
             both = set(z.tolist())
-            out.append(common_blocks(x, y, both, keyed(x, x_sizes, both)))
+            places = {k: j for k, j, _ in reversed(keyed(y, y_sizes, both))}
+            out.append(common_blocks(x, y, both, keyed(x, x_sizes, both), places))
         return pd.Series(out, dtype=object)
 
     removed = (

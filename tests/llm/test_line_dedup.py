@@ -79,3 +79,11 @@ def test_hot_copies_and_passages_go(spark):
     assert got[:3] == texts[:3]
     assert got[3:22] == ["\n".join(lines(100 + i, 1) + lines(200 + i, 1)) for i in range(1, 20)]
     assert got[22:] == ["\n".join(copy)] + [""] * 19
+
+
+def test_lines_in_another_order_or_repeated_go(spark):
+    a, b, c = lines(30, 3)
+    assert common_blocks([b, a, b], [a, b], {a, b}) == [0, 1, 2]
+    texts = [f"{a}\n{b}", f"{b}\n{a}", f"{b}\n{a}", f"{b}\n{c}\n{b}\n{a}\n{a}"]
+    got = {r.doc_id: r.text for r in line_dedup(documents(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "", 2: "", 3: c}
