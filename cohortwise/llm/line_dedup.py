@@ -109,8 +109,10 @@ def line_keys(lines: Sequence, sizes: Sequence, least: int, frequent: set | froz
               ) -> list[tuple[int, int, int, bool]]:
     """What a document is found by: (key, first line, end, whether it is a passage of several lines).
 
-    Each line of ``least`` characters has a key.  One in ``frequent`` is none on its own; it is
-    widened to either side until its neighbours have as many characters too.
+    Each line of ``least`` characters has a key; a shorter one has two, with the lines after and with
+    those before it until they have so many together.  A key in ``frequent`` that holds a line
+    of ``least`` characters is none on its own; it is widened to either side until its neighbours have
+    as many characters too.
     """
     found: list[tuple[int, int, int, bool]] = []
 
@@ -141,6 +143,11 @@ def line_keys(lines: Sequence, sizes: Sequence, least: int, frequent: set | froz
     for i, size in enumerate(sizes):
         if size >= least:
             add(lines[i], i, i + 1, False)
+        elif size:
+            for x, y in {(i, ahead(i)), (back(i + 1), i + 1)}:
+                if x >= 0 and y >= 0:
+                    single = max(sizes[x:y]) >= least
+                    add(hash(tuple(lines[x:y])), x, y, not single)
     return found
 
 
@@ -154,8 +161,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Delete from each document the blocks of lines it shares with earlier documents.
 
     A text equal to an earlier document's goes whole.  Other documents are found by their lines of
-    at least ``anchor_chars`` characters: each that holds one is paired with the first that
-    does, so pairs grow with the lines and not with the square of a group of copies.  Each pair is
+    at least ``anchor_chars`` characters, and by shorter ones joined with their neighbours until
+    they have so many: each document that holds such a line or run is paired with the first that does, so pairs grow with the lines and not with the square of a group of copies.  Each pair is
     aligned with patience diff over line hashes; aligned common blocks with such a line are deleted
     from the later document, and so are blocks around such lines that repeat or stand in another order:
     each is left in its first document alone.  Only a single line that stands alone may be boilerplate: one that more
@@ -167,7 +174,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents are ordered by integer id, then by a hash of the text; null ids come last.  Rows equal
     in both are one document that is said again: they lose the same lines, not each other's.
     A null text stays null and has no lines; lines are parted by a line feed, and one that holds
-    blanks only is no anchor but may be part of a block.  A text of blanks only stays.  An empty
+    blanks only is no anchor but may be part of a block; nor is a single short line.  A text of blanks only stays.  An empty
     table gives an empty result.  Any other columns stay; one named ``into`` is replaced.  Lines
     are compared by 64-bit hashes.  The driver gets the boilerplate lines, at most 1 / ``rare_share``
     times the lines of an average document.

@@ -87,3 +87,11 @@ def test_lines_in_another_order_or_repeated_go(spark):
     texts = [f"{a}\n{b}", f"{b}\n{a}", f"{b}\n{a}", f"{b}\n{c}\n{b}\n{a}\n{a}"]
     got = {r.doc_id: r.text for r in line_dedup(documents(spark, texts)).collect()}
     assert got == {0: texts[0], 1: "", 2: "", 3: c}
+
+
+def test_blocks_of_short_lines_go(spark):
+    verse = ["red hen", "old fox", "", "wet dog", "big cat", "sly owl"]
+    texts = ["\n".join(["top", *verse, "end"]), "\n".join([*lines(40, 1), *verse]), "ab", "ab",
+             "\n".join([*verse, "more"]), "\n".join(["red hen", *lines(41, 1), "old fox"])]
+    got = {r.doc_id: r.text for r in line_dedup(documents(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: lines(40, 1)[0], 2: "ab", 3: "", 4: "more", 5: texts[5]}
