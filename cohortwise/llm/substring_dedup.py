@@ -25,6 +25,7 @@ BAND_ROWS = 5  # paragraphs that share a frequent line, but no more, rarely coll
 FILTER_BITS = 1 << 22
 _LAST = (1 << 63) - 1
 _BASE = 0xBF58476D1CE4E5B9 | 1
+_NATURAL = 0x94D049BB133111EB
 
 
 def least_similarity(size: int, percent: int) -> float:
@@ -64,8 +65,25 @@ def anchors(words: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(highest == pairs)
 
 
+def natural(texts: list[bytes], starts: np.ndarray, bounds: np.ndarray, least: int, passage: int,
+            shingle: int) -> np.ndarray:
+    """(first word, end) of the natural paragraphs: line-feed blocks of ``least`` words or more, and
+    whole texts of ``shingle`` words or more that are one block or have less than ``passage``."""
+    # Texts are joined by line feeds as well, so that no block spans two.
+    feeds = np.flatnonzero(np.frombuffer(b"\n".join(texts) + b"\n", np.uint8) == 10)
+    edges = np.unique(np.concatenate(([0], np.searchsorted(starts, feeds))))
+    blocks = np.stack((edges[:-1], edges[1:]), axis=1)
+    whole = np.stack((bounds[:-1], bounds[1:]), axis=1)
+    length = whole[:, 1] - whole[:, 0]
+    single = np.searchsorted(edges, whole[:, 1]) - np.searchsorted(edges, whole[:, 0]) == 1
+    return np.unique(np.concatenate((
+        blocks[blocks[:, 1] - blocks[:, 0] >= least],
+        whole[(length >= shingle) & (single | (length < passage))])), axis=0)
+
+
 class Paragraphs:
-    """The paragraphs of some texts: ``size`` words from each anchor that has so many left."""
+    """The paragraphs of some texts: ``size`` words from each anchor that has so many left, and
+    the natural paragraphs after them."""
 
     def __init__(self, texts: list[bytes], size: int, window: int, shingle: int):
         self.words, self.bounds, starts, ends, text_starts = textnum.located_words(texts)
@@ -93,13 +111,46 @@ class Paragraphs:
         self.next = np.minimum(following, self.bounds[self.text + 1])
         self.onward = textnum.mixed((sums[self.next] - sums[self.at]) * inverse[self.at]
                                     + (self.next - self.at).astype(np.uint64))
-        self.begin = starts[self.at] - text_starts[self.text]
-        self.end = ends[self.at + size - 1] - text_starts[self.text] if len(self.at) else self.at
+        #: So many are set by anchors; the rest are natural ones.
+        self.anchored = len(self.at)
+        blocks = natural(texts, starts, self.bounds, size, window + size, shingle)
+        self.till = np.concatenate((self.at + size, blocks[:, 1]))
+        self.at = np.concatenate((self.at, blocks[:, 0]))
+        self.text = np.searchsorted(self.bounds, self.at, side="right") - 1
+        names = textnum.mixed((sums[blocks[:, 1]] - sums[blocks[:, 0]]) * inverse[blocks[:, 0]]
+                              + (blocks[:, 1] - blocks[:, 0]).astype(np.uint64) * np.uint64(_NATURAL))
+        self.nodes = np.concatenate((self.nodes, names))
+        # A natural paragraph is whole: it goes on with nothing.
+        self.next = np.concatenate((self.next, blocks[:, 1]))
+        self.onward = np.concatenate((self.onward, names))
+        self.begin = starts[self.at] - text_starts[self.text] if len(self.at) else self.at
+        self.end = ends[self.till - 1] - text_starts[self.text] if len(self.at) else self.at
         self.next_end = ends[self.next - 1] - text_starts[self.text] if len(self.at) else self.at
 
     def rows(self, which: np.ndarray) -> np.ndarray:
         return self.shingles[self.at[which][:, None] + np.arange(self.size - self.k + 1)]
 
+    def shingle_set(self, i: int) -> np.ndarray:
+        return np.unique(self.shingles[self.at[i] : self.till[i] - self.k + 1])
+
+    def natural_hashes(self, which: np.ndarray, bands: int, rows: int) -> np.ndarray:
+        """As ``band_hashes``, for natural paragraphs, over all their shingles."""
+        odd = np.random.default_rng(29).integers(1, 1 << 62, (bands, rows)).astype(np.uint64)
+        odd = odd * np.uint64(2) + np.uint64(1)
+        found = np.zeros((len(which), bands), dtype=np.uint64)
+        if not len(which):
+            return found
+        # One more value than shingles, so that the last end is a place as well.
+        x = np.append(self.shingles, np.uint64(0))
+        places = np.stack((self.at[which], self.till[which] - self.k + 1), axis=1).reshape(-1)
+        for band in range(bands):
+            joined = np.full(len(which), _NATURAL + band, dtype=np.uint64)
+            for factor in odd[band]:
+                least = np.minimum.reduceat((x * factor) >> np.uint64(20), places)[::2]
+                joined = textnum.mixed(joined * np.uint64(0x9E3779B97F4A7C15) + least)
+            found[:, band] = joined
+        return found
+
     def band_hashes(self, which: np.ndarray, bands: int, rows: int) -> np.ndarray:
         """One hash per paragraph and band: of ``rows`` minima under different scrambles."""
         odd = np.random.default_rng(23).integers(1, 1 << 62, (bands, rows)).astype(np.uint64)
@@ -130,7 +181,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Passages lie anywhere, not only between line feeds, so paragraphs are set by content: ``paragraph``
     words from each anchor, with anchors so dense that any ``least_passage`` words that two
-    documents share hold one paragraph they share.  Each paragraph gets MinHash values of its
+    documents share hold one paragraph they share.  Natural paragraphs are further ones: line-feed
+    blocks of ``paragraph`` words or more, and whole texts of ``shingle`` words or more that are one
+    block or shorter than ``least_passage``.  Each paragraph gets MinHash values of its
     ``shingle``-word shingles, banded so that a pair with a Jaccard similarity of ``percent`` / 100
     collides with probability ``recall`` (a passage of more words has several paragraphs).  Colliding
     paragraphs are verified by exact Jaccard, those without repeated shingles by their common subsets,
@@ -148,6 +201,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     window = least_passage - paragraph
     size = paragraph - shingle + 1
     bands = tune_bands(least_similarity(size, percent), recall)
+    natural_bands = tune_bands(percent / 100, recall)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"),
                         F.col(text_col).alias("text"))
 
@@ -171,13 +225,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             nodes, first, times = np.unique(
                 found.nodes[order], return_index=True, return_counts=True)
             holders = holder[order[first]] << 31 | holder[order[first + times - 1]]
-            hashes = found.band_hashes(order[first], bands, BAND_ROWS)
-            ends = np.arange(len(nodes) + 1, dtype=np.int32) * bands
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes.view(np.int64)), pa.array(holders),
-                 pa.ListArray.from_arrays(pa.array(ends),
-                                          pa.array(hashes.reshape(-1).view(np.int64)))],
-                names=["node", "holders", "buckets"])
+            lead = order[first]
+            for own, count, hashed in (
+                    (lead < found.anchored, bands, found.band_hashes),
+                    (lead >= found.anchored, natural_bands, found.natural_hashes)):
+                hashes = hashed(lead[own], count, BAND_ROWS)
+                ends = np.arange(own.sum() + 1, dtype=np.int32) * count
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes[own].view(np.int64)), pa.array(holders[own]),
+                     pa.ListArray.from_arrays(pa.array(ends),
+                                              pa.array(hashes.reshape(-1).view(np.int64)))],
+                    names=["node", "holders", "buckets"])
 
     posted = texts.mapInArrow(post, "node long, holders long, buckets array<long>").select(
         "node", "holders", F.explode("buckets").alias("bucket"))
@@ -233,7 +291,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for _, _, found in runs(batches):
             which = chosen(alive_mask, found.nodes)
             which = which[np.unique(found.nodes[which], return_index=True)[1]]
-            sets = [np.unique(x) for x in found.rows(which)] if len(which) else []
+            sets = [found.shingle_set(i) for i in which]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found.nodes[which].view(np.int64)),
                  pa.array([len(x) for x in sets], pa.int32()),

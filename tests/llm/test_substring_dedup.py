@@ -100,3 +100,22 @@ def test_anchor_gaps():
             assert max(gaps) <= 31
         else:
             assert not own
+
+
+def test_natural_paragraphs_are_compared_whole(spark):
+    rng = random.Random(12)
+    texts = []
+    for i in range(6):
+        base = words(rng, 51).split()
+        edited = [*base[:25], "changed", *base[26:]]
+        texts += [f"{words(rng, 60)}\n{' '.join(base)}\n{words(rng, 60)}",
+                  f"{words(rng, 60)}\n{' '.join(edited)}\n{words(rng, 60)}"]
+    for n in (5, 18, 40):
+        texts += [words(rng, n)] * 2
+    got = {r.doc_id: r for r in repeated_passages(documents(spark, texts)).collect()}
+    assert {i: r.keep_id for i, r in got.items()} == {i: i - 1 for i in range(1, 18, 2)}
+    for i, r in got.items():
+        line = texts[i].split("\n")[1 if i < 12 else 0]
+        cut = texts[i][r.start : r.start + r.length]
+        # a paragraph of 20 words may have a word of its own at either end
+        assert line in cut and len(cut.split()) <= len(line.split()) + 2
