@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,6 +27,8 @@ FILTER_BITS = 1 << 22
 _LAST = (1 << 63) - 1
 _BASE = 0xBF58476D1CE4E5B9 | 1
 _NATURAL = 0x94D049BB133111EB
+_WORD = re.compile(r"[^ \t-\r]+")  # as in ``textnum``
+_LOWERED = {c: c + 32 for c in range(65, 91)}
 
 
 def least_similarity(size: int, percent: int) -> float:
@@ -99,11 +102,8 @@ class Paragraphs:
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(
             self.words * textnum.power_table(_BASE, len(self.words)), dtype=np.uint64)))
         inverse = textnum.power_table(pow(_BASE, -1, 1 << 64), len(self.words))
+        self.contents = _contents(self.words, self.bounds)
         #: A 64-bit name for the words of each paragraph.
-        powers = textnum.power_table(_BASE, int(np.diff(self.bounds).max(initial=0)))
-        #: A 64-bit name for all words of each text.
-        self.contents = np.array([_sequence_hash(self.words[b:e], powers) for b, e in zip(
-            self.bounds[:-1], self.bounds[1:], strict=True)], dtype=np.uint64)
         self.nodes = textnum.mixed((sums[self.at + size] - sums[self.at]) * inverse[self.at])
         # Each anchor's next one in its text, and a name for the words up to there.
         ahead = np.searchsorted(at, self.at, side="right")
@@ -189,7 +189,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     paragraphs are verified by exact Jaccard, those without repeated shingles by their common subsets,
     which amounts to the same, and joined into components; no bucket is capped (see
     ``links.linked_components``).  In each component that spans several documents what the first
-    document holds of it stays, and the others' occurrences go.
+    document holds of it stays, and the others' occurrences go.  Either end of what goes is extended
+    word by word, up to ``least_passage`` words, as far as the first document goes on alike.
 
     Returns one row per passage to remove, overlapping paragraphs merged: id, start and length
     (characters of the text), keep_id (the document in which its first paragraph stays).
@@ -347,15 +348,78 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "id", "content", "start",
         # Where the words up to the next anchor are those of the first document, they go as well.
         F.when(F.col("goes_on"), F.col("reach")).otherwise(F.col("stop")).alias("stop"),
-        F.col("first.id").alias("keep_id"))
-    # Overlapping or touching paragraphs of a document are one passage.
+        F.col("first.id").alias("keep_id"), F.col("stop").alias("end"), "component")
     in_order = Window.partitionBy("id", "content").orderBy("start", "stop", "keep_id")
     reach = F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = gone.withColumn(
-        "island", F.sum(F.when(F.col("start") > reach + 1, 1).otherwise(0)).over(in_order))
-    passages = islands.groupBy("id", "content", "island").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"),
-        F.min_by("keep_id", F.struct("start", "keep_id")).alias("keep_id"))
+
+    def merged(spans: DataFrame, *more: Column) -> DataFrame:
+        """Overlapping or touching spans of a document as one passage."""
+        islands = spans.withColumn(
+            "island", F.sum(F.when(F.col("start") > reach + 1, 1).otherwise(0)).over(in_order))
+        return islands.groupBy("id", "content", "island").agg(
+            F.min("start").alias("start"), F.max("stop").alias("stop"),
+            F.min_by("keep_id", F.struct("start", "keep_id")).alias("keep_id"), *more)
+
+    found = written(merged(
+        gone, F.min(F.struct(F.col("start").alias("at"), "component")).alias("left"),
+        F.max(F.struct(F.col("end").alias("at"), "component")).alias("right")))
+    # Either end of a passage is compared word by word with one place in the first document.
+    sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{side}.at").alias("at"),
+                                         F.col(f"{side}.component").alias("component"))
+                                for side in ("left", "right")]))
+    ends = found.select("id", "content", "island", sides.alias("e")).select(
+        "id", "content", "island", "e.*")
+    firsts = held.where(document == F.col("first")).groupBy("component").agg(
+        F.min(F.struct("start", "stop", "id", "content")).alias("f"))
+    kept_ends = written(firsts.select("component", "f.*").withColumn("side", F.explode(
+        F.array(F.lit("left"), F.lit("right")))).withColumn(
+        "at", F.when(F.col("side") == "left", F.col("start")).otherwise(F.col("stop")))
+        .join(ends.select("component", "side").distinct(), ["component", "side"], "left_semi")
+        .select("component", "side", "id", "content", "at"))
+    place_key = ["id", "content", "side", "at"]
+    wanted = ends.select(*place_key).unionByName(kept_ends.select(*place_key)).distinct().groupBy(
+        "id", "content").agg(F.collect_list(F.struct("side", "at")).alias("places"))
+    wanted = written(wanted)
+    wanted_mask = bit_mask(wanted.select(F.col("content").alias("node")))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, row = batch.column(0).to_numpy(zero_copy_only=False), 0
+            for run in textnum.chunked(textnum.as_bytes(batch.column(1))):
+                contents = _contents(*textnum.word_hashes(run))
+                which = chosen(wanted_mask, contents)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[row + which], pa.int64()), pa.array(contents[which].view(np.int64)),
+                     pa.array([run[i].decode() for i in which], pa.string())],
+                    names=["id", "content", "text"])
+                row += len(run)
+
+    @F.pandas_udf("array<struct<side:string,at:long,words:string>>")
+    def around(text: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([[{"side": p["side"], "at": p["at"],
+                            "words": _next_words(t, int(p["at"]), p["side"], least_passage)}
+                           for p in some] for t, some in zip(text, places, strict=True)], dtype=object)
+
+    near = written(
+        texts.mapInArrow(pick, "id long, content long, text string").join(wanted, ["id", "content"])
+        .select("id", "content", F.explode(around("text", "places")).alias("p"))
+        .select("id", "content", "p.*").dropDuplicates(place_key))
+
+    @F.pandas_udf("long")
+    def equal_part(side: pd.Series, own: pd.Series, other: pd.Series) -> pd.Series:
+        return pd.Series([_equal_part(x, y, z) for x, y, z in zip(side, own, other, strict=True)],
+                         dtype="int64")
+
+    kept_words = kept_ends.join(near, place_key).select(
+        "component", "side", F.col("words").alias("other"))
+    more = ends.join(near, place_key).join(kept_words, ["component", "side"]).select(
+        "id", "content", "island", "side", equal_part("side", "words", "other").alias("more"), "at")
+    more = more.groupBy("id", "content", "island").agg(
+        F.max(F.when(F.col("side") == "left", F.col("at") - F.col("more"))).alias("from"),
+        F.max(F.when(F.col("side") == "right", F.col("at") + F.col("more"))).alias("to"))
+    passages = merged(found.join(more, ["id", "content", "island"], "left").select(
+        "id", "content", F.least("start", "from").alias("start"),
+        F.greatest("stop", "to").alias("stop"), "keep_id"))
 
     def known(c: str):
         return F.when(F.col(c) != _LAST, F.col(c))
@@ -365,6 +429,41 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                            known("keep_id").alias("keep_id"))
 
 
+def _next_words(text: str, at: int, side: str, words: int) -> str:
+    """The text of at most so many words before (left) or after (right) a place in ``text``."""
+    reach = 16 * words
+    while True:
+        part = text[max(at - reach, 0) : at] if side == "left" else text[at : at + reach]
+        spans = [m.span() for m in _WORD.finditer(part)]
+        # The word at the part's far end may be cut, so it counts only where the text ends.
+        if len(spans) > words or reach >= len(text):
+            break
+        reach *= 4
+    if len(spans) > words:
+        part = part[spans[-words][0] :] if side == "left" else part[: spans[words - 1][1]]
+    return part
+
+
+def _equal_part(side: str, own: str, other: str) -> int:
+    """How many characters next to the place the equal words of both take, in ``own``."""
+    a, b = ([m for m in _WORD.finditer(x.translate(_LOWERED))] for x in (own, other))
+    if side == "left":
+        a, b = a[::-1], b[::-1]
+    far = 0
+    for x, y in zip(a, b):
+        if x.group() != y.group():
+            break
+        far = len(own) - x.start() if side == "left" else x.end()
+    return far
+
+
+def _contents(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit name for all words of each text."""
+    powers = textnum.power_table(_BASE, int(np.diff(bounds).max(initial=0)))
+    return np.array([_sequence_hash(words[b:e], powers) for b, e in zip(
+        bounds[:-1], bounds[1:], strict=True)], dtype=np.uint64)
+
+
 def _sequence_hash(words: np.ndarray, powers: np.ndarray) -> int:
     return int((words * powers[: len(words)]).sum(dtype=np.uint64)) ^ len(words)
 

@@ -119,3 +119,15 @@ def test_natural_paragraphs_are_compared_whole(spark):
         cut = texts[i][r.start : r.start + r.length]
         # a paragraph of 20 words may have a word of its own at either end
         assert line in cut and len(cut.split()) <= len(line.split()) + 2
+
+
+def test_passages_are_found_to_their_ends(spark):
+    texts = []
+    for seed in range(40, 48):
+        texts += [t.replace(" ", "\t", 3) for t in planted(seed, length=70)[0]]
+    got = repeated_passages(documents(spark, texts)).collect()
+    assert len(got) == 24
+    for r in got:
+        passage = planted(40 + r.doc_id // 12, length=70)[1].split()
+        cut = texts[r.doc_id][r.start : r.start + r.length].split()
+        assert " ".join(passage) in " ".join(cut) and len(cut) <= len(passage) + 2
