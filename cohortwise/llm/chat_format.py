@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from cohortwise.llm.common import written
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -24,25 +27,60 @@ def render_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     * masks: array of (start, length) in characters of ``text`` that are trained on;
     * masked_chars: their total.
 
-    A dialogue is cut into parts of ``turns_per_sample`` turn numbers (part = floor(turn / that)),
-    so that one long dialogue is many rows, not one; parts list the participants who speak in
-    them.  Turns are ordered by number, then role, then text; repeated rows are said again.  A
+    A dialogue is cut into parts of ``turns_per_sample`` turns in order, so that one long dialogue is many
+    rows, not one.  Every participant of the dialogue has a view of each of its parts, also
+    of those in which they are silent.  The system turns before the first other turn are said again at
+    the head of each later part, as far as they lie in the first one; n_turns counts them as well.
+    Turns are ordered by number, then role, then text; repeated rows are said again.  A
     null text is an empty one, a null role is the participant ``unknown``.  A null turn number
     counts as 0.  Rows without conversation id belong to no dialogue and are left out.
-    A part with system turns only has no participant and no row.  An empty table gives an empty
+    A dialogue with system turns only has no participant and no row.  An empty table gives an empty
     result.  Other columns are not looked at.
     """
+    # Rows that are said again are counted, so that no key is larger than a row.
     said = turns.where(F.col(conv_col).isNotNull()).select(
-        F.col(conv_col).alias("conv"),
-        F.floor(F.coalesce(F.col(turn_col), F.lit(0)) / turns_per_sample).cast("long").alias("part"),
-        F.struct(F.coalesce(F.col(turn_col), F.lit(0)).alias("turn"),
-                 F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"),
-                 F.coalesce(F.col(text_col), F.lit("")).alias("said")).alias("t"),
-    )
-    dialogues = said.groupBy("conv", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    speakers = F.array_sort(F.array_distinct(F.filter(
-        F.transform("turns", lambda t: t["role"]), lambda r: ~r.isin(*system_roles))))
-    views = dialogues.select("conv", "part", "turns", F.explode(speakers).alias("perspective"))
+        F.col(conv_col).alias("conv"), F.coalesce(F.col(turn_col), F.lit(0)).alias("turn"),
+        F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("said"),
+    ).groupBy("conv", "turn", "role", "said").agg(F.count("*").alias("times"))
+    # A dialogue's turns are ranked in pieces of ranges, each of which starts where those before end.
+    pieces = written(said.repartitionByRange(
+        "conv", "turn", "role", F.substring("said", 1, 64)).withColumn("piece", F.spark_partition_id()))
+    starts = pieces.groupBy("conv", "piece").agg(F.sum("times").alias("n")).select(
+        "conv", "piece", F.coalesce(F.sum("n").over(
+            Window.partitionBy("conv").orderBy("piece").rowsBetween(
+                Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
+    within = Window.partitionBy("conv", "piece").orderBy("turn", "role", "said").rowsBetween(
+        Window.unboundedPreceding, -1)
+    ranked = written(pieces.withColumn("ahead", F.coalesce(F.sum("times").over(within), F.lit(0)))
+                     .join(starts, ["conv", "piece"])
+                     .select("conv", "role", "said", "times",
+                             (F.col("begin") + F.col("ahead")).alias("rank")))
+    size = turns_per_sample
+    spread = ranked.withColumn("part", F.explode(F.sequence(
+        F.floor(F.col("rank") / size), F.floor((F.col("rank") + F.col("times") - 1) / size))))
+    first = F.greatest("rank", F.col("part") * size)
+    last = F.least(F.col("rank") + F.col("times"), (F.col("part") + 1) * size)
+    spread = spread.select("conv", "part", F.struct(
+        first.alias("rank"), (last - first).cast("int").alias("times"), "role", "said").alias("t"))
+
+    def in_order(collected: Column) -> Column:
+        return F.flatten(F.transform(F.sort_array(collected), lambda t: F.array_repeat(
+            F.struct(t["role"].alias("role"), t["said"].alias("said")), t["times"])))
+
+    dialogues = spread.groupBy("conv", "part").agg(in_order(F.collect_list("t")).alias("turns"))
+    system = F.col("role").isin(*system_roles)
+    speakers = ranked.groupBy("conv").agg(
+        F.array_sort(F.collect_set(F.when(~system, F.col("role")))).alias("speakers"),
+        F.min(F.when(~system, F.col("rank"))).alias("opening")).where("opening IS NOT NULL")
+    leading = spread.where(F.col("part") == 0).join(speakers.select("conv", "opening"), "conv").where(
+        F.col("t.rank") < F.col("opening")).groupBy("conv").agg(
+        in_order(F.collect_list("t")).alias("leading"))
+    heads = speakers.join(leading, "conv", "left").select("conv", "speakers", "leading")
+    carried = F.when((F.col("part") > 0) & F.col("leading").isNotNull(),
+                     F.concat("leading", "turns")).otherwise(F.col("turns"))
+    views = dialogues.join(heads, "conv").select(
+        "conv", "part", carried.alias("turns"), F.explode("speakers").alias("perspective"))
 
     def head(role: Column) -> Column:
         return (F.when(role == F.col("perspective"), F.lit("assistant"))

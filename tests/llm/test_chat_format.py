@@ -43,3 +43,23 @@ def test_empty_and_native(spark):
     df = render_perspectives(table(spark, []))
     assert df.count() == 0
     assert "Python" not in df._jdf.queryExecution().toString()
+
+
+def test_all_participants_see_all_parts(spark):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "cat", "hi"), (1, 2, "system", "late")]
+    rows += [(1, i, "ann", str(i)) for i in range(10, 30)]
+    rows += [(2, None, "ab"[i % 2], "same") for i in range(25)]
+    got = render_perspectives(table(spark, rows), turns_per_sample=10).collect()
+    one = {(r.part, r.perspective): r for r in got if r.conv_id == 1}
+    assert set(one) == {(p, who) for p in range(3) for who in ("ann", "cat")}
+    assert [one[p, "cat"].n_turns for p in range(3)] == [10, 11, 4]
+    for (part, who), r in one.items():
+        assert r.text.startswith("<|im_start|>system\nbe kind<|im_end|>\n")
+        assert r.text.count("late") == (part == 0)
+        assert len(r.masks) == ((part == 0) if who == "cat" else r.text.count("name=ann")
+                                + r.text.count("<|im_start|>assistant"))
+    assert one[2, "cat"].text.endswith("<|im_start|>user name=ann\n29<|im_end|>\n")
+    two = {(r.part, r.perspective): r for r in got if r.conv_id == 2}
+    assert {k: r.n_turns for k, r in two.items()} == {
+        (p, who): n for p, n in enumerate((10, 10, 5)) for who in "ab"}
+    assert [sum(len(two[p, who].masks) for p in range(3)) for who in "ab"] == [13, 12]
