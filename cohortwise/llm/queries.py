@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortwise.llm import (
     chat_format,
+    collocations,
     embedding_dedup,
     exact_dedup,
     language_id,
@@ -16,8 +17,10 @@ from cohortwise.llm import (
     mixing,
     ngram_join,
     packing,
+    periodic_runs,
     sharding,
     substring_dedup,
+    topk_search,
 )
 
 SHARDS = 24
@@ -116,6 +119,51 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix.*")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_inner_products(
+        _table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def planted_repetition(docs: DataFrame) -> DataFrame:
+    """``docs`` where a tenth of the texts repeat a stretch of their words from some word on.
+
+    With h = crc32(doc_id), g = h div 10 and n words: if h % 10 = 0 the words from a = g % n on become the p words
+    from there over and over, p = 1 + (n - a) div (3 + g % 8).
+    """
+    words = F.regexp_extract_all(F.col("text"), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.withColumn("__words", F.when(h % 10 == 0, words)).withColumn(
+        "__n", F.coalesce(F.size("__words"), F.lit(0)))
+    g, n, a = F.floor(h / 10), F.col("__n"), F.col("__a")
+    placed = chosen.withColumn("__a", F.when(n > 0, (g % n).cast("int"))).withColumn(
+        "__p", (1 + F.floor((n - a) / (3 + g % 8))).cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("__words", a + 1, F.col("__p")),
+                                     F.ceil((n - a) / F.col("__p")).cast("int")))
+    changed = F.array_join(F.concat(F.slice("__words", F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")
+    return placed.withColumn("text", F.when(n > 0, changed).otherwise(F.col("text"))).select(
+        *docs.columns)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.periodic_runs(planted_repetition(docs), digest=True)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    longest = F.array_sort(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period"))))
+    best = F.get(longest, F.lit(0))
+    length = -best["shorter"]
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"),
+        length.alias("length"), best["period"].alias("period"),
+        F.floor(1000 * length / best["period"]).alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256)
+        .alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"))
+
+
 OP1_SQL = """
 SELECT doc_id,
        max(doc_id) OVER same AS keep_id,
@@ -214,9 +262,70 @@ FROM placed
 """
 
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         regexp_extract_all(unnest(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words
+  FROM documents
+), places AS (
+  SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i
+  FROM pieces CROSS JOIN (SELECT unnest(range(1, 6)) AS k) WHERE len(words) >= k
+), counts AS (
+  SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS phrase, count(*) AS a
+  FROM places GROUP BY ALL
+), totals AS (
+  SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT * FROM counts WHERE k > 1 AND a >= 100
+), cuts AS (
+  SELECT lang, phrase, k, a, cut, string_split(phrase, ' ') AS words
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates)
+), scored AS (
+  SELECT c.lang, c.phrase, c.k, c.a, l.a AS l, r.a AS r, n,
+         CAST((1000 :: HUGEINT * c.a * n) // (l.a :: HUGEINT * r.a) AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY
+           (1000 :: HUGEINT * c.a * n) // (l.a :: HUGEINT * r.a), cut) AS place
+  FROM cuts c JOIN totals USING (lang)
+  JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(words[1 : cut], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(words[cut + 1 :], ' ')
+), kept AS (
+  SELECT * FROM scored s WHERE place = 1 AND NOT EXISTS (
+    SELECT 1 FROM candidates d WHERE d.lang = s.lang AND d.k > s.k AND 100 * d.a >= 100 * s.a
+      AND contains(' ' || d.phrase || ' ', ' ' || s.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n, score
+FROM kept
+QUALIFY rank <= 2000
+"""
+
+OP12_SQL = """
+WITH grid AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v,
+         row_number() OVER () AS place
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(
+    embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, q.place, c.vec_id,
+         CAST(coalesce(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])), 0) AS BIGINT)
+           AS score
+  FROM grid q JOIN grid c ON len(q.v) = len(c.v) AND q.place <> c.place
+  WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id, score
+FROM scores
+QUALIFY rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op9_chat_formatting": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op9_chat_formatting": OP9_SQL, "op10_mixing": OP10_SQL,
+            "op11_phrase_collocations": OP11_SQL, "op12_topk_search": OP12_SQL}
