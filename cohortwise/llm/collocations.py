@@ -22,6 +22,7 @@ TOP = 2000
 CLOSED_PERCENT = 100
 SHARD_WORDS = 4_000_000
 HELD_WORDS = 6_000_000
+BUCKET_WORDS, FEWEST_BUCKETS = 1 << 19, 64
 FEWEST_BITS, MOST_BITS = 1 << 16, 1 << 28
 
 #: A-Z to a-z, a tab to a space, and what ends a piece to a byte that UTF-8 never holds.
@@ -127,13 +128,16 @@ def word_counts(docs: DataFrame, shard_words: int, held_words: int) -> DataFrame
 
 
 def locally_frequent(docs: DataFrame, min_count: int, most_words: int, shard_words: int,
-                     held_words: int) -> DataFrame:
-    """lang, hash, excess of what is frequent in some shard.
+                     held_words: int, buckets: int) -> DataFrame:
+    """What is frequent in some shard: lang, bucket, hashes, excess (both packed), missed.
 
-    A shard with the share s of its language's words asks for t = ceil(min_count * s) occurrences.  Summed up
-    over shards, excess is what the occurrences pass t - 1 by; the row without a hash has the sum of t - 1 over all
-    shards.  The two together bound a phrase's count from above.
+    A shard with the share s of its language's words asks for t = ceil(min_count * s) occurrences; excess is what
+    a phrase has beyond t - 1.  Hashes are dealt to ``buckets`` (a power of two) by their leading bits; a
+    shard writes one row for each that it has any of.  A row without a bucket has t - 1 as missed.
     """
+    names = ["lang", "bucket", "hashes", "excess", "missed"]
+    shift = np.uint64(64 - buckets.bit_length() + 1)
+
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, shard_words, held_words):
             if not shard.words:
@@ -143,15 +147,57 @@ def locally_frequent(docs: DataFrame, min_count: int, most_words: int, shard_wor
             single = np.bincount(ids, minlength=len(words)) >= least
             found = [(level, counts - (least - 1)) for _, _, counts, level in frequent_phrases(
                 ids, hashes, single, most_words, lambda _, n: n >= least)]
-            missed = (np.zeros(1, np.uint64), np.full(1, least - 1))
-            for level, excess in [*found, missed]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard.lang] * len(level), pa.string()),
-                     pa.array(level.view(np.int64), mask=np.full(len(level), level is missed[0])),
-                     pa.array(excess, pa.int64())], names=["lang", "hash", "excess"])
+            level = np.concatenate([np.zeros(0, np.uint64), *[x for x, _ in found]])
+            excess = np.concatenate([np.zeros(0, np.int64), *[x for _, x in found]]).astype("<i4")
+            order = np.argsort(level)
+            level, excess = level[order], excess[order]
+            bucket = (level >> shift).astype(np.int64)
+            edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+            packed = [[x[lo:hi].tobytes() for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+                      for x in (level, excess)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shard.lang] * (len(packed[0]) + 1), pa.string()),
+                 pa.array([*bucket[edges[:-1]].tolist(), None], pa.int64()),
+                 pa.array([*packed[0], None], pa.binary()), pa.array([*packed[1], None], pa.binary()),
+                 pa.array([None] * len(packed[0]) + [least - 1], pa.int64())], names=names)
+
+    return docs.mapInArrow(
+        mine, "lang string, bucket long, hashes binary, excess binary, missed long")
 
-    return docs.mapInArrow(mine, "lang string, hash long, excess long").groupBy("lang", "hash").agg(
-        F.sum("excess").alias("excess"))
+
+def united(local: DataFrame, min_count: int) -> DataFrame:
+    """The hashes of all phrases whose count may reach ``min_count``, for all that single shards know.
+
+    A phrase has in a shard the count given, or t - 1 at most.  A task unites one bucket at a time.
+    """
+    floor = local.where("bucket IS NULL").groupBy("lang").agg(F.sum("missed").alias("floor"))
+    blocks = local.where("bucket IS NOT NULL").drop("missed").join(floor, "lang").select(
+        "bucket", "lang", "hashes", "excess", "floor")
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            level = np.frombuffer(b"".join(h for h, _ in held), np.int64)
+            excess = np.frombuffer(b"".join(e for _, e in held), "<i4").astype(np.int64)
+            order = np.argsort(level, kind="stable")
+            level, excess = level[order], excess[order]
+            first = np.flatnonzero(np.concatenate(([True], level[1:] != level[:-1])))
+            hopeful = np.add.reduceat(excess, first) + own[2] >= min_count
+            return pa.RecordBatch.from_arrays([pa.array(level[first][hopeful])], names=["hash"])
+
+        own, held = None, []
+        for batch in batches:
+            for bucket, lang, hashes, excess, floor in zip(
+                    *[batch.column(i).to_pylist() for i in range(5)], strict=True):
+                if held and own[:2] != (bucket, lang):
+                    yield done()
+                    held = []
+                own = (bucket, lang, floor)
+                held.append((hashes, excess))
+        if held:
+            yield done()
+
+    return blocks.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(
+        unite, "hash long")
 
 
 def filter_of(candidates: DataFrame) -> np.ndarray:
@@ -247,8 +293,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     more, overlapping ones included.
 
     Partitioning (SON): every shard is mined completely at its share of the support, what is frequent in some
-    shard is united (as hashes, with an upper bound of its count, which most of the union fails), and the
-    candidates are counted exactly over all texts.  A phrase with ``min_count`` occurrences has its share in
+    shard is united (as hashes in blocks of a hash range, of which there are as many as the words
+    ask for, and with an upper bound of its count, which most of the union fails), and the candidates are
+    counted exactly over all texts.  A phrase with ``min_count`` occurrences has its share in
     some shard, so none is lost.  Beyond ``min_count`` shards a share is a single occurrence: then the
     first pass is a count of all phrases by their hashes, and its bound their number itself.  Candidates reach
     the second pass as a bit filter of at most 32 MB.  What it lets through wrongly is counted, found
@@ -266,12 +313,14 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
                         F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = written(word_counts(texts, shard_words, held_words))
     totals = written(words.groupBy("lang").agg(F.sum("n").alias("n")))
+    buckets = FEWEST_BUCKETS
+    n_words = totals.agg(F.sum("n")).first()[0] or 0
+    while buckets * BUCKET_WORDS < n_words:
+        buckets *= 2
     local = written(locally_frequent(
         texts.join(totals, "lang").select("lang", "text", "n"), min_count, max_words, shard_words,
-        held_words))
-    floor = local.where("hash IS NULL").select("lang", F.col("excess").alias("missed"))
-    candidates = written(local.where("hash IS NOT NULL").join(floor, "lang").where(
-        F.col("excess") + F.col("missed") >= min_count).select("hash"))
+        held_words, buckets))
+    candidates = written(united(local, min_count))
     counted = written(candidate_counts(texts, candidates, max_words, shard_words, held_words)
                       .where(F.col("a") >= min_count))
     freq = counted.select("lang", "phrase", "a").unionByName(
