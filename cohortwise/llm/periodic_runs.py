@@ -18,10 +18,10 @@ from cohortwise.llm.textnum import as_bytes
 
 EXPONENT = 4
 LEAST_LENGTH = 6
-TILE_WORDS = 4_096
+TILE_WORDS = 1_024
 CHUNK_WORDS = 500_000
 CHUNK_TEXTS = 10_000
-PROBES = 16
+PROBES = 32
 #: Cuts of an octave lie 2 * 2^j words apart, and a tile reaches 8 * 2^j words beyond its cuts: as long as
 #: the longest stretch (EXPONENT periods below 2 * 2^j) that must be seen whole.
 CUT, REACH = 2, 2 * EXPONENT
@@ -52,32 +52,34 @@ def z_function(s: list[int], most: int) -> list[int]:
 
 def hopeful_cuts(x: np.ndarray, start: np.ndarray, length: np.ndarray, octave: int
                  ) -> tuple[np.ndarray, np.ndarray]:
-    """Texts and cuts (places in the text) from which the words of some period of the octave come again.
+    """Texts and cuts (places in the text) from which the words of some period q of the octave come again.
 
-    ``x`` holds the words of all texts.  Cuts stand at every CUT * 2^j-th word, so one of them lies at the
-    beginning of two whole periods of any run.  From it the first period equals the second, of which as many
-    as PROBES words are compared here.
+    ``x`` holds the words of all texts.  Cuts stand at every CUT * 2^j-th word.  A run is at least
+    max(6, 4 q) words long, so from the first cut in it as many words less q, and less those before
+    the cut, equal the words a period later.  Up to PROBES of them are compared here.
     """
     base = 1 << octave
+    period = np.arange(base, 2 * base)
+    need = np.maximum(LEAST_LENGTH, EXPONENT * period) - period - (CUT * base - 1)
     texts = np.flatnonzero(length >= max(LEAST_LENGTH, EXPONENT * base))
     n_cuts = (length[texts] - 2 * base) // (CUT * base) + 1
     text = np.repeat(texts, n_cuts)
     cut = (np.arange(len(text)) - np.repeat(np.cumsum(n_cuts) - n_cuts, n_cuts)) * CUT * base
-    found = []
+    found, end = [], len(x) - 1
     for lo in range(0, len(text), max(1, (1 << 20) // base)):
         part = slice(lo, lo + max(1, (1 << 20) // base))
         here = (start[text[part]] + cut[part])[:, None]
-        period = np.arange(base, 2 * base)[None, :]
-        size = length[text[part]][:, None]
-        good = (EXPONENT * period <= size) & (cut[part][:, None] + 2 * period <= size)
-        row, column = np.nonzero(
-            good & (x[here] == x[np.minimum(here + period, len(x) - 1)]))
-        a, b = here[row, 0], here[row, 0] + base + column
-        for t in range(1, min(PROBES, base)):
+        room = (length[text[part]] - cut[part])[:, None]
+        row, column = np.nonzero((period + need <= room) & (
+            EXPONENT * period <= length[text[part]][:, None])
+            & (x[here] == x[np.minimum(here + period, end)]))
+        a = here[row, 0]
+        for t in range(1, min(PROBES, int(need.max()))):
             if not len(row):
                 break
-            same = x[a + t] == x[b + t]
-            row, a, b = row[same], a[same], b[same]
+            q = period[column]
+            same = (x[np.minimum(a + t, end)] == x[np.minimum(a + q + t, end)]) | (t >= need[column])
+            row, column, a = row[same], column[same], a[same]
         found.append(lo + np.unique(row))
     at = np.concatenate(found) if found else np.zeros(0, np.int64)
     return text[at], cut[at]
@@ -124,7 +126,7 @@ class _Chunk:
         self.n += len(words)
 
     def tiles(self) -> tuple[set[int], list[tuple]]:
-        """Texts with hopeful cuts, and (text, octave, start, words, cuts) of their tiles."""
+        """Texts with hopeful cuts, and (text, octave, start, bytes a word, words, cuts) of their tiles."""
         number = defaultdict(count().__next__)
         x = np.fromiter((number[w] for words in self.words for w in words), np.int32, self.n)
         length = np.array([len(w) for w in self.words])
@@ -141,8 +143,9 @@ class _Chunk:
                 i, cuts = int(text[lo]), cut[lo:hi]
                 first = max(0, int(cuts[0]) - REACH * base)
                 last = min(int(length[i]), int(cuts[-1]) + REACH * base)
-                own = x[start[i] + first : start[i] + last]
-                found.append((i, octave, first, own.tobytes(),
+                kinds, own = np.unique(x[start[i] + first : start[i] + last], return_inverse=True)
+                width = np.min_scalar_type(len(kinds)).itemsize
+                found.append((i, octave, first, width, own.astype(f"<u{width}").tobytes(),
                               (cuts - first).astype(np.int32).tobytes()))
             octave += 1
         return {t[0] for t in found}, found
@@ -166,7 +169,8 @@ def _shown(text: bytes, digest: bool) -> str:
 
 def _tiled(texts: DataFrame, digest: bool) -> DataFrame:
     """Rows of three kinds: a text without hopeful cuts is done, another has its words and its tiles."""
-    names = ["key", "id", "kind", "n", "text", "octave", "first", "words", "cuts"]
+    names = ["key", "id", "kind", "n", "text", "octave", "first", "width", "words",
+             "cuts"]
     id_type = texts.schema["id"].dataType.simpleString()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,11 +178,11 @@ def _tiled(texts: DataFrame, digest: bool) -> DataFrame:
             open_, tiles = chunk.tiles()
             out = [(*key, "open" if i in open_ else "done", len(w),
                     b" ".join(w).decode() if i in open_ else _shown(b" ".join(w), digest),
-                    None, None, None, None)
+                    None, None, None, None, None)
                    for i, (key, w) in enumerate(zip(chunk.keys, chunk.words, strict=True))]
             out += [(chunk.keys[i][0], None, "tile", None, None, *rest) for i, *rest in tiles]
             kinds = [pa.int64(), id_kind, pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(),
-                     pa.binary(), pa.binary()]
+                     pa.int32(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
                 names=names)
@@ -197,7 +201,7 @@ def _tiled(texts: DataFrame, digest: bool) -> DataFrame:
 
     return texts.mapInArrow(
         split, f"key long, id {id_type}, kind string, n long, text string, octave int, first long, "
-               "words binary, cuts binary")
+               "width int, words binary, cuts binary")
 
 
 def _fragments(tiles: DataFrame) -> DataFrame:
@@ -205,9 +209,9 @@ def _fragments(tiles: DataFrame) -> DataFrame:
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, octave, first, words, cuts in zip(
-                    *[batch.column(i).to_pylist() for i in range(5)], strict=True):
-                found = tile_fragments(np.frombuffer(words, np.int32).tolist(),
+            for key, octave, first, width, words, cuts in zip(
+                    *[batch.column(i).to_pylist() for i in range(6)], strict=True):
+                found = tile_fragments(np.frombuffer(words, f"<u{width}").tolist(),
                                        np.frombuffer(cuts, np.int32).tolist(), octave)
                 out += [(key, q, first + a, first + b) for q, own in found.items() for a, b in own]
             if out:
@@ -215,7 +219,10 @@ def _fragments(tiles: DataFrame) -> DataFrame:
                     [pa.array(c, pa.int64()) for c in zip(*out, strict=True)],
                     names=["key", "period", "start", "end"])
 
-    dealt = tiles.select("key", "octave", "first", "words", "cuts").repartition("key", "octave", "first")
+    # Few bytes are much work here: a number of tasks that isn't reduced by size.
+    tasks = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tiles.select("key", "octave", "first", "width", "words", "cuts").repartition(
+        tasks, "key", "octave", "first")
     return dealt.mapInArrow(solve, "key long, period long, start long, end long")
 
 
