@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -184,15 +184,30 @@ def area_lookup(imd: DataFrame, postcodes: DataFrame, names: DataFrame) -> DataF
     return joined.withColumn("la_derived", F.col("la_name"))
 
 
-def attach_areas(df: DataFrame, lookup: DataFrame, key: str = "lsoa_derived") -> DataFrame:
+def attach_areas(
+    df: DataFrame,
+    lookup: DataFrame,
+    key: str = "lsoa_derived",
+    spread_by: Sequence[str] = ("dob",),
+    salts: int = 1,
+) -> DataFrame:
     """Left join of persons to their area columns.
 
-    Where the lookup is too large to broadcast, persons are shuffled by the key; those
-    without one are dealt out under keys that no lookup has, not sent to one task.
+    ``lookup`` is best a stored table, whose size Spark knows: one within ``autoBroadcastJoinThreshold`` is
+    broadcast, and no person is shuffled.  Beyond that persons are shuffled by the key.  Those without one are
+    dealt out under keys that no lookup has, by a hash of the columns ``spread_by`` (of those that ``df`` has;
+    other columns stay prunable).  With ``salts`` above 1 each area's persons go to so many tasks and
+    the lookup's rows are repeated as often, for areas that hold a large share of all persons.
     """
-    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD)).cast("string"))
+    chosen = [F.col(c) for c in spread_by if c in df.columns] or [F.lit(0)]
+    spread = F.xxhash64(*chosen)
+    nowhere = F.concat(F.lit("\0"), F.pmod(spread, F.lit(SPREAD)).cast("string"))
     named = lookup.withColumnRenamed(key, "_area")
-    return df.join(named, F.coalesce(F.col(key), spread) == F.col("_area"), "left").drop("_area")
+    same = F.coalesce(F.col(key), nowhere) == F.col("_area")
+    if salts > 1:
+        named = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        same = same & (F.pmod(spread, F.lit(salts)).cast("int") == F.col("_salt"))
+    return df.join(named, same, "left").drop("_area", "_salt")
 
 
 def merge_small_areas(

@@ -8,8 +8,12 @@ Spark and DuckDB both understand, apart from a few words kept in ``DIALECTS``.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortwise.sources.staging import fingerprinted, shared_folder
+
 DIALECTS = {
     "spark": {
         "days": "datediff(CAST(l_shipdate AS DATE), DATE '1995-01-01')",
@@ -149,8 +153,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, tables: list[str],
+           spec: object) -> DataFrame:
+    """``df`` written once for a folder of driver tables, and again where these or ``spec`` change."""
+    place = hashlib.md5(sf_dir.encode()).hexdigest()
+    return fingerprinted(
+        spark, f"{shared_folder(spark)}/driver-inputs/{place}/{name}", lambda: df, {"made": spec},
+        [f"{sf_dir}/{t}.parquet" for t in tables])
+
+
 def raw_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The person table, computed on the fly from all order lines."""
+    """The person table, as it would lie in a run's storage."""
+    files = spark.sparkContext.defaultParallelism
+    return stored(spark, sf_dir, "persons", computed_persons(spark, sf_dir).repartition(files),
+                  ["lineitem"], [files, _steps("spark")])
+
+
+def computed_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The person table, from all order lines."""
     base, *rest = _steps("spark")
     df = read(spark, sf_dir, "lineitem").selectExpr(*_select(base))
     for step in rest:

@@ -461,7 +461,7 @@ def run_tables(min_age: int) -> dict[str, str]:
 
 def run_rows(min_age: int) -> str:
     return with_tables(
-        f'SELECT "table", {KEYS}, population, vaccinated, {rounded_rates(4)} FROM safe',
+        f'SELECT "table", {KEYS}, population, vaccinated, {rounded_rates()} FROM safe',
         run_tables(min_age),
     )
 

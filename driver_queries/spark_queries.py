@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -40,7 +39,7 @@ from cohortwise.operators.tables import (
 from cohortwise.plans.monthly_run import published_rows, study_population
 from cohortwise.sources import readers, writers
 from cohortwise.sources.readers import default_poisson_limits, default_standard_population
-from cohortwise.sources.staging import read_or_compute
+from cohortwise.sources.staging import read_or_compute, shared_folder
 from driver_queries import mapping
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,11 +59,14 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return areas.area_lookup(
+    """The area lookup, written once for a folder of driver tables."""
+    table = areas.area_lookup(
         mapping.imd(spark, sf_dir),
         mapping.postcodes(spark, sf_dir),
         mapping.area_names(spark, sf_dir),
     )
+    return mapping.stored(spark, sf_dir, "areas", table, ["part", "nation"],
+                          mapping._area_columns("spark"))
 
 
 def study(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,8 +426,7 @@ def publish_dataset(spark, sf_dir):
 
 def _shared_path(spark, name):
     """A new place in the folder that all executors see."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cohortwise-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def published_files(spark, sf_dir):
@@ -503,7 +504,7 @@ def _run_rows(run: RunConfig) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Every row of every table of a run."""
         df = _run_rates(spark, sf_dir, run, keep_name=True)
-        return rounded(disclosure.suppress(df, standard_rules(run.min_age)), 4)
+        return rounded(disclosure.suppress(df, standard_rules(run.min_age)))
 
     return query
 
