@@ -195,12 +195,11 @@ def attach_areas(
 
     ``lookup`` is best a stored table, whose size Spark knows: one within ``autoBroadcastJoinThreshold`` is
     broadcast, and no person is shuffled.  Beyond that persons are shuffled by the key.  Those without one are
-    dealt out under keys that no lookup has, by a hash of the columns ``spread_by`` (of those that ``df`` has;
-    other columns stay prunable).  With ``salts`` above 1 each area's persons go to so many tasks and
+    dealt out under keys that no lookup has, by a hash of the columns ``spread_by`` (of those that ``df`` has, or
+    else all; with them other columns stay prunable).  With ``salts`` above 1 each area's persons go to so many tasks and
     the lookup's rows are repeated as often, for areas that hold a large share of all persons.
     """
-    chosen = [F.col(c) for c in spread_by if c in df.columns] or [F.lit(0)]
-    spread = F.xxhash64(*chosen)
+    spread = F.xxhash64(*([c for c in spread_by if c in df.columns] or df.columns))
     nowhere = F.concat(F.lit("\0"), F.pmod(spread, F.lit(SPREAD)).cast("string"))
     named = lookup.withColumnRenamed(key, "_area")
     same = F.coalesce(F.col(key), nowhere) == F.col("_area")

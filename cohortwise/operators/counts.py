@@ -167,10 +167,60 @@ def _per_exposure(df: DataFrame, pairs: Sequence[tuple[str, str, tuple[str, ...]
     )
 
 
+Specs = Sequence[tuple[str, Sequence[str], Sequence[str]]]
+SUMS = ["population", *fv.DOSES]
+
+
+class _Plan:
+    """The cells that a set of calls asks for, numbered."""
+
+    def __init__(self, run: RunConfig, specs: Specs, bands: Mapping[str, BandScheme],
+                 exposure_min_age: Mapping[str, int]) -> None:
+        self.run, self.bands = run, bands
+        self.late = {e: a for e, a in exposure_min_age.items() if a > run.min_age}
+        self.segments = _Segments(bands, run.min_age, list(self.late.values()))
+        self.calls = [(call, e, tuple(areas)) for call, exposures, areas in specs for e in exposures]
+        self.areas = [f"area_{i}" for i in range(max(len(areas) for *_, areas in self.calls))]
+        self.keys = ["cell", "group", *self.areas, "band"]
+
+    def changes(self, df: DataFrame, month: Column | None = None) -> DataFrame:
+        """Summed changes per cell and month (of the months that ``month`` holds for)."""
+        pairs = [(str(number), e, areas) for number, (_, e, areas) in enumerate(self.calls)]
+        used = list(dict.fromkeys(c for _, e, areas in pairs for c in (e, *areas)))
+        text = df.withColumns({c: F.col(c).cast("string") for c in used})
+        changes = _changes(_spans(text, self.run, self.segments, used), self.run, used)
+        if month is not None:
+            changes = changes.filter(month)
+        rows = _per_exposure(changes, pairs)
+        for exposure, age in self.late.items():
+            keys = [key for key, e, _ in pairs if e == exposure]
+            if keys:
+                young = F.col("segment") < self.segments.lower.index(age)
+                rows = rows.filter(~(F.col("cell").isin(*keys) & young))
+        band = F.element_at(_literal_array(self.segments.cell_of), F.col("segment") + 1)
+        return rows.withColumn("band", band).groupBy(*self.keys, "month").agg(
+            *[F.sum(c).alias(c) for c in SUMS])
+
+    def named(self, months: DataFrame) -> DataFrame:
+        """Cells (with their ``month``) by name: call, exposure, bands, year and month."""
+        year, month = year_month(F.col("month"))
+        number = F.col("cell").cast("int") + 1
+        return months.select(
+            F.element_at(_literal_array([call for call, _, _ in self.calls]), number).alias("call"),
+            F.element_at(_literal_array([e for _, e, _ in self.calls]), number).alias("exposure"),
+            "group",
+            *self.areas,
+            *[self.segments.label(F.col("band"), name).alias(name) for name in self.bands],
+            year.alias("year"),
+            month.alias("month"),
+            *SUMS,
+        )
+
+
 def count_cells(
     df: DataFrame,
     run: RunConfig,
-    specs: Sequence[tuple[str, Sequence[str], Sequence[str]]],
+    specs: Specs,
     bands: Mapping[str, BandScheme],
     exposure_min_age: Mapping[str, int] = fv.EXPOSURE_MIN_AGE,
 ) -> DataFrame:
@@ -180,50 +230,53 @@ def count_cells(
     ``call, exposure, group, area_0.., <bands>, year, month, population,`` one
     column per dose.  Only cells with a population are present.
     """
-    first, last = run.month_range
-    late = {e: a for e, a in exposure_min_age.items() if a > run.min_age}
-    segments = _Segments(bands, run.min_age, list(late.values()))
-    calls = [(call, e, tuple(areas)) for call, exposures, areas in specs for e in exposures]
-    pairs = [(str(number), e, areas) for number, (_, e, areas) in enumerate(calls)]
-    used = list(dict.fromkeys(c for _, e, areas in pairs for c in (e, *areas)))
-    text = df.withColumns({c: F.col(c).cast("string") for c in used})
-    changes = _changes(_spans(text, run, segments, used), run, used)
-    rows = _per_exposure(changes, pairs)
-    for exposure, age in late.items():
-        keys = [key for key, e, _ in pairs if e == exposure]
-        if keys:
-            too_young = F.col("cell").isin(*keys) & (F.col("segment") < segments.lower.index(age))
-            rows = rows.filter(~too_young)
-    areas = [c for c in rows.columns if c.startswith("area_")]
-    band = F.element_at(_literal_array(segments.cell_of), F.col("segment") + 1)
-    keys = ["cell", "group", *areas, "band"]
-    sums = ["population", *fv.DOSES]
-    summed = (
-        rows.withColumn("band", band)
-        .groupBy(*keys, "month")
-        .agg(*[F.sum(c).alias(c) for c in sums])
-    )
-    in_cell = Window.partitionBy(*keys).orderBy("month")
+    plan = _Plan(run, specs, bands, exposure_min_age)
+    in_cell = Window.partitionBy(*plan.keys).orderBy("month")
     running = in_cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = summed.select(
-        *keys,
+    totals = plan.changes(df).select(
+        *plan.keys,
         "month",
-        (F.lead("month", 1, last + 1).over(in_cell) - 1).alias("until"),
-        *[F.sum(c).over(running).alias(c) for c in sums],
+        (F.lead("month", 1, run.month_range[1] + 1).over(in_cell) - 1).alias("until"),
+        *[F.sum(c).over(running).alias(c) for c in SUMS],
     ).filter(F.col("population") > 0)
-    months = totals.withColumn("month", F.explode(F.sequence("month", "until")))
-    year, month = year_month(F.col("month"))
-    number = F.col("cell").cast("int") + 1
-    return months.select(
-        F.element_at(_literal_array([call for call, _, _ in calls]), number).alias("call"),
-        F.element_at(_literal_array([e for _, e, _ in calls]), number).alias("exposure"),
-        "group",
-        *areas,
-        *[segments.label(F.col("band"), name).alias(name) for name in bands],
-        year.alias("year"),
-        month.alias("month"),
-        *sums,
-    )
+    return plan.named(totals.withColumn("month", F.explode(F.sequence("month", "until"))))
+
+
+def month_state(
+    df: DataFrame, run: RunConfig, specs: Specs, bands: Mapping[str, BandScheme],
+    exposure_min_age: Mapping[str, int] = fv.EXPOSURE_MIN_AGE,
+) -> DataFrame:
+    """Population and uptake of each cell at the end of the run's month: what the next month adds to.
+
+    One row a cell that any month had persons in, so its size is that of one month's counts, not of the calendar.
+    """
+    plan = _Plan(run, specs, bands, exposure_min_age)
+    return plan.changes(df).groupBy(*plan.keys).agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
+def next_state(
+    state: DataFrame, df: DataFrame, run: RunConfig, specs: Specs, bands: Mapping[str, BandScheme],
+    exposure_min_age: Mapping[str, int] = fv.EXPOSURE_MIN_AGE,
+) -> DataFrame:
+    """The state at the end of ``run``'s month from that of the month before and the month's own changes.
+
+    ``state`` was made with the same specs for the month before.  Of the persons only those that enter, leave,
+    grow into another band or are given a dose in the month reach the aggregation; there is no running
+    total over the calendar.  It takes the past as settled: a dose or death that is reported later for
+    a month already counted needs ``month_state`` of the whole table.
+    """
+    plan = _Plan(run, specs, bands, exposure_min_age)
+    delta = plan.changes(df, F.col("month") == run.month_range[1]).drop("month")
+    return state.unionByName(delta).groupBy(*plan.keys).agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
+def state_counts(
+    state: DataFrame, run: RunConfig, specs: Specs, bands: Mapping[str, BandScheme],
+    exposure_min_age: Mapping[str, int] = fv.EXPOSURE_MIN_AGE,
+) -> DataFrame:
+    """The rows that ``count_cells`` has for the run's month, from its state."""
+    plan = _Plan(run, specs, bands, exposure_min_age)
+    return plan.named(state.filter("population > 0").withColumn("month", F.lit(run.month_range[1])))
 
 
 def by_dose(cells: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from cohortwise.functions.semantics import (
     round_to_base,
     sum_or_zero,
 )
-from cohortwise.sources.lookups import assert_unique_lookup, lookup_join
+from cohortwise.sources.lookups import lookup_join
 
 Z95 = 1.96
 PER = 100_000.0
@@ -91,8 +91,7 @@ def _band_terms(df: DataFrame, weights: DataFrame, min_age: float, max_age: floa
     """
     standardise = F.col("standardise")
     within = in_age_range(F.col("age_group_esp"), min_age, max_age)
-    single = assert_unique_lookup(weights, "age_group_esp")
-    weighted = lookup_join(df.filter(~standardise | within), single, "age_group_esp")
+    weighted = lookup_join(df.filter(~standardise | within), weights, "age_group_esp")
     rate = F.try_divide(F.col("vaccinated") * PER, F.col("population").cast("double"))
     rounded = round_counts(weighted).withColumn(
         "ESP", F.when(standardise, require_weights(F.col("ESP")))
@@ -112,9 +111,7 @@ def _standardised(df: DataFrame, poisson: DataFrame) -> DataFrame:
     Limits are normal for counts of 100 and more (and for zero); below that the
     Poisson limits of the count are scaled to the variance of the rate.
     """
-    limits = assert_unique_lookup(
-        poisson.select(F.col("Deaths").cast("long").alias("vaccinated"), "L", "U"), "vaccinated"
-    )
+    limits = poisson.select(F.col("Deaths").cast("long").alias("vaccinated"), "L", "U")
     count = F.col("vaccinated")
     variance = F.try_divide(F.col("_variance"), F.col("ESP") * F.col("ESP"))
     normal = (count >= 100) | (count == 0)
@@ -161,7 +158,8 @@ def mixed_rates(
 ) -> DataFrame:
     """Rates of groups of which some are standardised and some are crude only.
 
-    ``standardise`` says which, and is part of the group.  Both kinds go through
+    ``weights`` have one row per band (``adapt_standard_population`` sums them) and ``poisson`` one per
+    count (its readers see to that).  ``standardise`` says which, and is part of the group.  Both kinds go through
     the same aggregation, so the input is computed once.
     """
     keys = list(dict.fromkeys([*group_vars, "standardise"]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -11,16 +11,20 @@ from cohortwise.config import PublicationText, RunConfig, standard_rules, standa
 from cohortwise.operators import publication
 from cohortwise.operators.areas import attach_areas, merge_small_areas
 from cohortwise.operators.characteristics import derive_characteristics
-from cohortwise.operators.checks import (
-    death_cells,
-    death_reports,
-    dose_trend,
-    missing_profile,
-    rate_by_age,
+from cohortwise.operators.check_cells import (
+    CheckVariant,
+    LinkageVariant,
+    check_cells,
+    death_cells_of,
+    dose_trend_of,
+    linkage_cells_of,
+    missing_of,
+    rate_by_age_of,
 )
+from cohortwise.operators.checks import death_reports
 from cohortwise.operators.counts import monthly_counts_all
 from cohortwise.operators.disclosure import disclosure_report, suppress
-from cohortwise.operators.linkage import linkage_cells, linkage_reports
+from cohortwise.operators.linkage import linkage_reports
 from cohortwise.operators.population import load_person, static_filters
 from cohortwise.operators.rates import adapt_standard_population
 from cohortwise.operators.tables import rate_tables
@@ -50,25 +54,32 @@ def published_rows(rates: DataFrame, run: RunConfig, text: PublicationText) -> D
     return publication.publish(publication.rates_long(safe), run, text)
 
 
-def data_checks(
-    persons: DataFrame, run: RunConfig, deaths: DataFrame | None = None
-) -> dict[str, DataFrame]:
-    """Check reports without and with the period-end and age filters.
+def check_variants(run: RunConfig) -> tuple[CheckVariant, CheckVariant]:
+    """Persons alive at the end of the run: of any age, and within the ages of the run."""
+    end = run.period_end
+    return (
+        CheckVariant("all", death_date=end, reports=("dose_trend", "missing")),
+        CheckVariant("run", end, end, end, run.min_age),
+    )
 
-    ``deaths`` are the persons' ``death_cells`` if these have been written.
-    """
+
+def run_check_cells(persons: DataFrame, run: RunConfig) -> DataFrame:
+    """The cells of every report on persons, from one scan of them."""
     end = run.period_end
-    reports = death_reports(death_cells(persons) if deaths is None else deaths)
-    for label, age_date, cutoff, low in (("all", None, None, None), ("run", end, end, run.min_age)):
-        reports[f"dose_trend_{label}"] = dose_trend(
-            persons, death_date=end, age_date=age_date, min_age=low
-        )
-        reports[f"rate_by_age_{label}"] = rate_by_age(
-            persons, death_date=end, age_date=end, vacc_date=cutoff, min_age=low
-        )
-        reports[f"missing_{label}"] = missing_profile(
-            persons, death_date=end, age_date=age_date, min_age=low
-        )
+    linked = LinkageVariant(end, end, "first", run.min_age) if run.run_linkage else None
+    by_age = CheckVariant("known_age", end, end, reports=("rate_by_age",))
+    return check_cells(persons, (*check_variants(run), by_age), linked)
+
+
+def data_checks(cells: DataFrame, run: RunConfig, columns: Sequence[str]) -> dict[str, DataFrame]:
+    """Check reports without and with the period-end and age filters, from (written) cells."""
+    reports = death_reports(death_cells_of(cells))
+    for v in check_variants(run):
+        reports[f"dose_trend_{v.name}"] = dose_trend_of(cells, v.name)
+        # Without an age filter ages are still those of the end of the run.
+        by_age = "known_age" if v.age_date is None else v.name
+        reports[f"rate_by_age_{v.name}"] = rate_by_age_of(cells, by_age)
+        reports[f"missing_{v.name}"] = missing_of(cells, v.name, columns)
     return reports
 
 
@@ -95,8 +106,8 @@ def run_month(
     interrupted run resumes from them (``run_counts=False``).  Their names hold
     the run month, the minimum age and the version of the data, so a run never
     reads what another month has left.  ``report`` is handed every check report
-    as a DataFrame, to show or to store; the cells that several reports are
-    made of are written below ``folder`` as well.
+    as a DataFrame, to show or to store; all of them are read off cells that come
+    from one scan of the persons and are written below ``folder`` as well.
     """
     spark = raw.sparkSession
     run.require_standard_age()
@@ -109,25 +120,27 @@ def run_month(
         "periods": f"{base}/{output_name('periods', run)}",
     }
 
-    def cells(name: str, df: DataFrame) -> DataFrame:
-        return read_or_compute(spark, f"{base}/{output_name(name, run)}", lambda: df)
-
-    if report is not None:
+    if report is not None and (run.run_data_checks or run.run_linkage):
         persons = load_person(raw)
+        path = f"{base}/{output_name('check_cells', run)}"
+        cells = read_or_compute(spark, path, lambda: run_check_cells(persons, run))
         if run.run_data_checks:
-            deaths = cells("death_cells", death_cells(persons))
-            for name, df in data_checks(persons, run, deaths).items():
+            for name, df in data_checks(cells, run, persons.columns).items():
                 report(name, df)
         if run.run_linkage:
-            linked = linkage_cells(
-                persons, run.period_end, run.period_end, "first", min_age=run.min_age
-            )
-            for name, df in linkage_reports(cells("linkage_cells", linked)).items():
+            for name, df in linkage_reports(linkage_cells_of(cells)).items():
                 report(f"linkage_{name}", df)
+
+    def counted() -> DataFrame:
+        # Written first: the size of the lookup is then known, and persons needn't be shuffled to it.
+        stored = read_or_compute(
+            spark, f"{base}/{output_name('areas', run)}", lambda: lookups.areas)
+        return all_counts(study_population(raw, stored), run)
+
     counts = read_or_compute(
         spark,
         paths["counts"],
-        lambda: all_counts(study_population(raw, lookups.areas), run),
+        counted,
         recompute=run.run_counts,
         partition_by=("call",),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,23 @@ def write_periods(
     writer.format(file_format).save(path)
 
 
+def write_bounded_periods(
+    df: DataFrame, path: str, order: Sequence[str], max_rows: int, key: str = "TimePeriodLabel",
+    mode: str = "overwrite",
+) -> None:
+    """One folder per period with files of at most ``max_rows`` rows, in order within the period.
+
+    Rows are dealt to tasks by ranges of (period, ``order``), so a hot period is cut into ranges as any other, and
+    each task writes its range sorted.  Files of a period in order of their names hold its rows in
+    ``order`` (nulls first): a period's ranges follow each other by task, and a task's files by number.
+    """
+    copied = df.withColumn(FOLDER, F.col(key))
+    place = [FOLDER, *order]
+    ranged = copied.repartitionByRange(*[F.col(c) for c in place]).sortWithinPartitions(*place)
+    ranged.write.mode(mode).partitionBy(FOLDER).option("header", True).option("escape", '"').option(
+        "maxRecordsPerFile", max_rows).csv(path)
+
+
 def read_periods(spark: SparkSession, path: str, period: str | None = None) -> DataFrame:
     """Published CSV files as they are, of all periods or of one: texts, as the header names them."""
     folder = path if period is None else f"{path.rstrip('/')}/{FOLDER}={period}"

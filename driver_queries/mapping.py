@@ -145,6 +145,24 @@ def _area_columns(dialect: str) -> dict[str, dict[str, str]]:
     }
 
 
+def _marked_line(dialect: str) -> str:
+    """A line of the area file by part: one in ten is broken, in four ways."""
+    imd_columns = _area_columns(dialect)["imd"]
+    text = DIALECTS[dialect]["text"]
+    code, rank, quintile = (
+        f"coalesce(CAST({imd_columns[c]} AS {text}), '')" for c in ("LSOA11CD", "IMD_RANK", "IMD_QUINTILE"))
+    return (
+        f"CASE p_partkey % 40 WHEN 0 THEN {code} || ',' || {rank} "
+        f"WHEN 1 THEN {code} || ',' || {rank} || ',' || {quintile} || ',more' "
+        f"WHEN 2 THEN {code} || ',n/a,' || {quintile} "
+        f"WHEN 3 THEN {code} || ',n/a,five' "
+        f"ELSE {code} || ',' || {rank} || ',' || {quintile} END"
+    )
+
+
+MARKED_LINE = {dialect: _marked_line(dialect) for dialect in DIALECTS}
+
+
 def _select(columns: dict[str, str]) -> list[str]:
     return [f"{e} AS {n}" for n, e in columns.items()]
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from cohortwise import fixed_values as fv
-from driver_queries.mapping import duckdb_tables
+from driver_queries.mapping import MARKED_LINE, duckdb_tables
 
 PERIOD_END = "DATE '2023-01-31'"
 YEARS = "CAST(365.25 AS DOUBLE)"
@@ -571,7 +571,72 @@ def band_query(cuts: Sequence[int]) -> str:
 RECODED = f"(SELECT *, {_recodes()} FROM person)"
 
 
+#: Both limits by bisection: the mean at which the distribution function reaches the target.
+POISSON = """
+WITH RECURSIVE numbers AS (
+  SELECT n, count(*) AS groups FROM (
+    SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey
+    UNION ALL SELECT count(*) FROM lineitem GROUP BY l_partkey
+    UNION ALL SELECT count(*) FROM lineitem GROUP BY l_suppkey, l_linenumber) GROUP BY n
+), bisected AS (
+  SELECT n, k, target, CAST(1e-9 AS DOUBLE) AS lo, CAST(n + 10 * sqrt(n) + 20 AS DOUBLE) AS hi, 0 AS step
+  FROM (SELECT n, n - 1 AS k, 0.975 AS target FROM numbers UNION ALL SELECT n, n, 0.025 FROM numbers)
+  UNION ALL
+  SELECT n, k, target, CASE WHEN above THEN mid ELSE lo END, CASE WHEN above THEN hi ELSE mid END, step + 1
+  FROM (
+    SELECT *, list_sum(list_transform(range(0, k + 1),
+             lambda i: exp(i * ln(mid) - mid - lgamma(i + 1)))) > target AS above
+    FROM (SELECT *, (lo + hi) / 2 AS mid FROM bisected WHERE step < 60))
+)
+SELECT n, any_value(groups) AS groups,
+       round(max(CASE WHEN target > 0.5 THEN lo END) / n, 6) AS "L",
+       round(max(CASE WHEN target < 0.5 THEN lo END) / n, 6) AS "U"
+FROM bisected JOIN numbers USING (n) WHERE step = 60 GROUP BY n
+"""
+IMD_FIELDS = f"SELECT {MARKED_LINE['duckdb']} AS line, p_partkey % 40 AS mark FROM part"
+
+
 def oracle_sql() -> dict[str, str]:
+    found = _oracle_sql()
+    deaths = found["deaths_by_month"]
+    guarded = {"pm": person_months("derived", 18),
+               "c": counts_sql(("disability",), ["age_group_esp", "region"], 18)}
+    found |= {
+        "shared_deaths_by_month": deaths,
+        "shared_dose_trend": found["dose_trend_cumulative"],
+        "shared_rate_by_age": found["rate_by_age"],
+        "shared_missing_profile": found["missing_profile_all"],
+        "shared_linkage_by_band": found["linkage_by_band_wide"],
+        "incremental_month": counts_query(
+            ("sex", "disability", "education"), ["age_group", "age_group_esp", "region"],
+            where="year = 2023 AND month = 1"),
+        "rate_guards": with_tables(
+            "SELECT unnest(['weights_in.rows', 'weights_in.no_group', 'weights_out.rows', "
+            "'weights_out.missing']) AS metric, unnest([count(*), count(*) FILTER (\"group\" IS NULL), "
+            "count(*) + count(*) FILTER (age_group_esp = '30-34'), "
+            "count(*) FILTER (age_group_esp IS NULL OR age_group_esp = '85-89')]) AS value FROM c",
+            guarded),
+        "fingerprinted_stage": f"SELECT *, unnest(CASE WHEN n >= 5 THEN [0, 1, 2] ELSE [0, 1] END) "
+        f"AS asked FROM ({deaths})",
+        "poisson_limits_exact": POISSON,
+        "csv_good_rows": "SELECT split_part(line, ',', 1) AS \"LSOA11CD\", "
+        "TRY_CAST(split_part(line, ',', 2) AS INT) AS \"IMD_RANK\", "
+        f"CAST(split_part(line, ',', 3) AS INT) AS \"IMD_QUINTILE\" FROM ({IMD_FIELDS}) WHERE mark > 3",
+        "csv_refused_lines": "SELECT line, CASE mark WHEN 2 THEN 'bad IMD_RANK' "
+        "WHEN 3 THEN 'bad IMD_RANK, bad IMD_QUINTILE' ELSE 'wrong number of fields' END AS reason "
+        f"FROM ({IMD_FIELDS}) WHERE mark <= 3",
+        "bounded_period_files": f"SELECT \"TimePeriodLabel\", count(*) AS n, TRUE AS bounded, "
+        f"TRUE AS in_order FROM ({found['publish_dataset']}) GROUP BY 1",
+        "person_full_scan": with_tables(
+            "SELECT count(*) AS n, " + ", ".join(f"count({c}) AS {c}" for c in fv.PERSON_COLUMNS)
+            + " FROM raw"),
+        "output_names": f"SELECT unnest(['deaths_2023_01_18+', 'deaths_2023_01_50+', "
+        f"'deaths_2023_01_18+_v2']) AS name, count(*) AS n FROM ({deaths})",
+    }
+    return found
+
+
+def _oracle_sql() -> dict[str, str]:
     age = age_on(PERIOD_END)
     no_age = check_population(PERIOD_END, None)
     adults = check_population(PERIOD_END, PERIOD_END, 18)

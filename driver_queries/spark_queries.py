@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortwise import fixed_values as fv
+from cohortwise import schemas
 from cohortwise.config import (
     CountSpec,
     PublicationText,
@@ -26,7 +27,19 @@ from cohortwise.functions.bands import (
 )
 from cohortwise.functions.dates import age_at
 from cohortwise.functions.semantics import round_half_away, round_to_base
-from cohortwise.operators import areas, checks, counts, disclosure, linkage, publication, rates
+from cohortwise.operators import (
+    areas,
+    check_cells,
+    checks,
+    counts,
+    disclosure,
+    guards,
+    linkage,
+    poisson,
+    publication,
+    rates,
+)
+from cohortwise.operators.check_cells import CheckVariant, LinkageVariant
 from cohortwise.operators.characteristics import derive_characteristics
 from cohortwise.operators.population import expand_months, load_person, static_filters
 from cohortwise.operators.tables import (
@@ -39,7 +52,7 @@ from cohortwise.operators.tables import (
 from cohortwise.plans.monthly_run import published_rows, study_population
 from cohortwise.sources import readers, writers
 from cohortwise.sources.readers import default_poisson_limits, default_standard_population
-from cohortwise.sources.staging import read_or_compute, shared_folder
+from cohortwise.sources.staging import fingerprinted, read_or_compute, shared_folder
 from driver_queries import mapping
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -480,6 +493,143 @@ def period_calendar(spark, sf_dir):
     )
 
 
+# ---------------------------------------------------------------- one scan, state, guards, files
+
+
+def _shared_cells(spark, sf_dir):
+    """The cells of several reports from one scan of the persons."""
+    variants = (
+        CheckVariant("any", END),
+        CheckVariant("adults", END, END, min_age=18),
+        CheckVariant("window", "2022-01-31", END, "2022-01-31", 18, 90),
+    )
+    return check_cells.check_cells(
+        persons(spark, sf_dir), variants, LinkageVariant(END, END, "first", 18))
+
+
+def _shared(function: Callable[[DataFrame], DataFrame]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(function(_shared_cells(spark, sf_dir)))
+
+    return query
+
+
+PERSON_NAMES = list(fv.PERSON_COLUMNS.values())
+STATE_SPECS = [("all", ("sex", "disability", "education"), ("region",))]
+
+
+def incremental_month(spark, sf_dir):
+    """The last month from the state of the month before and its own changes."""
+    before = RunConfig(2022, 12)
+    people = study_without_areas(spark, sf_dir)
+    state = counts.month_state(people, before, STATE_SPECS, counts.BANDS)
+    path = _shared_path(spark, "state")
+    state.write.parquet(path)
+    now = counts.next_state(spark.read.parquet(path), people, RUN, STATE_SPECS, counts.BANDS)
+    found = counts.by_dose(counts.state_counts(now, RUN, STATE_SPECS, counts.BANDS))
+    return found.withColumnRenamed("area_0", "region").select(
+        "vaccine_number", "year", "month", "exposure", "age_group", "age_group_esp", "region", "group",
+        "population", "vaccinated")
+
+
+def rate_guards(spark, sf_dir):
+    """What a lookup of weights without one band and with another twice does, counted as it is joined."""
+    df = counts.monthly_counts(
+        study_without_areas(spark, sf_dir), RUN, ["disability"], ["age_group_esp", "region"])
+    whole = weights(spark)
+    faulty = whole.where("age_group_esp <> '85-89'").unionByName(whole.where("age_group_esp = '30-34'"))
+    guard = guards.Guard()
+    joined = guards.watched_lookup_join(
+        guard, df, faulty, "age_group_esp", "ESP", "weights",
+        conditions={"no_group": F.col("group").isNull()})
+    joined.write.parquet(_shared_path(spark, "weighted"))
+    return guard.table(spark)
+
+
+def fingerprinted_stage(spark, sf_dir):
+    """A stage asked for with one spec twice, then with another; a half-written one is there as well."""
+    path = _shared_path(spark, "stage")
+    table = [f"{sf_dir}/lineitem.parquet"]
+    cells = checks.deaths_by_month(checks.death_cells(persons(spark, sf_dir)))
+    empty = cells.where("n < 0")
+    empty.write.parquet(f"{path}/half-written")
+    found = []
+    for place, (least, made) in enumerate([(0, cells), (0, empty), (5, cells.where("n >= 5"))]):
+        stage = fingerprinted(spark, path, lambda made=made: made, {"least": least}, table)
+        found.append(stage.withColumn("asked", F.lit(place)))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def poisson_limits_exact(spark, sf_dir):
+    """Limits of the numbers of lines of orders, parts and suppliers' places."""
+    lines = mapping.read(spark, sf_dir, "lineitem")
+    sizes = [lines.groupBy(*keys).agg(F.count("*").alias("n")).select("n")
+             for keys in (["l_orderkey"], ["l_partkey"], ["l_suppkey", "l_linenumber"])]
+    numbers = sizes[0].unionByName(sizes[1]).unionByName(sizes[2])
+    return rounded(poisson.poisson_limits(
+        numbers.groupBy("n").agg(F.count("*").alias("groups")), "n"))
+
+
+def _marked_lines(spark, sf_dir):
+    """A lookup file in which some lines are broken."""
+    path = _shared_path(spark, "imd-lines")
+    name = "LSOA11CD,IMD_RANK,IMD_QUINTILE"
+    lines = mapping.read(spark, sf_dir, "part").selectExpr(f"{mapping.MARKED_LINE['spark']} AS `{name}`")
+    writer = lines.write.option("header", True).option("sep", "\u0001").option("quote", "")
+    writer.csv(path)
+    return readers.read_csv_checked(spark, path, schemas.IMD)
+
+
+def csv_good_rows(spark, sf_dir):
+    return _marked_lines(spark, sf_dir)[0]
+
+
+def csv_refused_lines(spark, sf_dir):
+    return _marked_lines(spark, sf_dir)[1]
+
+
+MAX_ROWS = 40
+
+
+def bounded_period_files(spark, sf_dir):
+    """Rows of each period's files, whether all files keep the bound and follow each other in order."""
+    path = _shared_path(spark, "bounded")
+    published = rounded(publication.dataset(_published(spark, sf_dir)))
+    order = ["Category", "SubCategory", "ChartTitle", "IndDropdown", "Sex", "CategoryType"]
+    writers.write_bounded_periods(published, path, order, MAX_ROWS)
+    place = F.struct(*[F.coalesce(F.col(c), F.lit("")) for c in order])
+    files = writers.read_periods(spark, path).withColumn("file", F.input_file_name()).groupBy(
+        "TimePeriodLabel", "file").agg(
+            F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
+    before = F.lag("last").over(Window.partitionBy("TimePeriodLabel").orderBy("file"))
+    return files.withColumn("follows", F.coalesce(before <= F.col("first"), F.lit(True))).groupBy(
+        "TimePeriodLabel").agg(
+            F.sum("n").alias("n"), (F.max("n") <= MAX_ROWS).alias("bounded"),
+            F.bool_and("follows").alias("in_order"))
+
+
+def person_full_scan(spark, sf_dir):
+    """All columns of a table of the catalog."""
+    mapping.raw_persons(spark, sf_dir).createOrReplaceTempView("persons_whole")
+    table = readers.read_table(spark, "persons_whole")
+    return table.agg(F.count("*").alias("n"), *[F.count(c).alias(c) for c in table.columns])
+
+
+def output_names(spark, sf_dir):
+    """The folders that runs write to, and the rows in them."""
+    base = _shared_path(spark, "outputs")
+    deaths = checks.deaths_by_month(checks.death_cells(persons(spark, sf_dir)))
+    runs = (RUN, RUN_50, RunConfig(2023, 1, dataset_version="v2"))
+    for run in runs:
+        writers.write_csv(deaths, f"{base}/{writers.output_name('deaths', run)}")
+    found = [
+        spark.read.option("header", True).csv(f"{base}/{name}").agg(F.count("*").alias("n")).select(
+            F.lit(name).alias("name"), "n")
+        for name in (writers.output_name("deaths", run) for run in runs)
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 # ---------------------------------------------------------------- whole run
 
 
@@ -657,4 +807,21 @@ def queries() -> dict[str, Query]:
         "csv_header_order": csv_header_order,
         "resumed_stage": resumed_stage,
         "period_calendar": period_calendar,
+        "shared_deaths_by_month": _shared(
+            lambda c: checks.deaths_by_month(check_cells.death_cells_of(c))),
+        "shared_dose_trend": _shared(lambda c: check_cells.dose_trend_of(c, "adults")),
+        "shared_rate_by_age": _shared(lambda c: check_cells.rate_by_age_of(c, "window")),
+        "shared_missing_profile": _shared(
+            lambda c: check_cells.missing_of(c, "any", PERSON_NAMES)),
+        "shared_linkage_by_band": _shared(lambda c: linkage.linkage_wide(
+            check_cells.linkage_cells_of(c), "age_group", "age_group")),
+        "incremental_month": incremental_month,
+        "rate_guards": rate_guards,
+        "fingerprinted_stage": fingerprinted_stage,
+        "poisson_limits_exact": poisson_limits_exact,
+        "csv_good_rows": csv_good_rows,
+        "csv_refused_lines": csv_refused_lines,
+        "bounded_period_files": bounded_period_files,
+        "person_full_scan": person_full_scan,
+        "output_names": output_names,
     }
