@@ -8,14 +8,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cohortwise.llm import textnum
-from cohortwise.llm.common import ship_package
+from cohortwise.llm.common import ship_package, written
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 13
-ROWS_PER_LANGUAGE = 600  # bound of the training sample
-MAX_LANGUAGES = 1000
+ROWS_PER_LANGUAGE = 600  # bounds of the training sample
+SAMPLE_ROWS = 30_000
 _SPACE = 32
 _FLAT = np.arange(256, dtype=np.uint8)
 _FLAT[: _SPACE] = _SPACE
@@ -83,12 +84,12 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 
 def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], dimensions: int = 16,
         epochs: int = 6, rate: float = 60.0, batch: int = 32, seed: int = 7,
-        reject_share: float = 0.001, most: float = 0.35) -> LanguageModel | None:
+        reject_share: float = 0.001) -> LanguageModel | None:
     """Train by stochastic gradient descent; fit temperature and rejection on a fifth kept apart.
 
     ``features`` holds (bucket, weight) arrays by text.  The threshold is what all but
-    ``reject_share`` of the rightly labelled held-apart texts reach, and ``most`` at most: clean
-    texts should stay.  None if there is nothing to learn from.
+    ``reject_share`` of the rightly labelled held-apart texts reach, however many languages there
+    are.  None if there is nothing to learn from.
     """
     languages = sorted(set(labels))
     if not languages:
@@ -139,7 +140,7 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], dimens
         p = _softmax(logits / model.temperature)
         right = p.argmax(axis=1) == truth
         if right.any():
-            model.threshold = min(most, float(np.quantile(p.max(axis=1)[right], reject_share)))
+            model.threshold = float(np.quantile(p.max(axis=1)[right], reject_share))
     return model
 
 
@@ -148,27 +149,33 @@ def has_letter(text: Column) -> Column:
 
 
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
-          lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE
-          ) -> LanguageModel | None:
+          lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE,
+          sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None:
     """Learn from a sample of the rows with ``learn``, a label, and a letter in the text.
 
-    About ``rows_per_language`` rows of each of at most ``MAX_LANGUAGES`` languages (the most
-    frequent) are drawn by a hash of id and text.  Executors reduce each whole text to at most
-    ``BUCKETS`` counts; these are what the driver gets, never texts.
+    Every label is learned.  About ``rows_per_language`` rows of each are drawn by a hash of id and
+    text, fewer where all of them would be more than ``sample_rows``, but one at least; rows
+    equal in id and text are drawn as one.  Executors reduce each whole text to at most ``BUCKETS``
+    counts; these are what the driver gets, never texts.  The model has 32 KB a label.
     """
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
                        F.col(id_col).alias("id"), learn.alias("learn")).where(
         F.col("learn") & F.col("lang").isNotNull() & has_letter(F.col("text")))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n"))
-              .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
-        return None
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items()
-                           for x in (lang, min(1.0, rows_per_language / n))])
     draw = F.xxhash64("id", "text")
     position = F.pmod(draw, F.lit(1 << 30)) / float(1 << 30)
-    drawn = (rows.where(position < F.element_at(share, F.col("lang"))).withColumn("draw", draw)
-             .orderBy("draw").limit(2 * rows_per_language * len(counts)).select("lang", "text"))
+    counts = written(rows.groupBy("lang").agg(
+        F.count("*").alias("n"), F.min(position).alias("least")))
+    languages = counts.count()
+    if not languages:
+        return None
+    wanted = max(1, min(rows_per_language, sample_rows // languages))
+    # The first row of a label is always drawn, so that none is lost to chance.
+    drawn = rows.withColumn("draw", draw).withColumn("position", position).join(counts, "lang").where(
+        (F.col("position") < F.lit(float(wanted)) / F.col("n"))
+        | (F.col("position") == F.col("least")))
+    once = drawn.groupBy("lang", "position", "draw").agg(F.first("text").alias("text"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("position", "draw"))
+    drawn = once.withColumn("turn", turn).where(F.col("turn") <= 2 * wanted).select("lang", "text")
 
     ship_package(docs.sparkSession)
 

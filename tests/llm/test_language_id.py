@@ -23,7 +23,7 @@ def learned(spark, n=60):
 def test_learns_and_rejects(spark):
     docs = learned(spark)
     model = language_id.train(docs, F.lit(True))
-    assert model.languages == ["aa", "bb", "cc"] and 0 < model.threshold <= 0.35
+    assert model.languages == ["aa", "bb", "cc"] and 0 < model.threshold < 1
     got = language_id.identify(docs, model).collect()
     assert np.mean([r.language.lang_pred == r.lang for r in got]) > 0.98
     assert all(0 <= r.language.score <= 1 for r in got)
@@ -58,6 +58,23 @@ def test_one_language(spark):
     assert {r.language.lang_pred for r in language_id.identify(docs, model).collect()} == {"xx"}
 
 
+def test_two_labels_reject_junk(spark):
+    docs = learned(spark, 200).where("lang <> 'cc'")
+    model = language_id.train(docs, F.lit(True))
+    assert model.languages == ["aa", "bb"] and model.threshold > 0.5
+    junk = documents(spark, [(1, "ЖЩЮЯ жщюя ЪЫЭ", None, "s"), (2, "wxyz zyxw wzyx", None, "s")])
+    assert all(r.language.rejected for r in language_id.identify(junk, model).collect())
+    clean = language_id.identify(docs, model).collect()
+    assert np.mean([r.language.rejected for r in clean]) < 0.02
+
+
+def test_every_label_is_learned(spark):
+    rows = [(i, f"text {chr(97 + i % 26)}", f"l{i % 40:02}", "s") for i in range(400)]
+    rows += [(None, "the same", "hot", "s")] * 300
+    model = language_id.train(documents(spark, rows, clash=False), F.lit(True), sample_rows=20)
+    assert model.languages == sorted({r[2] for r in rows})
+
+
 def test_subwords_stay_within_words_and_texts():
     both = language_id.subword_counts(["ab cd", "xy"])
     apart = np.concatenate([language_id.subword_counts([t]) for t in ("ab cd", "xy")])
