@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,19 +11,39 @@ from cohortwise.llm import packing
 from cohortwise.llm.queries import op6_packing, tokenizer_path
 from cohortwise.llm.tokens import WordTokenizer
 from tests.conftest import SF
-from tests.llm.helpers import awkward_texts, documents
+from tests.llm.helpers import awkward_texts, documents, words
 
 
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 200), max_size=30))
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 200), max_size=30),
+       st.sampled_from([4, 16, 64]))
 @settings(max_examples=200, deadline=None)
-def test_plan_uses_every_piece_once(histogram):
-    plan = packing.plan_templates(histogram, window=64, classes=16)
-    used = Counter()
-    for t in plan:
-        assert t.repeats > 0 and sum(n * m for n, m in t.parts) <= 64
+def test_plan_uses_every_piece_once(histogram, block):
+    plan = packing.plan_templates(histogram, window=64, classes=16, block=block)
+    used, tails = Counter(), Counter()
+    for i, t in enumerate(plan):
+        head = t.cut[1] if t.cut else 0
+        full = sum(n * m for n, m in t.parts) + head
+        assert t.repeats > 0 and full <= 64 and head % block == 0
+        assert 64 - full < block or t.repeats == 1 and i == len(plan) - 1
         for n, m in t.parts:
             used[n] += m * t.repeats
-    assert used == Counter(histogram)
+        if t.cut:
+            assert 0 < head < t.cut[0]
+            used[t.cut[0]] += t.repeats
+            tails[t.cut[0] - head] += t.repeats
+    assert used == Counter(histogram) + tails
+    table = packing.places(plan)
+    for n, m in used.items():  # the entries of a length take up its ranks without gap
+        own = table["length"] == n
+        assert table["rank"][own][0] == 0 and (np.diff(table["rank"][own]) > 0).all()
+        assert table["rank"][own][-1] < m
+
+
+def test_crc_of_part():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        a, b = rng.bytes(int(rng.integers(0, 900))), rng.bytes(int(rng.integers(1, 900)))
+        assert packing.crc_of_part(zlib.crc32(a), zlib.crc32(a + b), len(b)) == zlib.crc32(b)
 
 
 def test_little_padding():
@@ -119,7 +140,24 @@ def test_query(spark):
     assert len({r.sequence_id for r in got}) <= -(-total // packing.WINDOW) + 1
 
 
-@pytest.mark.parametrize("length", [1, 1400, 4096])
-def test_one_length_only(length):
-    plan = packing.plan_templates({length: 10_000})
-    assert sum(t.repeats for t in plan) == -(-10_000 // (4096 // length))
+@pytest.mark.parametrize("lengths", [{1: 10_000}, {1400: 10_000}, {4096: 10_000},
+                                     {2100: 10_000, 300: 50}, {3000: 9999, 2049: 7777}])
+def test_lengths_that_do_not_fit_are_cut(lengths):
+    plan = packing.plan_templates(lengths)
+    total = sum(x * n for x, n in lengths.items())
+    assert sum(t.repeats for t in plan) <= -(-total // (4096 - packing.BLOCK + 1)) + 1
+    assert len(plan) < 500
+
+
+def test_cut_pieces_hold_their_ids(spark):
+    rows = [(i, words(random.Random(i), 1000 + i % 3 * 100), "en", "a") for i in range(60)]
+    got = packing.pack_documents(documents(spark, rows), tokenizer_path(), keep_ids=True).collect()
+    pieces = rebuilt(got)
+    tokenizer = WordTokenizer(tokenizer_path())
+    assert len(got) > len(rows)
+    for (doc, tokens), parts in pieces.items():
+        assert all(zlib.crc32(p.ids) == p.ids_crc32 and len(p.ids) == 4 * p.length for p in parts)
+        whole = b"".join(bytes(p.ids) for p in sorted(parts, key=lambda p: p.start))
+        assert whole == bytes(tokenizer.whole(rows[doc][1].encode())) + b"\x02\0\0\0"
+    sequences = {r.sequence_id for r in got}
+    assert sum(r.length for r in got) > 0.95 * packing.WINDOW * (len(sequences) - 1)
