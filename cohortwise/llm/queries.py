@@ -174,32 +174,46 @@ FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-OP9_SQL = """
+OP9_SQL = f"""
 WITH said AS (
-  SELECT conv_id, CAST(floor(coalesce(turn, 0) / 256) AS BIGINT) AS part,
-         coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  SELECT conv_id, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS role,
+         coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL
+), numbered AS (
+  SELECT *, row_number() OVER in_order AS rank,
+         coalesce(sum(strlen(role) + strlen(text) + {chat_format.MARK_BYTES}) OVER (
+           in_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+         // {chat_format.PART_BYTES} AS part
+  FROM said WINDOW in_order AS (PARTITION BY conv_id ORDER BY turn, role, text)
 ), speakers AS (
-  SELECT DISTINCT conv_id, part, role AS perspective FROM said WHERE role <> 'system'
+  SELECT DISTINCT conv_id, role AS perspective FROM numbered WHERE role <> 'system'
+), carried AS (
+  SELECT * FROM numbered JOIN (
+    SELECT conv_id, min(rank) AS opening FROM numbered WHERE role <> 'system' GROUP BY conv_id
+  ) USING (conv_id) WHERE part = 0 AND rank < opening
+), turns AS (
+  SELECT conv_id, part, rank, role, text FROM numbered
+  UNION ALL
+  SELECT conv_id, later.part, rank, role, text
+  FROM carried JOIN (SELECT DISTINCT conv_id, part FROM numbered WHERE part > 0) AS later USING (conv_id)
 ), segments AS (
-  SELECT conv_id, part, perspective, turn, role, text,
-         role = perspective AS own,
+  SELECT conv_id, CAST(part AS BIGINT) AS part, perspective, rank, role = perspective AS own,
          '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant'
                                 WHEN role = 'system' THEN 'system'
                                 ELSE 'user name=' || role END || chr(10) AS lead,
          text || '<|im_end|>' || chr(10) AS body
-  FROM said JOIN speakers USING (conv_id, part)
+  FROM turns JOIN speakers USING (conv_id)
 ), placed AS (
   SELECT *, sum(length(lead) + length(body)) OVER (
-              PARTITION BY conv_id, part, perspective ORDER BY turn, role, text
+              PARTITION BY conv_id, part, perspective ORDER BY rank
               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(body) AS begins
   FROM segments
 )
 SELECT conv_id, part, perspective, count(*) AS n_turns,
-       string_agg(lead || body, '' ORDER BY turn, role, text) AS text,
+       string_agg(lead || body, '' ORDER BY rank) AS text,
        CAST(sum(CASE WHEN own THEN length(body) ELSE 0 END) AS BIGINT) AS masked_chars,
-       string_agg(CASE WHEN own THEN CAST(begins AS VARCHAR) || ':' || CAST(length(body) AS VARCHAR) END,
-                  ',' ORDER BY turn, role, text) AS masks
+       coalesce(string_agg(CASE WHEN own THEN CAST(begins AS VARCHAR) || ':'
+                                || CAST(length(body) AS VARCHAR) END, ',' ORDER BY rank), '') AS masks
 FROM placed GROUP BY conv_id, part, perspective
 """
 
