@@ -216,34 +216,34 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ship_package(docs.sparkSession)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each paragraph once in a run of texts, with the least and the largest of the 31-bit
+        """Each paragraph once in a run of texts, with the least and the largest of the 64-bit
         names of the documents that hold it, and its buckets."""
         for ids, _, found in runs(batches):
             names = textnum.mixed(found.contents + ids.astype(np.uint64)
-                                  * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)
-            holder = names[found.text].astype(np.int64)
+                                  * np.uint64(0xD6E8FEB86659FD93))
+            holder = names[found.text].view(np.int64)
             order = np.lexsort((holder, found.nodes))
             nodes, first, times = np.unique(
                 found.nodes[order], return_index=True, return_counts=True)
-            holders = holder[order[first]] << 31 | holder[order[first + times - 1]]
-            lead = order[first]
+            lead, last = order[first], order[first + times - 1]
             for own, count, hashed in (
                     (lead < found.anchored, bands, found.band_hashes),
                     (lead >= found.anchored, natural_bands, found.natural_hashes)):
                 hashes = hashed(lead[own], count, BAND_ROWS)
                 ends = np.arange(own.sum() + 1, dtype=np.int32) * count
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes[own].view(np.int64)), pa.array(holders[own]),
+                    [pa.array(nodes[own].view(np.int64)), pa.array(holder[lead[own]]),
+                     pa.array(holder[last[own]]),
                      pa.ListArray.from_arrays(pa.array(ends),
                                               pa.array(hashes.reshape(-1).view(np.int64)))],
-                    names=["node", "holders", "buckets"])
+                    names=["node", "one", "other", "buckets"])
 
-    posted = texts.mapInArrow(post, "node long, holders long, buckets array<long>").select(
-        "node", "holders", F.explode("buckets").alias("bucket"))
+    posted = texts.mapInArrow(post, "node long, one long, other long, buckets array<long>").select(
+        "node", "one", "other", F.explode("buckets").alias("bucket"))
     # A bucket matters if two documents meet in it.  Its rows pass by in order; none is gathered.
     in_bucket = Window.partitionBy("bucket")
-    least = F.min(F.shiftright("holders", 31)).over(in_bucket)
-    most = F.max(F.col("holders").bitwiseAND(F.lit((1 << 31) - 1))).over(in_bucket)
+    least = F.min("one").over(in_bucket)
+    most = F.max("other").over(in_bucket)
     shared = written(
         posted.withColumn("least", least).withColumn("most", most).where("least < most")
         .select("bucket", "node"))
