@@ -38,8 +38,10 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Five-word shingles, a similarity of 0.8 or more.  Rows equal in id and text are one document.
     """
+    # Counted from the least integer, so that ids in order are texts in order, negative ones too.
+    number = F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
     key = F.concat_ws(
-        "-", F.coalesce(F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit("~")),
+        "-", F.coalesce(F.lpad(number.cast("decimal(20,0)").cast("string"), 20, "0"), F.lit("~")),
         F.hex(F.xxhash64("text")))
     name = free_name(docs, "key")
     keyed = docs.withColumn(name, key)
