@@ -13,9 +13,11 @@ from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; on a local master a temporary one if that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="corpus-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

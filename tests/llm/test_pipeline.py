@@ -18,7 +18,7 @@ def test_queries_against_sql(spark, name):
 def test_registry():
     names = set(entry.queries())
     assert {"pipeline"} | {n for n in names if n.startswith("op")} == {"pipeline", *queries.queries()}
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_stages_on_the_smallest_tables(spark):
@@ -46,6 +46,13 @@ def test_one_of_each_group_stays(spark):
     assert {r.doc_id for r in out if not (r.text or "").strip()} == {3, 4, 5, 6, None}
 
 
+def test_the_least_id_stays_also_below_zero(spark):
+    text = awkward_texts()[0][1]
+    rows = [(i, text, "en", "a") for i in (7, -3, -25, 0, None, (1 << 63) - 1)]
+    out = corpus_pipeline.keep_one_of_near_copies(spark, documents(spark, rows), SF).collect()
+    assert [r.doc_id for r in out] == [-25]
+
+
 def test_awkward_rows_and_empty_tables_through_all_stages(spark):
     rows = [(*r, None) for r in awkward_texts()]
     for table in (rows, []):
