@@ -84,12 +84,13 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 
 def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], dimensions: int = 16,
         epochs: int = 6, rate: float = 60.0, batch: int = 32, seed: int = 7,
-        reject_share: float = 0.001) -> LanguageModel | None:
+        reject_share: float = 0.001, unsure: float = 0.4) -> LanguageModel | None:
     """Train by stochastic gradient descent; fit temperature and rejection on a fifth kept apart.
 
     ``features`` holds (bucket, weight) arrays by text.  The threshold is what all but
-    ``reject_share`` of the rightly labelled held-apart texts reach, however many languages there
-    are.  None if there is nothing to learn from.
+    ``reject_share`` of the held-apart texts reach, in the lowest ``unsure`` of the way from chance
+    (1 / languages) to certainty.  Too few texts to hold such a share say less, so the threshold is
+    then nearer to chance, by the root of how many of them it would be.  None if there is nothing to learn from.
     """
     languages = sorted(set(labels))
     if not languages:
@@ -137,10 +138,11 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], dimens
             return float(-np.log(np.maximum(p, 1e-12)).mean())
 
         model.temperature = float(min(np.geomspace(0.25, 8, 61), key=loss))
-        p = _softmax(logits / model.temperature)
-        right = p.argmax(axis=1) == truth
-        if right.any():
-            model.threshold = float(np.quantile(p.max(axis=1)[right], reject_share))
+        scores = _softmax(logits / model.temperature).max(axis=1)
+        chance = 1 / len(languages)
+        held = min(1.0, len(scores) * reject_share)
+        over = (float(np.quantile(scores, reject_share)) - chance) * held**0.5
+        model.threshold = chance + min(over, unsure * (1 - chance))
     return model
 
 

@@ -59,11 +59,14 @@ def test_one_language(spark):
 
 
 def test_two_labels_reject_junk(spark):
-    docs = learned(spark, 200).where("lang <> 'cc'")
+    docs = learned(spark, 600).where("lang <> 'cc'")
     model = language_id.train(docs, F.lit(True))
     assert model.languages == ["aa", "bb"] and model.threshold > 0.5
-    junk = documents(spark, [(1, "ЖЩЮЯ жщюя ЪЫЭ", None, "s"), (2, "wxyz zyxw wzyx", None, "s")])
-    assert all(r.language.rejected for r in language_id.identify(junk, model).collect())
+    rng = random.Random(8)
+    junk = documents(spark, [(i, words(rng, 200, "жщюяъыэ" if i % 2 else "tuvwxyz"), None, "s")
+                             for i in range(20)])
+    found = language_id.identify(junk, model).collect()
+    assert all(r.language.rejected for r in found)
     clean = language_id.identify(docs, model).collect()
     assert np.mean([r.language.rejected for r in clean]) < 0.02
 
