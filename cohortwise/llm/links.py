@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.llm.common import written
@@ -14,6 +14,7 @@ from cohortwise.llm.graph import connected_components
 
 LEADER_ROUNDS = 1
 LEADER_ORDERS = 3  # each names two leaders, its first and its last
+SIGNATURE_WORDS = 8  # at most so many in the longest part of a signature, whatever the set
 
 POSTING = ("bucket", "node", "size", "left")
 Fetch = Callable[[DataFrame], DataFrame]
@@ -36,6 +37,33 @@ def fewest_differences(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def _signature(parity: bytes) -> np.ndarray:
+    """Parity bits folded to 1, 2, 4 and 8 words of 64 bits, one after the other, as far as there are so many."""
+    x = np.frombuffer(parity, "<i8")
+    while len(x) > SIGNATURE_WORDS:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    levels = [x]
+    while len(x) > 1:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        levels.append(x)
+    return np.concatenate(levels[::-1])
+
+
+def _signatures_fit(percent: int) -> Column:
+    """Whether two rows' signatures leave the similarity possible: false only for pairs that are not alike.
+
+    The odd residues of both, at each length that both have, are no more than the differences.
+    """
+    allowed = (100 - percent) * (F.col("size") + F.col("other_size"))
+    fits, words, at = F.lit(True), 1, 0
+    while words <= SIGNATURE_WORDS:
+        odd = [F.bit_count(F.get("signature", F.lit(i)).bitwiseXOR(F.get("other_signature", F.lit(i))))
+               for i in range(at, at + words)]
+        fits = fits & F.coalesce((100 + percent) * sum(odd[1:], odd[0]) <= allowed, F.lit(True))
+        at, words = at + words, words * 2
+    return fits
+
+
 def verified(pairs: DataFrame, profiles: DataFrame, fetch: Fetch, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets have 100 * intersection >= percent * union.
 
@@ -116,6 +144,8 @@ def linked_components(live: DataFrame, profiles: DataFrame, fetch: Fetch, percen
     2. Buckets whose nodes are all in one component are done, and so are those of two nodes.
     3. At the end the nodes outside a bucket's main component are compared with all nodes of
        the bucket that are in other components than their own.  No bucket is capped or skipped.
+       The join itself leaves out pairs whose folded parity bits prove them unlike, so that
+       these are neither written nor shuffled.
 
     ``links`` (a, b) may give links that are known beforehand.  If these are all links among nodes of
     the size ``decided``, two such nodes are not compared any more.
@@ -176,13 +206,21 @@ def linked_components(live: DataFrame, profiles: DataFrame, fetch: Fetch, percen
         marked = regrouped(marked, 3)
         if marked.isEmpty():
             return part_of
+    @F.pandas_udf("array<long>")
+    def signature(parity: pd.Series) -> pd.Series:
+        return parity.map(_signature)
+
+    signed = profiles.join(marked.select("node").distinct(), "node", "left_semi").select(
+        "node", signature("parity").alias("signature"))
+    marked = written(marked.join(signed, "node"))
     sizes = marked.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m")).select(
         "bucket", F.col("m.component").alias("main"))
     outside = marked.join(main, "bucket").where("component != main").select(
         "bucket", F.col("node").alias("other"), F.col("size").alias("other_size"),
-        F.col("left").alias("other_left"), F.col("component").alias("other_component"))
-    rest = marked.join(outside, "bucket").where(compare).select(
+        F.col("left").alias("other_left"), F.col("component").alias("other_component"),
+        F.col("signature").alias("other_signature"))
+    rest = marked.join(outside, "bucket").where(compare & _signatures_fit(percent)).select(
         *_pair("node", "other")).distinct().join(tested, ["a", "b"], "left_anti")
     rest = written(rest)
     if not rest.isEmpty():
