@@ -140,15 +140,17 @@ class Paragraphs:
         found = np.zeros((len(which), bands), dtype=np.uint64)
         if not len(which):
             return found
+        # In order of their places: what ``reduceat`` takes in between is then short.
+        order = np.argsort(self.at[which], kind="stable")
         # One more value than shingles, so that the last end is a place as well.
         x = np.append(self.shingles, np.uint64(0))
-        places = np.stack((self.at[which], self.till[which] - self.k + 1), axis=1).reshape(-1)
+        places = np.stack((self.at[which], self.till[which] - self.k + 1), axis=1)[order].reshape(-1)
         for band in range(bands):
             joined = np.full(len(which), _NATURAL + band, dtype=np.uint64)
             for factor in odd[band]:
                 least = np.minimum.reduceat((x * factor) >> np.uint64(20), places)[::2]
                 joined = textnum.mixed(joined * np.uint64(0x9E3779B97F4A7C15) + least)
-            found[:, band] = joined
+            found[order, band] = joined
         return found
 
     def band_hashes(self, which: np.ndarray, bands: int, rows: int) -> np.ndarray:
