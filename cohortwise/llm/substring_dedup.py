@@ -326,10 +326,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     having = sets.where(F.col("size") == size).select("node", "elements").mapInPandas(
         subsets, "node long, subset long")
-    first = having.groupBy("subset").agg(
-        F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("subset", "b")
-    links = having.join(first, "subset").where("node != b").select(
-        F.col("node").alias("a"), "b").distinct()
+    links = having.withColumn("b", F.min("node").over(Window.partitionBy("subset"))).where(
+        "node != b").select(F.col("node").alias("a"), "b").distinct()
     sized = written(live.select("bucket", "node").join(sets.select("node", "size"), "node")
                     .select("bucket", "node", "size", F.col("size").alias("left")))
     part_of = linked_components(
