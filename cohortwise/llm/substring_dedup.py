@@ -133,6 +133,28 @@ class Paragraphs:
     def shingle_set(self, i: int) -> np.ndarray:
         return np.unique(self.shingles[self.at[i] : self.till[i] - self.k + 1])
 
+    def shingle_sets(self, which: np.ndarray) -> tuple[list[int], list[bytes], list[bytes]]:
+        """Size, parity bits and sorted elements of some paragraphs' sets; those that anchors set and
+        that repeat no shingle are worked together."""
+        sizes, parities, elements = (np.empty(len(which), dtype=object) for _ in range(3))
+        n = self.size - self.k + 1
+        anchored = np.flatnonzero(which < self.anchored)
+        rows = np.sort(self.rows(which[anchored]), axis=1)
+        full = np.ones(len(anchored), dtype=bool) if n == 1 else (rows[:, 1:] != rows[:, :-1]).all(axis=1)
+        together = anchored[full] if 2 * n <= 64 else anchored[:0]
+        if len(together):
+            rows = rows[full]
+            odd = np.bitwise_xor.reduce(np.uint64(1) << (rows & np.uint64(63)), axis=1)
+            sizes[together] = n
+            parities[together] = _cut_up(odd, 8)
+            elements[together] = _cut_up(rows, 8 * n)
+        alone = np.ones(len(which), dtype=bool)
+        alone[together] = False
+        for i in np.flatnonzero(alone):
+            x = self.shingle_set(which[i])
+            sizes[i], parities[i], elements[i] = len(x), parity_bits(x), x.astype("<u8").tobytes()
+        return list(sizes), list(parities), list(elements)
+
     def natural_hashes(self, which: np.ndarray, bands: int, rows: int) -> np.ndarray:
         """As ``band_hashes``, for natural paragraphs, over all their shingles."""
         odd = np.random.default_rng(29).integers(1, 1 << 62, (bands, rows)).astype(np.uint64)
@@ -169,6 +191,11 @@ class Paragraphs:
         return found
 
 
+def _cut_up(values: np.ndarray, length: int) -> list[bytes]:
+    raw = values.astype("<u8").tobytes()
+    return [raw[i : i + length] for i in range(0, len(raw), length)]
+
+
 def _characters_before(text: bytes, at: np.ndarray) -> np.ndarray:
     raw = np.frombuffer(text, np.uint8)
     starts = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
@@ -294,12 +321,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for _, _, found in runs(batches):
             which = chosen(alive_mask, found.nodes)
             which = which[np.unique(found.nodes[which], return_index=True)[1]]
-            sets = [found.shingle_set(i) for i in which]
+            sizes, parities, elements = found.shingle_sets(which)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found.nodes[which].view(np.int64)),
-                 pa.array([len(x) for x in sets], pa.int32()),
-                 pa.array([parity_bits(x) for x in sets], pa.binary()),
-                 pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())],
+                [pa.array(found.nodes[which].view(np.int64)), pa.array(sizes, pa.int32()),
+                 pa.array(parities, pa.binary()), pa.array(elements, pa.binary())],
                 names=["node", "size", "parity", "elements"])
 
     sets = written(
