@@ -102,6 +102,7 @@ def fingerprinted(
     compute: Callable[[], DataFrame],
     spec: Mapping[str, object],
     inputs: Sequence[str] = (),
+    options: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Resumable stage that knows what it was made of.
 
@@ -109,7 +110,7 @@ def fingerprinted(
     schema of the result and a snapshot of each input folder or file.  It is reused if all of that is the same
     today; a changed one is computed anew into a folder of its own, and the manifest, committed last, names
     the folder that counts.  So a stage that was only half written, or that a reader of the former one still
-    reads, is never taken for the present one.
+    reads, is never taken for the present one.  ``options`` are those of the writer (the size of row groups).
     """
     path = path.rstrip("/")
     df = compute()
@@ -123,7 +124,7 @@ def fingerprinted(
             spark, f"{path}/{manifest['data']}"):
         digest = hashlib.sha256(json.dumps(made_of, sort_keys=True).encode()).hexdigest()[:16]
         manifest = {"made_of": made_of, "data": f"{digest}-{uuid.uuid4().hex[:8]}"}
-        df.write.parquet(f"{path}/{manifest['data']}")
+        df.write.options(**(options or {})).parquet(f"{path}/{manifest['data']}")
         _commit_manifest(spark, path, manifest)
     schema = T.StructType.fromJson(made_of["schema"])
     return spark.read.schema(schema).parquet(f"{path}/{manifest['data']}")

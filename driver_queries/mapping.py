@@ -30,6 +30,9 @@ DIALECTS = {
 }
 
 
+ROW_GROUP = 16 << 20  # bytes; small, so that a scan of few stored files has a task for each core
+
+
 def _steps(dialect: str) -> list[dict[str, str]]:
     words = DIALECTS[dialect]
     text = words["text"]
@@ -177,16 +180,26 @@ def stored(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, tables: l
     place = hashlib.md5(sf_dir.encode()).hexdigest()
     return fingerprinted(
         spark, f"{shared_folder(spark)}/driver-inputs/{place}/{name}", lambda: df, {"made": spec},
-        [f"{sf_dir}/{t}.parquet" for t in tables])
+        [f"{sf_dir}/{t}.parquet" for t in tables], {"parquet.block.size": str(ROW_GROUP)})
 
 
 def raw_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The person table, as it would lie in a run's storage."""
     files = spark.sparkContext.defaultParallelism
-    return stored(spark, sf_dir, "persons", computed_persons(spark, sf_dir).repartition(files),
+    return stored(spark, sf_dir, "persons", spread_persons(spark, sf_dir, files),
                   ["lineitem"], [files, _steps("spark")])
 
 
+def spread_persons(spark: SparkSession, sf_dir: str, files: int) -> DataFrame:
+    """The person table in ``files`` parts or more.
+
+    A scan has a part for each core once its input is a few MB a core; only a smaller table is shuffled,
+    so that what is shuffled doesn't grow with the input.
+    """
+    df = computed_persons(spark, sf_dir)
+    return df if df.rdd.getNumPartitions() >= files else df.repartition(files)
+
+
 def computed_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The person table, from all order lines."""
     base, *rest = _steps("spark")

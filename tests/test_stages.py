@@ -12,8 +12,10 @@ from cohortwise.operators.poisson import poisson_limits
 from cohortwise.schemas import IMD
 from cohortwise.sources import readers, staging, writers
 from cohortwise import fixed_values as fv
+from driver_queries import mapping
 from driver_queries import spark_queries as q
 from tests.conftest import SF
+from tests.plans import plan_of
 
 
 def test_a_stage_is_reused_until_what_it_is_made_of_changes(spark, tmp_path):
@@ -185,3 +187,23 @@ def test_salted_join_equals_the_plain_one(spark):
         assert salted.exceptAll(plain).count() == 0 and plain.count() == salted.count() == 800
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_scan_with_a_part_for_each_core_is_stored_without_a_shuffle(spark, tmp_path):
+    """Only a table too small for that is dealt out, so that what is shuffled doesn't grow with the input."""
+    sf_dir = str(tmp_path)
+    lines = mapping.read(spark, SF, "lineitem")
+    lines.repartition(6).write.parquet(f"{sf_dir}/lineitem.parquet")
+    small = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "512m")  # a part for each file
+    try:
+        spread = mapping.spread_persons(spark, sf_dir, 4)
+        assert "Exchange" not in plan_of(spread) and spread.rdd.getNumPartitions() == 6
+        stored = mapping.raw_persons(spark, sf_dir)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", small)
+    dealt = mapping.spread_persons(spark, sf_dir, 9)
+    assert dealt.rdd.getNumPartitions() == 9
+    whole = mapping.computed_persons(spark, SF)
+    for table in (spread, stored, dealt):
+        assert table.count() == whole.count() and table.exceptAll(whole).isEmpty()
