@@ -117,7 +117,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH + _COUNTED_SIZES + 1, dtype=np.int64)
         for batch in batches:
-            for run in textnum.chunked(textnum.as_bytes(batch.column(0))):
+            for run in textnum.chunked(textnum.each_text(batch.column(0))):
                 sets = list(textnum.shingle_sets(run, words))
                 slots_ = (np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64)
                 sizes_ = np.minimum([len(x) for x in sets], _COUNTED_SIZES) + SKETCH
@@ -140,7 +140,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, row = batch.column(0), 0
-            for run in textnum.chunked(textnum.as_bytes(batch.column(1))):
+            for run in textnum.chunked(textnum.each_text(batch.column(1))):
                 nodes, tags, counts, parities = [], [], [], []
                 buckets, lefts, ends = [], [], [0]
                 for elements in textnum.shingle_sets(run, words):
@@ -199,7 +199,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, row = batch.column(0).to_pylist(), 0
-                for run in textnum.chunked(textnum.as_bytes(batch.column(1))):
+                for run in textnum.chunked(textnum.each_text(batch.column(1))):
                     columns: list[list] = [[], [], []]
                     for elements in textnum.shingle_sets(run, words):
                         row += 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -39,7 +39,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunked(texts: list[bytes]) -> Iterator[list[bytes]]:
+def chunked(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
     """Runs of texts of about CHUNK_BYTES; a longer text is a run of its own."""
     run: list[bytes] = []
     total = 0
@@ -107,3 +107,15 @@ def as_bytes(column) -> list[bytes]:
 
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
+
+
+def each_text(column) -> Iterator[bytes]:
+    """The same one after the other; only CHUNK_TEXTS of the column are copied at a time.
+
+    At the end Arrow gives back to the system what earlier batches have left.
+    """
+    import pyarrow as pa
+
+    for start in range(0, len(column), CHUNK_TEXTS):
+        yield from as_bytes(column.slice(start, CHUNK_TEXTS))
+    pa.default_memory_pool().release_unused()

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortwise.llm import links, ngram_join, textnum
@@ -120,3 +121,19 @@ def test_shingle_sets_match_plain_python():
     assert got == [len(shingles(t, 4)) for t in texts]
     one, two = textnum.shingle_sets([b"One two three FOUR five", b"one two three four five"], 4)
     assert (one == two).all()
+
+
+def test_a_batch_of_texts_is_copied_a_few_at_a_time(monkeypatch):
+    """A worker holds the batch and a chunk of it, not all of its texts twice."""
+    copied, whole = [], textnum.as_bytes
+
+    def counting(column):
+        copied.append(len(column))
+        return whole(column)
+
+    monkeypatch.setattr(textnum, "as_bytes", counting)
+    for kind in (pa.string(), pa.large_string()):
+        for n in (0, 1, 256, 257, 1000):
+            column = pa.array([None if i % 7 == 0 else "é" * (i % 50) for i in range(n)], kind)
+            assert list(textnum.each_text(column)) == whole(column)
+    assert max(copied) <= textnum.CHUNK_TEXTS
