@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.llm import textnum
-from cohortwise.llm.common import bit_words, ship_package, written
+from cohortwise.llm.common import bit_words, ship_package, small_batches, written
 from cohortwise.llm.links import linked_components, parity_bits, shared_buckets
 
 SKETCH = 1 << 18  # counters of the frequency sketch, whatever the corpus
@@ -110,6 +110,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members like any other.  An empty table gives an empty result; other columns are not looked
     at.  Sets are compared by 64-bit hashes of their n-grams.
     """
+    with small_batches(docs.sparkSession):
+        return _components(docs, id_col, text_col, words, percent)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """See ``jaccard_components``; all that Python does has run when this returns."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     ship_package(docs.sparkSession)

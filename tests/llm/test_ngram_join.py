@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cohortwise.llm import links, ngram_join, textnum
+from cohortwise.llm import common, links, ngram_join, textnum
 from tests.llm.helpers import awkward_texts, documents, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -137,3 +137,33 @@ def test_a_batch_of_texts_is_copied_a_few_at_a_time(monkeypatch):
             column = pa.array([None if i % 7 == 0 else "é" * (i % 50) for i in range(n)], kind)
             assert list(textnum.each_text(column)) == whole(column)
     assert max(copied) <= textnum.CHUNK_TEXTS
+
+
+def test_python_gets_small_batches_and_the_session_keeps_its_setting(spark, monkeypatch):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    def largest():
+        return max(r.n for r in spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n long").collect())
+
+    seen, write = [], ngram_join.written
+
+    def noting(df):
+        seen.append(largest())
+        return write(df)
+
+    monkeypatch.setattr(ngram_join, "written", noting)
+    texts = [(i, f"one two three four five six {i % 3}", "en", "a") for i in range(9)]
+    assert largest() == 2500
+    found = ngram_join.jaccard_components(documents(spark, texts))
+    assert largest() == 2500 and spark.conf.get(common.BATCH_ROWS, None) is None
+    assert seen and max(seen) == common.TEXTS_IN_A_BATCH
+    assert sorted(map(tuple, found.collect())) == brute(texts, 4, 85)
+    spark.conf.set(common.BATCH_ROWS, 7)
+    try:
+        with common.small_batches(spark):
+            assert largest() == 7
+        assert largest() == 7
+    finally:
+        spark.conf.unset(common.BATCH_ROWS)
