@@ -62,6 +62,25 @@ def characteristic_columns() -> dict[str, Column]:
     }
 
 
+def characteristic_values() -> dict[str, list[str]]:
+    """The labels that each derived characteristic can have (null apart)."""
+    occupations = [label for *_, label in fv.OCCUPATION_RANGES]
+    return {
+        "sex": ["Male", "Female"],
+        "ethnicity": [*fv.ETHNICITY_LABELS, fv.ETHNICITY_OTHER],
+        "religion": [*fv.RELIGION_LABELS],
+        "country_of_birth": ["UK", "Non-UK"],
+        "language": [*fv.LANGUAGE_LABELS],
+        "education": [*fv.EDUCATION_LABELS],
+        "disability": [*fv.DISABILITY_LABELS],
+        "care_home": ["No", "Yes"],
+        "nssec_agg": [fv.NOT_CLASSIFIED, *occupations],
+        "tenure": [fv.NOT_CLASSIFIED, *fv.TENURE_LABELS],
+        "rural_urban": [*fv.RURAL_URBAN_LABELS],
+        "region": [*fv.REGION_LABELS],
+    }
+
+
 def derive_characteristics(df: DataFrame, recodes: dict[str, Column] | None = None) -> DataFrame:
     """Add the derived characteristics (all of them unless ``recodes`` is given)."""
     return df.withColumns(characteristic_columns() if recodes is None else recodes)

@@ -9,13 +9,16 @@ however long the calendar is, the sums are combined before the shuffle, and the
 running total only sees the aggregated cells.
 
 All exposures of all calls are counted by the same aggregation, so the person
-table is read once.
+table is read once.  Where the values of all columns are known beforehand, cells
+are numbered by them: the aggregation then has one whole number as its key in
+place of texts.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
@@ -168,15 +171,97 @@ def _per_exposure(df: DataFrame, pairs: Sequence[tuple[str, str, tuple[str, ...]
 
 
 Specs = Sequence[tuple[str, Sequence[str], Sequence[str]]]
+Values = Mapping[str, Sequence[str]]
 SUMS = ["population", *fv.DOSES]
+WORD = 62  # bits of a whole number that are used
+NOT_COUNTED = -(1 << WORD)  # makes a key negative
+
+
+def _bits(column: str | Column, shift: int, width: int) -> Column:
+    """The ``width`` bits of a whole number from ``shift`` on."""
+    word = F.col(column) if isinstance(column, str) else column
+    return F.shiftright(word, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def _joined(parts: Sequence[tuple[Column, int]]) -> Column:
+    """One whole number of (number, shift) pairs."""
+    return reduce(lambda a, b: a + b, [F.shiftleft(n.cast("long"), shift) for n, shift in parts])
+
+
+class _Codes:
+    """Whole numbers for the values of columns (0 for null) and for the cells made of them.
+
+    A person's codes lie in one or two words.  A key has the bits of pair, group, areas, band and month.
+    """
+
+    def __init__(self, values: Values, columns: Sequence[str], calls: Sequence[tuple[str, str, tuple[str, ...]]],
+                 areas: int, bands: int, run: RunConfig) -> None:
+        self.values = {c: list(dict.fromkeys(values[c])) for c in columns}
+        self.calls, self.first = calls, run.month_range[0]
+        widths = {c: len(v).bit_length() for c, v in self.values.items()}
+        self.place: dict[str, tuple[str, int, int]] = {}
+        word = used = 0
+        for name, width in widths.items():
+            if used + width > WORD:
+                word, used = word + 1, 0
+            self.place[name] = (f"word_{word}", used, width)
+            used += width
+        self.words = [f"word_{i}" for i in range(word + 1)]
+        # From the lowest bit of a key: month, band, areas, group, pair.
+        self.month = (run.month_range[1] - self.first).bit_length()
+        self.time = self.month + bands.bit_length()
+        self.wide = max(widths.values())
+        self.group = self.time + areas * self.wide
+        self.pair = self.group + self.wide
+        self.fits = self.pair + len(calls).bit_length() <= WORD
+
+    def _code(self, name: str) -> Column:
+        text = F.col(name).cast("string")
+        message = F.concat(F.lit(f"not among the values given for {name}: "), text)
+        missing = F.when(text.isNotNull(), F.raise_error(message).cast("int"))
+        known = self.values[name]
+        codes = F.create_map(*[F.lit(x) for i, v in enumerate(known, 1) for x in (v, i)]) if known else None
+        found = [] if codes is None else [F.try_element_at(codes, text)]
+        return F.coalesce(*found, missing, F.lit(0))
+
+    def encode(self) -> dict[str, Column]:
+        """The words of a person; a text that is not among the values of its column is an error."""
+        return {
+            word: _joined([(self._code(c), shift) for c, (w, shift, _) in self.place.items() if w == word])
+            for word in self.words
+        }
+
+    def code(self, name: str) -> Column:
+        return _bits(*self.place[name])
+
+    def decode(self, areas: int) -> dict[str, Column]:
+        """The columns that the column ``key`` stands for."""
+        pair = F.shiftright("key", self.pair).cast("int")
+
+        def text(columns: Sequence[str | None], shift: int) -> Column:
+            lists = [F.array(F.lit(None).cast("string"), *[F.lit(v) for v in self.values.get(c, [])])
+                     for c in columns]
+            code = _bits("key", shift, self.wide).cast("int")
+            return F.element_at(F.element_at(F.array(*lists), pair + 1), code + 1)
+
+        out = {
+            "cell": pair.cast("string"),
+            "group": text([e for _, e, _ in self.calls], self.group),
+            "band": _bits("key", self.month, self.time - self.month).cast("int"),
+            "month": (_bits("key", 0, self.month) + self.first).cast("int"),
+        }
+        for i in range(areas):
+            columns = [names[i] if i < len(names) else None for *_, names in self.calls]
+            out[f"area_{i}"] = text(columns, self.time + i * self.wide)
+        return out
 
 
 class _Plan:
     """The cells that a set of calls asks for, numbered."""
 
     def __init__(self, run: RunConfig, specs: Specs, bands: Mapping[str, BandScheme],
-                 exposure_min_age: Mapping[str, int]) -> None:
-        self.run, self.bands = run, bands
+                 exposure_min_age: Mapping[str, int], values: Values | None = None) -> None:
+        self.run, self.bands, self.values = run, bands, values or {}
         self.late = {e: a for e, a in exposure_min_age.items() if a > run.min_age}
         self.segments = _Segments(bands, run.min_age, list(self.late.values()))
         self.calls = [(call, e, tuple(areas)) for call, exposures, areas in specs for e in exposures]
@@ -187,6 +272,11 @@ class _Plan:
         """Summed changes per cell and month (of the months that ``month`` holds for)."""
         pairs = [(str(number), e, areas) for number, (_, e, areas) in enumerate(self.calls)]
         used = list(dict.fromkeys(c for _, e, areas in pairs for c in (e, *areas)))
+        if all(c in self.values for c in used):
+            codes = _Codes(
+                self.values, used, self.calls, len(self.areas), len(self.segments.cells), self.run)
+            if codes.fits:
+                return self._coded_changes(df, codes, month)
         text = df.withColumns({c: F.col(c).cast("string") for c in used})
         changes = _changes(_spans(text, self.run, self.segments, used), self.run, used)
         if month is not None:
@@ -201,6 +291,54 @@ class _Plan:
         return rows.withColumn("band", band).groupBy(*self.keys, "month").agg(
             *[F.sum(c).alias(c) for c in SUMS])
 
+    def _coded_changes(self, df: DataFrame, codes: _Codes, month: Column | None) -> DataFrame:
+        """The same rows, by way of whole numbers.
+
+        Changes are sorted by age and month within their task, in 24 to 32 bytes each.  The cells that
+        are added to at a time are then few, and stay in the processor's cache.
+        """
+        changes = _changes(_spans(df.withColumns(codes.encode()), self.run, self.segments, codes.words),
+                           self.run, codes.words)
+        if month is not None:
+            changes = changes.filter(month)
+        # Segment, month and the changes of the sums (-1, 0 or 1: two bits each) in one number.
+        low = 2 * len(SUMS)
+        place = _joined([
+            (F.col("segment"), low + codes.month), (F.col("month") - codes.first, low),
+            *[(F.col(c) + 1, 2 * i) for i, c in enumerate(SUMS)],
+        ])
+        rows = changes.select(*codes.words, place.alias("place")).sortWithinPartitions("place")
+        segment = F.shiftright("place", low + codes.month).cast("int")
+        band = F.element_at(_literal_array(self.segments.cell_of), segment + 1)
+        exposures = list(dict.fromkeys(e for _, e, _ in self.calls))
+        sets = list(dict.fromkeys(names for *_, names in self.calls))
+        groups = {e: F.shiftleft(codes.code(e), codes.group) for e in exposures}
+        for e, age in self.late.items():
+            if e in groups:
+                young = segment < self.segments.lower.index(age)
+                groups[e] = F.when(young, F.lit(NOT_COUNTED)).otherwise(groups[e])
+        time = F.coalesce(band, F.lit(0)).cast("long")
+        time = F.shiftleft(time, codes.month) + _bits("place", low, codes.month)
+        split = rows.select(
+            *[g.alias(f"group_{i}") for i, g in enumerate(groups.values())],
+            *[reduce(lambda a, b: a + b, [
+                F.shiftleft(codes.code(c), codes.time + i * codes.wide) for i, c in enumerate(names)
+            ], time).alias(f"areas_{i}") for i, names in enumerate(sets)],
+            *[(_bits("place", 2 * i, 2) - 1).alias(c) for i, c in enumerate(SUMS)],
+        )
+        keys = {
+            f"key_{number}": F.col(f"group_{exposures.index(e)}") + F.col(f"areas_{sets.index(names)}")
+            + F.lit(number << codes.pair)
+            for number, (_, e, names) in enumerate(self.calls)
+        }
+        cells = split.select(*[k.alias(name) for name, k in keys.items()], *SUMS).unpivot(
+            SUMS, list(keys), "pair", "key").filter("key >= 0")
+        # A struct as key: there are far more cells than the small first-level map holds.
+        summed = cells.groupBy(F.struct("key").alias("_")).agg(*[F.sum(c).alias(c) for c in SUMS])
+        return summed.select("_.key", *SUMS).select(
+            *[column.alias(name) for name, column in codes.decode(len(self.areas)).items()], *SUMS
+        ).select(*self.keys, "month", *SUMS)
+
     def named(self, months: DataFrame) -> DataFrame:
         """Cells (with their ``month``) by name: call, exposure, bands, year and month."""
         year, month = year_month(F.col("month"))
@@ -223,14 +361,17 @@ def count_cells(
     specs: Specs,
     bands: Mapping[str, BandScheme],
     exposure_min_age: Mapping[str, int] = fv.EXPOSURE_MIN_AGE,
+    values: Values | None = None,
 ) -> DataFrame:
     """Population and uptake per (call, exposure, group, areas, band, month).
 
     ``specs`` are (call, exposures, area columns).  Columns of the result:
     ``call, exposure, group, area_0.., <bands>, year, month, population,`` one
-    column per dose.  Only cells with a population are present.
+    column per dose.  Only cells with a population are present.  ``values`` may list the texts
+    that columns can have (null apart): if it does for every column of the specs, cells are counted by number.
+    A person with another text is then an error.
     """
-    plan = _Plan(run, specs, bands, exposure_min_age)
+    plan = _Plan(run, specs, bands, exposure_min_age, values)
     in_cell = Window.partitionBy(*plan.keys).orderBy("month")
     running = in_cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = plan.changes(df).select(
@@ -328,9 +469,15 @@ def monthly_counts(
     )
 
 
-def monthly_counts_all(df: DataFrame, run: RunConfig, specs: Sequence[CountSpec]) -> DataFrame:
-    """All calls in one plan, with ``call`` and ``area`` columns and exclusions applied."""
-    cells = count_cells(df, run, [(s.name, s.exposures, (s.area,)) for s in specs], BANDS)
+def monthly_counts_all(
+    df: DataFrame, run: RunConfig, specs: Sequence[CountSpec], values: Values | None = None
+) -> DataFrame:
+    """All calls in one plan, with ``call`` and ``area`` columns and exclusions applied.
+
+    ``values`` are the texts that columns can have, as for ``count_cells``.
+    """
+    calls = [(s.name, s.exposures, (s.area,)) for s in specs]
+    cells = count_cells(df, run, calls, BANDS, values=values)
     starts = [(s.name, month_number(*s.first_period)) for s in specs if s.first_period]
     month = F.col("year") * 12 + F.col("month") - 1
     for name, first in starts:

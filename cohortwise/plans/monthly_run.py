@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cohortwise.config import PublicationText, RunConfig, standard_rules, standard_specs
 from cohortwise.operators import publication
 from cohortwise.operators.areas import attach_areas, merge_small_areas
-from cohortwise.operators.characteristics import derive_characteristics
+from cohortwise.operators.characteristics import characteristic_values, derive_characteristics
 from cohortwise.operators.check_cells import (
     CheckVariant,
     LinkageVariant,
@@ -38,8 +39,29 @@ def study_population(raw: DataFrame, lookup: DataFrame) -> DataFrame:
     return merge_small_areas(attach_areas(persons, lookup))
 
 
-def all_counts(persons: DataFrame, run: RunConfig) -> DataFrame:
-    return monthly_counts_all(persons, run, standard_specs(run))
+AREA_COLUMNS = ["imd_quintile", "imd_quintile_la", "imd_quintile_region", "la_derived"]
+MOST_AREA_VALUES = 1_000  # of all area columns; each value lengthens the search of a person's code
+
+
+def study_values(lookup: DataFrame) -> dict[str, list[str]]:
+    """The texts that the columns of the study population can have, as ``count_cells`` takes them.
+
+    Those of the area columns are read off the (written) lookup; if it has very many they are left out, and
+    counts are then by text.
+    """
+    texts = merge_small_areas(lookup.select(AREA_COLUMNS)).select(
+        *[F.col(c).cast("string").alias(c) for c in AREA_COLUMNS])
+    pairs = texts.unpivot([], AREA_COLUMNS, "name", "value").filter("value IS NOT NULL").distinct()
+    found = sorted(tuple(r) for r in pairs.limit(MOST_AREA_VALUES + 1).collect())
+    if len(found) > MOST_AREA_VALUES:
+        return characteristic_values()
+    return characteristic_values() | {c: [v for name, v in found if name == c] for c in AREA_COLUMNS}
+
+
+def all_counts(
+    persons: DataFrame, run: RunConfig, values: Mapping[str, Sequence[str]] | None = None
+) -> DataFrame:
+    return monthly_counts_all(persons, run, standard_specs(run), values)
 
 
 def all_rates(
@@ -135,7 +157,7 @@ def run_month(
         # Written first: the size of the lookup is then known, and persons needn't be shuffled to it.
         stored = read_or_compute(
             spark, f"{base}/{output_name('areas', run)}", lambda: lookups.areas)
-        return all_counts(study_population(raw, stored), run)
+        return all_counts(study_population(raw, stored), run, study_values(stored))
 
     counts = read_or_compute(
         spark,

@@ -15,7 +15,6 @@ from cohortwise.config import (
     PublicationText,
     RunConfig,
     standard_rules,
-    standard_specs,
 )
 from cohortwise.functions import predicates as p
 from cohortwise.functions.bands import (
@@ -49,7 +48,7 @@ from cohortwise.operators.tables import (
     rate_tables,
     union_tables,
 )
-from cohortwise.plans.monthly_run import published_rows, study_population
+from cohortwise.plans.monthly_run import all_counts, published_rows, study_population, study_values
 from cohortwise.sources import readers, writers
 from cohortwise.sources.readers import default_poisson_limits, default_standard_population
 from cohortwise.sources.staging import fingerprinted, read_or_compute, shared_folder
@@ -87,6 +86,13 @@ def study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study_population(mapping.raw_persons(spark, sf_dir), lookup(spark, sf_dir))
 
 
+def study_counts(spark: SparkSession, sf_dir: str, run: RunConfig) -> DataFrame:
+    """The counts of a whole run."""
+    areas_of = lookup(spark, sf_dir)
+    people = study_population(mapping.raw_persons(spark, sf_dir), areas_of)
+    return all_counts(people, run, study_values(areas_of))
+
+
 def study_without_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive_characteristics(static_filters(load_person(mapping.raw_persons(spark, sf_dir))))
 
@@ -291,7 +297,7 @@ def period_exclusions(spark, sf_dir):
 
 def all_calls(spark, sf_dir):
     """The three calls in one plan, summed over bands and areas."""
-    df = counts.monthly_counts_all(study(spark, sf_dir), RUN, standard_specs(RUN))
+    df = study_counts(spark, sf_dir, RUN)
     return df.groupBy("call", "vaccine_number", "year", "month", "exposure", "group").agg(
         F.sum("population").alias("population"), F.sum("vaccinated").alias("vaccinated")
     )
@@ -644,7 +650,7 @@ def monthly_total(spark, sf_dir):
 
 
 def _run_rates(spark, sf_dir, run, keep_name=False):
-    table = counts.monthly_counts_all(study(spark, sf_dir), run, standard_specs(run))
+    table = study_counts(spark, sf_dir, run)
     return rate_tables(
         table, weights(spark), default_poisson_limits(spark), run, keep_name=keep_name
     )

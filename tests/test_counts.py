@@ -176,3 +176,42 @@ def test_plan_shuffles_only_aggregated_cells(spark, people):
     below = plan[plan.rindex("Exchange"):]
     assert "partial_sum" in below and "Expand" in below
     assert "Python" not in plan and "Join" not in plan
+
+
+VALUES = {"sex": ["Male", "Female"], "education": ["L1", "L2"], "region": ["North", "South"], "imd": ["1", "2"]}
+
+
+@pytest.mark.parametrize("specs, bands, first, last, min_age", [
+    ([("a", ("sex", "education", "imd"), ("region",)), ("b", ("education",), ("sex",))], BANDS, (2020, 12), (2022, 3), 18),
+    ([("a", ("education", "imd"), ()), ("b", ("sex",), ("education", "imd"))], {}, (2020, 12), (2022, 3), 23),
+    ([("a", ("education", "sex"), ("region", "sex"))], BANDS, (2021, 6), (2021, 6), 0),
+])
+def test_cells_by_number_are_cells_by_text(spark, people, specs, bands, first, last, min_age):
+    """Nulls, exposures of a later age, areas of unequal number and a run of one month included."""
+    run = RunConfig(*last, min_age=min_age, first_period=first)
+    df = spark.createDataFrame(people * 2, SCHEMA)
+    by_text = counts.count_cells(df, run, specs, bands)
+    by_number = counts.count_cells(df, run, specs, bands, values=VALUES)
+    assert by_number.dtypes == by_text.dtypes
+    rows = sorted(map(str, by_text.collect()))
+    assert rows and sorted(map(str, by_number.collect())) == rows
+
+
+def test_many_values_fill_several_words(spark, people):
+    values = {c: [*v, *[f"{c}{i}" for i in range(2**17)]] for c, v in VALUES.items()}
+    run, specs = RunConfig(2021, 3), [("a", ("sex", "education", "imd"), ("region",))]
+    columns = ["sex", "education", "imd", "region"]
+    codes = counts._Codes(values, columns, [("a", e, ("region",)) for e in columns[:3]], 1, 15, run)
+    assert codes.words == ["word_0", "word_1"] and codes.fits
+    assert not counts._Codes(values, columns, [("a", e, ("region",) * 3) for e in columns], 3, 15, run).fits
+    few = {c: [*v, *[f"{c}{i}" for i in range(300)]] for c, v in VALUES.items()}
+    df = spark.createDataFrame(people, SCHEMA)
+    got, want = (counts.count_cells(df, run, specs, BANDS, values=v) for v in (few, None))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_text_that_was_not_listed_is_an_error(spark, people):
+    df = spark.createDataFrame(people, SCHEMA)
+    run, specs = RunConfig(2021, 3), [("a", ("sex",), ("region",))]
+    with pytest.raises(Exception, match="not among the values given for region: South"):
+        counts.count_cells(df, run, specs, BANDS, values=VALUES | {"region": ["North"]}).collect()

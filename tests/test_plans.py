@@ -5,7 +5,7 @@ import re
 import pytest
 
 from cohortwise.operators.check_cells import check_cells
-from cohortwise.plans.monthly_run import check_variants, run_check_cells
+from cohortwise.plans.monthly_run import check_variants, run_check_cells, study_values
 from driver_queries import spark_queries as q
 from tests.conftest import SF
 from tests.plans import largest_method, plan_of
@@ -50,3 +50,20 @@ def test_too_many_columns_are_refused(spark):
     wide = people.selectExpr("*", *[f"1 AS x{i}" for i in range(200)])
     with pytest.raises(ValueError, match="columns"):
         check_cells(wide, check_variants(q.RUN))
+
+
+@pytest.mark.parametrize("name", ["full_run_18", "full_run_18_rows", "published_run_18", "monthly_counts_all"])
+def test_run_counts_cells_by_number(plain, name):
+    """The persons' changes reach the aggregation with one number as key, in order of age and month."""
+    plan = plan_of(q.queries()[name](plain, SF))
+    above, below = plan[:plan.rindex("Expand")], plan[plan.rindex("Expand"):]
+    assert "Sort [place" in below and "Generate explode" in below
+    sums = [line for line in above.splitlines() if "partial_sum(population" in line][-1]
+    assert re.search(r"keys=\[[^,\]]+\]", sums), sums
+
+
+def test_values_of_the_study_are_all_listed(spark):
+    people = q.study(spark, SF)
+    for name, values in study_values(q.lookup(spark, SF)).items():
+        found = {r[0] for r in people.select(name).distinct().collect()} - {None}
+        assert found <= set(values) and found, name
