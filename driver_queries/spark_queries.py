@@ -77,8 +77,21 @@ def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
         mapping.postcodes(spark, sf_dir),
         mapping.area_names(spark, sf_dir),
     )
-    return mapping.stored(spark, sf_dir, "areas", table, ["part", "nation"],
-                          mapping._area_columns("spark"))
+    written = mapping.stored(spark, sf_dir, "areas", table, ["part", "nation"],
+                             mapping._area_columns("spark"))
+    values_of(written)
+    return written
+
+
+_values: dict[tuple[str, ...], dict[str, list[str]]] = {}
+
+
+def values_of(written: DataFrame) -> dict[str, list[str]]:
+    """``study_values`` of a written lookup, read once: another lookup has other files."""
+    files = tuple(sorted(written.inputFiles()))
+    if files not in _values:
+        _values[files] = study_values(written)
+    return _values[files]
 
 
 def study(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +103,7 @@ def study_counts(spark: SparkSession, sf_dir: str, run: RunConfig) -> DataFrame:
     """The counts of a whole run."""
     areas_of = lookup(spark, sf_dir)
     people = study_population(mapping.raw_persons(spark, sf_dir), areas_of)
-    return all_counts(people, run, study_values(areas_of))
+    return all_counts(people, run, values_of(areas_of))
 
 
 def study_without_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
