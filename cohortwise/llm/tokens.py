@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 
 CACHE_WORDS = 400_000
-_MARK = "<|endoftext|>"
-# Latin letters of ASCII and Latin-1 in UTF-8, and a sign that is a token of its own after them.
-_SIMPLE = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]?)")
+# Latin letters of ASCII and Latin-1 in UTF-8, and signs of ASCII, that are one token run after them.
+_SIMPLE = re.compile(
+    rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -25,13 +26,38 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
+class _Words(dict):
+    """Ids of lower-case words; one that is not known is encoded when it is asked for.
+
+    Words are kept in two halves of ``CACHE_WORDS`` / 2: when the newer is full it becomes the older,
+    whose words come back when they are met again, and those not met in the meantime are forgotten.
+    """
+
+    def __init__(self, encode: Callable[[bytes], bytes]):
+        super().__init__()
+        self.encode = encode
+        self.older: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        self[word] = ids
+        return ids
+
+    def bound(self) -> None:
+        if len(self) > CACHE_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+
+
 class WordTokenizer:
     """Encodes texts word by word, remembering the ids of words it has met.
 
     Right for byte-level tokenizers with word ends that lower-case, never join ids over white space,
-    and split letters from signs.  A word of plain letters goes to the model at once; any other
-    is encoded with all rules of the file; a text with something like a special token is encoded
-    whole.  Ids come as little-endian unsigned 32-bit values.
+    and split letters from signs.  A word of plain letters goes to the model at once, and signs
+    after it are looked up; any other is encoded with all rules of the file; a text with something
+    like a special token is encoded whole.  Ids come as little-endian unsigned 32-bit values.
     """
 
     def __init__(self, path: str):
@@ -40,54 +66,36 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.mark = self.tokenizer.token_to_id(_MARK)
-        self.known: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        self.known = _Words(self._ids)
 
     def whole(self, text: bytes) -> bytes:
         ids = self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _stem(self, word: bytes) -> bytes:
-        low = word if word.isascii() else word.decode("utf-8").lower().encode()
-        ids = self.stems.get(low)
-        if ids is None:
-            tokens = self.model.tokenize(low.decode("latin-1").translate(_LETTERS))
-            ids = self.stems[low] = array("I", [t.id for t in tokens]).tobytes()
-        return ids
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Encode new words; those that are not plain a thousand in one text, parted by a mark."""
-        other = []
-        signs = {b"": b"", b".": self.whole(b"."), b",": self.whole(b",")}
-        for word in words:
-            plain = _SIMPLE.fullmatch(word)
-            if plain:
-                self.known[word] = self._stem(plain[1]) + signs[plain[2]]
-            else:
-                other.append(word)
-        for at in range(0, len(other), 1000):
-            part = other[at : at + 1000]
-            joined = _MARK.encode().join(part).decode("utf-8")
-            ids = np.array(
-                self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids,
-                dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark) * 4
-            raw = ids.tobytes()
-            begins, ends = [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]
-            for word, b, e in zip(part, begins, ends, strict=True):
-                self.known[word] = raw[b:e]
+    def _letters(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _ids(self, word: bytes) -> bytes:
+        """Ids of a word not yet known, by way of its letters without signs and in lower case."""
+        if word.isalpha():  # ASCII letters are their own in the vocabulary
+            return self._letters(word.decode("ascii"))
+        plain = _SIMPLE.fullmatch(word)
+        if not plain:
+            return self.whole(word)
+        stem, signs = plain.groups()
+        if signs:
+            return self.known[stem] + self.known[signs]
+        low = word.decode("utf-8").lower().encode()
+        if low != word:
+            return self.known[low]
+        return self._letters(low.decode("latin-1").translate(_LETTERS))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        self.known.bound()
+        ids_of = self.known.__getitem__
         # bytes.lower() is for ASCII alone; the tokenizer's rules do the rest.
-        parts = [None if b"<|" in t else t.lower().split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-            self.stems.clear()
-        known = self.known
-        self._learn(set().union(*[p for p in parts if p]).difference(known))
-        return [self.whole(t) if p is None else b"".join(map(known.__getitem__, p))
-                for t, p in zip(texts, parts, strict=True)]
+        return [self.whole(t) if b"<|" in t else b"".join(map(ids_of, t.lower().split()))
+                for t in texts]
 
 
 _loaded: dict[str, WordTokenizer] = {}

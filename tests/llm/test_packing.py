@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cohortwise.llm import packing
+from cohortwise.llm import packing, tokens
 from cohortwise.llm.queries import op6_packing, tokenizer_path
 from cohortwise.llm.tokens import WordTokenizer
 from tests.conftest import SF
@@ -161,3 +161,41 @@ def test_cut_pieces_hold_their_ids(spark):
         assert whole == bytes(tokenizer.whole(rows[doc][1].encode())) + b"\x02\0\0\0"
     sequences = {r.sequence_id for r in got}
     assert sum(r.length for r in got) > 0.95 * packing.WINDOW * (len(sequences) - 1)
+
+
+class CountedModel:
+    def __init__(self, model):
+        self.model, self.calls = model, Counter()
+
+    def tokenize(self, letters):
+        self.calls[letters] += 1
+        return self.model.tokenize(letters)
+
+
+def test_frequent_words_are_encoded_once_however_many_rare_ones_pass(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 200)
+    tokenizer = WordTokenizer(tokenizer_path())
+    tokenizer.model = counted = CountedModel(tokenizer.model)
+    for i in range(40):
+        rare = " ".join(chr(97 + i % 26) * (2 + i // 26) + chr(97 + j) for j in range(26))
+        text = f"Often {rare} often, OFTEN... (often".encode()
+        assert tokenizer.encode([text]) == [tokenizer.whole(text)]
+        assert len(tokenizer.known) + len(tokenizer.known.older) <= 300
+    assert counted.calls["often"] == 1 and len(counted.calls) > 1000
+
+
+def test_signs_after_letters_need_no_rules_of_the_file():
+    tokenizer = WordTokenizer(tokenizer_path())
+    signs = ["...", "$$$", "',", ")\"", "*", "!?", "'", "_-", "`~{|}", "'.'"]
+    texts = [f"{w}{s}".encode() for s in signs for w in ("abc", "Étéà", "don", "x")]
+    want = [tokenizer.whole(t) for t in texts]
+    ruled = Counter()
+    whole = tokenizer.whole
+
+    def counted(text):
+        ruled[text] += 1
+        return whole(text)
+
+    tokenizer.whole = counted
+    assert tokenizer.encode(texts) == want
+    assert ruled == Counter(s.encode() for s in signs)
