@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +25,10 @@ SHARD_WORDS = 4_000_000
 HELD_WORDS = 6_000_000
 BUCKET_WORDS, FEWEST_BUCKETS = 1 << 19, 64
 FEWEST_BITS, MOST_BITS = 1 << 16, 1 << 28
+#: Bits of a hash that candidates are named by; what shares them is counted together and told apart at the end.
+NAME_BITS = 40
+#: Where in a name its bits in a filter are read: a phrase that isn't a candidate has to meet three set ones.
+PROBES = (0, 6, 12)
 
 #: A-Z to a-z, a tab to a space, and what ends a piece to a byte that UTF-8 never holds.
 _BREAK = b"\xff"
@@ -47,16 +52,84 @@ class Shard:
         self.words += int(np.count_nonzero(run))
         self._runs += [run, np.zeros(1, np.int32)]
 
+    def buckets(self, fewest: int) -> int:
+        """Into how many hash ranges this language is dealt (a power of two)."""
+        while fewest * BUCKET_WORDS < self.total:
+            fewest *= 2
+        return fewest
+
     def ids(self) -> np.ndarray:
         return np.concatenate([*self._runs, np.zeros(MAX_WORDS, np.int32)])
 
     def vocabulary(self) -> tuple[list[bytes], np.ndarray]:
         """All words by number, and their hashes, which depend on the language."""
         words = list(self._number)
-        hashes = np.zeros(len(words), np.uint64)
-        hashes[1:] = word_hashes([b" ".join(words[1:])])[0]
-        seed = mixed(word_hashes([b"l" + self.lang.encode().hex().encode()])[0])
-        return words, mixed(hashes ^ seed)
+        return words, np.concatenate([np.zeros(1, np.uint64), hashes_of(self.lang, words[1:])])
+
+
+def hashes_of(lang: str, words: list[bytes]) -> np.ndarray:
+    seed = mixed(word_hashes([b"l" + lang.encode().hex().encode()])[0])
+    return mixed(word_hashes([b" ".join(words)])[0] ^ seed)
+
+
+def names_of(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(64 - NAME_BITS)
+
+
+def buckets_of(names: np.ndarray, buckets: int) -> np.ndarray:
+    return (names >> np.uint64(NAME_BITS - buckets.bit_length() + 1)).astype(np.int64)
+
+
+def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unsigned values, the low seven bits first, and where each one's bytes end."""
+    values = values.astype(np.uint64)
+    sizes = np.ones(len(values), np.int64)
+    for bits in range(7, 64, 7):
+        longer = values >> np.uint64(bits) > 0
+        if not longer.any():
+            break
+        sizes += longer
+    ends = np.cumsum(sizes)
+    out = np.empty(ends[-1] if len(ends) else 0, np.uint8)
+    for j in range(sizes.max(initial=0)):
+        has = np.flatnonzero(sizes > j)
+        more = (sizes[has] > j + 1).astype(np.uint8) << 7
+        out[(ends - sizes)[has] + j] = (values[has] >> np.uint64(7 * j)).astype(np.uint8) & 127 | more
+    return out, ends
+
+
+def from_varints(data: np.ndarray) -> np.ndarray:
+    ends = np.flatnonzero(data < 128)
+    starts = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1])[: len(ends)]
+    values = (data[starts] & 127).astype(np.uint64)
+    for j in range(1, (ends - starts).max(initial=0) + 1):
+        has = np.flatnonzero(ends - starts >= j)
+        values[has] |= (data[starts[has] + j] & 127).astype(np.uint64) << np.uint64(7 * j)
+    return values
+
+
+def packed_blocks(names: np.ndarray, excess: np.ndarray, edges: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Ascending names and their excess in a block for each two edges: the first name in 8 bytes, then steps."""
+    steps, step_ends = varints(np.diff(names, prepend=names[:1]))
+    beyond, beyond_ends = varints(excess)
+    step_ends, beyond_ends = [np.concatenate([np.zeros(1, np.int64), x]) for x in (step_ends, beyond_ends)]
+    heads = names.astype("<u8")
+    return ([heads[lo : lo + 1].tobytes() + steps[step_ends[lo + 1] : step_ends[hi]].tobytes()
+             for lo, hi in zip(edges[:-1], edges[1:], strict=True)],
+            [beyond[beyond_ends[lo] : beyond_ends[hi]].tobytes()
+             for lo, hi in zip(edges[:-1], edges[1:], strict=True)])
+
+
+def unpacked_blocks(hashes: list[bytes], excess: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The names and the excess of several blocks, block by block."""
+    beyond = from_varints(np.frombuffer(b"".join(excess), np.uint8)).astype(np.int64)
+    # A block's first step is a byte of nothing, so that there are as many steps as names.
+    steps = np.frombuffer(b"".join([b"\0" + h[8:] for h in hashes]), np.uint8)
+    sums = np.cumsum(from_varints(steps))
+    begins = np.cumsum([0, *(len(h) - 7 for h in hashes[:-1])])
+    first = np.cumsum(steps < 128)[begins] - 1
+    heads = np.frombuffer(b"".join([h[:8] for h in hashes]), "<u8")
+    return np.repeat(heads - sums[first], np.diff(first, append=len(sums))) + sums, beyond
 
 
 def shards(batches: Iterator[pa.RecordBatch], shard_words: int, held_words: int) -> Iterator[Shard]:
@@ -82,12 +155,12 @@ def shards(batches: Iterator[pa.RecordBatch], shard_words: int, held_words: int)
     yield from open_.values()
 
 
-Keep = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Keep = Callable[[int, np.ndarray, np.ndarray], np.ndarray]
 
 
 def frequent_phrases(ids: np.ndarray, hashes: np.ndarray, single: np.ndarray, most_words: int,
                      keep: Keep) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Level by level, the phrases that ``keep`` (of hashes and counts) lets through.
+    """Level by level, the phrases that ``keep`` (of number of words, hashes and counts) lets through.
 
     ``single`` says which words may be in a phrase at all.  Yields the number of words, first place, count and hash of each.  A phrase is looked at only where the
     phrases without its last and without its first word have been let through.
@@ -105,7 +178,7 @@ def frequent_phrases(ids: np.ndarray, hashes: np.ndarray, single: np.ndarray, mo
         first = np.empty(len(counts), np.int64)
         first[phrase[::-1]] = at[::-1]
         level = mixed(level[here[first]] * _STEP + hashes[ids[first + k - 1]])
-        good = keep(level, counts)
+        good = keep(k, level, counts)
         yield k, first[good], counts[good], level[good]
         here = np.full(len(ids), -1, np.int64)
         number = np.where(good, np.arange(len(good)), -1)
@@ -127,126 +200,196 @@ def word_counts(docs: DataFrame, shard_words: int, held_words: int) -> DataFrame
         F.sum("n").alias("n"))
 
 
+def word_names(words: DataFrame) -> DataFrame:
+    """The names of words (lang, word) as shards know them: hash."""
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by_lang: defaultdict[str, list[bytes]] = defaultdict(list)
+            for lang, word in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+                by_lang[lang].append(word)
+            for lang, own in by_lang.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names_of(hashes_of(lang, own)).astype(np.int64))], names=["hash"])
+
+    return words.select("lang", "word").mapInArrow(named, "hash long")
+
+
 def locally_frequent(docs: DataFrame, min_count: int, most_words: int, shard_words: int,
-                     held_words: int, buckets: int) -> DataFrame:
-    """What is frequent in some shard: lang, bucket, hashes, excess (both packed), missed.
+                     held_words: int, buckets: int, known: Sequence[Broadcast] = ()) -> DataFrame:
+    """What is frequent in some shard: lang, bucket, hashes, excess (both packed), missed, buckets.
 
     A shard with the share s of its language's words asks for t = ceil(min_count * s) occurrences; excess is what
-    a phrase has beyond t - 1.  Hashes are dealt to ``buckets`` (a power of two) by their leading bits; a
-    shard writes one row for each that it has any of.  A row without a bucket has t - 1 as missed.
+    a phrase has beyond t - 1.  ``known`` has filters of the words, then of the pairs, ..., that may be frequent
+    in all: only phrases made of those are looked at, and only those longer than the last are given.
+    Names of phrases are dealt by their leading bits to ``buckets`` (a power of two), or more for a language of
+    many words; a shard writes one row for each that it has any of.  A row without a bucket has t - 1 as missed
+    and the number of buckets.
     """
-    names = ["lang", "bucket", "hashes", "excess", "missed"]
-    shift = np.uint64(64 - buckets.bit_length() + 1)
+    names = ["lang", "bucket", "hashes", "excess", "missed", "buckets"]
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, shard_words, held_words):
             if not shard.words:
                 continue
+            dealt = shard.buckets(buckets)
             least = -(-min_count * shard.words // shard.total)
             ids, (words, hashes) = shard.ids(), shard.vocabulary()
             single = np.bincount(ids, minlength=len(words)) >= least
-            found = [(level, counts - (least - 1)) for _, _, counts, level in frequent_phrases(
-                ids, hashes, single, most_words, lambda _, n: n >= least)]
+            if known:
+                single &= in_filter(known[0].value, names_of(hashes))
+
+            def keep(k: int, level: np.ndarray, n: np.ndarray, least: int = least) -> np.ndarray:
+                good = n >= least
+                if k <= len(known):
+                    good[good] = in_filter(known[k - 1].value, names_of(level[good]))
+                return good
+
+            found = [(names_of(level), counts - (least - 1)) for k, _, counts, level in frequent_phrases(
+                ids, hashes, single, most_words, keep) if k > len(known)]
             level = np.concatenate([np.zeros(0, np.uint64), *[x for x, _ in found]])
-            excess = np.concatenate([np.zeros(0, np.int64), *[x for _, x in found]]).astype("<i4")
+            excess = np.concatenate([np.zeros(0, np.int64), *[x for _, x in found]])
+            del found, ids, words, hashes
             order = np.argsort(level)
             level, excess = level[order], excess[order]
-            bucket = (level >> shift).astype(np.int64)
+            bucket = buckets_of(level, dealt)
             edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-            packed = [[x[lo:hi].tobytes() for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
-                      for x in (level, excess)]
+            packed = packed_blocks(level, excess, edges)
+            none = [None] * len(packed[0])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([shard.lang] * (len(packed[0]) + 1), pa.string()),
+                [pa.array([shard.lang] * (len(none) + 1), pa.string()),
                  pa.array([*bucket[edges[:-1]].tolist(), None], pa.int64()),
                  pa.array([*packed[0], None], pa.binary()), pa.array([*packed[1], None], pa.binary()),
-                 pa.array([None] * len(packed[0]) + [least - 1], pa.int64())], names=names)
+                 pa.array([*none, least - 1], pa.int64()), pa.array([*none, dealt], pa.int64())], names=names)
 
     return docs.mapInArrow(
-        mine, "lang string, bucket long, hashes binary, excess binary, missed long")
+        mine, "lang string, bucket long, hashes binary, excess binary, missed long, buckets long")
 
 
 def united(local: DataFrame, min_count: int) -> DataFrame:
-    """The hashes of all phrases whose count may reach ``min_count``, for all that single shards know.
+    """The names of all phrases whose count may reach ``min_count``, for all that single shards know.
 
-    A phrase has in a shard the count given, or t - 1 at most.  A task unites one bucket at a time.
+    A phrase has in a shard the count given, or t - 1 at most.  A task unites one bucket at a time, to which
+    every shard that may miss any (fewer than ``min_count`` of a language) sends how many.  ``local`` is read once.
     """
-    floor = local.where("bucket IS NULL").groupBy("lang").agg(F.sum("missed").alias("floor"))
-    blocks = local.where("bucket IS NOT NULL").drop("missed").join(floor, "lang").select(
-        "bucket", "lang", "hashes", "excess", "floor")
+    every = F.explode(F.when(F.col("bucket").isNotNull(), F.array("bucket")).when(
+        F.col("missed") > 0, F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)))
+    blocks = local.select(every.alias("bucket"), "lang", "hashes", "excess", "missed")
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done() -> pa.RecordBatch:
-            level = np.frombuffer(b"".join(h for h, _ in held), np.int64)
-            excess = np.frombuffer(b"".join(e for _, e in held), "<i4").astype(np.int64)
+            level, excess = unpacked_blocks([h for h, _ in held], [e for _, e in held])
             order = np.argsort(level, kind="stable")
             level, excess = level[order], excess[order]
             first = np.flatnonzero(np.concatenate(([True], level[1:] != level[:-1])))
-            hopeful = np.add.reduceat(excess, first) + own[2] >= min_count
-            return pa.RecordBatch.from_arrays([pa.array(level[first][hopeful])], names=["hash"])
+            hopeful = np.add.reduceat(excess, first) + floor >= min_count
+            return pa.RecordBatch.from_arrays([pa.array(level[first][hopeful].astype(np.int64))], names=["hash"])
 
-        own, held = None, []
+        own, held, floor = None, [], 0
         for batch in batches:
-            for bucket, lang, hashes, excess, floor in zip(
+            for bucket, lang, hashes, excess, missed in zip(
                     *[batch.column(i).to_pylist() for i in range(5)], strict=True):
-                if held and own[:2] != (bucket, lang):
-                    yield done()
-                    held = []
-                own = (bucket, lang, floor)
-                held.append((hashes, excess))
+                if own != (bucket, lang):
+                    if held:
+                        yield done()
+                    own, held, floor = (bucket, lang), [], 0
+                if hashes is None:
+                    floor += missed
+                else:
+                    held.append((hashes, excess))
         if held:
             yield done()
 
-    return blocks.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(
+    return blocks.repartition("bucket", "lang").sortWithinPartitions("bucket", "lang").mapInArrow(
         unite, "hash long")
 
 
 def filter_of(candidates: DataFrame) -> np.ndarray:
-    """A bit filter over the column ``hash``: 16 bits a candidate, ``MOST_BITS`` (32 MB) at most."""
+    """A bit filter over the names in ``hash``: 16 bits a candidate, ``MOST_BITS`` (32 MB) at most."""
     bits = FEWEST_BITS
     n = candidates.count()
     while bits < min(16 * n, MOST_BITS):
         bits *= 2
-    table = bit_words(candidates, F.col("hash"), bits).toArrow()
+    read = candidates.select(F.explode(F.array(*[F.shiftright("hash", by) for by in PROBES])).alias("hash"))
+    table = bit_words(read, F.col("hash"), bits).toArrow()
     words = np.zeros(bits // 64, np.int64)
     words[table["word"].to_numpy()] = table["mask"].to_numpy()
     return words.view(np.uint64)
 
 
-def in_filter(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bucket = hashes & np.uint64(len(words) * 64 - 1)
-    return (words[(bucket >> np.uint64(6)).astype(np.int64)] >> (bucket & np.uint64(63))
-            & np.uint64(1)).astype(bool)
+def in_filter(words: np.ndarray, names: np.ndarray) -> np.ndarray:
+    inside = np.arange(len(names))
+    for by in PROBES:
+        bucket = names[inside] >> np.uint64(by) & np.uint64(len(words) * 64 - 1)
+        inside = inside[(words[(bucket >> np.uint64(6)).astype(np.int64)] >> (bucket & np.uint64(63))
+                         & np.uint64(1)).astype(bool)]
+    out = np.zeros(len(names), bool)
+    out[inside] = True
+    return out
 
 
-def candidate_counts(docs: DataFrame, candidates: DataFrame, most_words: int, shard_words: int,
-                     held_words: int) -> DataFrame:
-    """Occurrences over all texts of every phrase that the candidates' filter lets through: lang, phrase, k, a.
+def candidate_counts(docs: DataFrame, known: Sequence[Broadcast], min_count: int, most_words: int,
+                     shard_words: int, held_words: int, buckets: int) -> DataFrame:
+    """The phrases that occur ``min_count`` times or more in all texts: lang, phrase, k, a.
 
-    The filter may let others through as well; they are counted as fully.
+    ``known`` has the filters of words, of pairs, ..., the last for all longer phrases.  A filter may let others
+    through as well; they are counted as fully.  A shard writes its phrases (by line ends, which none holds) and
+    their counts in blocks of the buckets that mining has; a task adds up one bucket at a time.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(filter_of(candidates))
-
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
+        held = [x.value for x in known]
         for shard in shards(batches, shard_words, held_words):
+            if not shard.words:
+                continue
             words, hashes = shard.vocabulary()
             ids = shard.ids()
-            for k, first, n, _ in frequent_phrases(
-                    ids, hashes, np.ones(len(words), bool), most_words,
-                    lambda level, _: in_filter(held, level)):
-                for at in range(0, len(first), 1 << 16):
-                    places = ids[first[at : at + (1 << 16), None] + np.arange(k)].tolist()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([shard.lang] * len(places), pa.string()),
-                         pa.array([b" ".join([words[i] for i in p]) for p in places],
-                                  pa.binary()).cast(pa.string()),
-                         pa.array([k] * len(places), pa.int32()),
-                         pa.array(n[at : at + (1 << 16)], pa.int64())],
-                        names=["lang", "phrase", "k", "a"])
-
-    return docs.mapInArrow(tally, "lang string, phrase string, k int, a long").groupBy(
-        "lang", "phrase", "k").agg(F.sum("a").alias("a"))
+            found = [(first, n, np.full(len(n), k), buckets_of(names_of(level), shard.buckets(buckets)))
+                     for k, first, n, level in frequent_phrases(
+                ids, hashes, in_filter(held[0], names_of(hashes)), most_words,
+                lambda k, level, _: in_filter(held[min(k, len(held)) - 1], names_of(level)))]
+            if not found:
+                continue
+            first, n, size, bucket = [np.concatenate(x) for x in zip(*found, strict=True)]
+            order = np.argsort(bucket, kind="stable")
+            for at in range(0, len(order), 1 << 16):
+                own = order[at : at + (1 << 16)]
+                places = np.minimum(first[own, None] + np.arange(most_words), len(ids) - 1)
+                phrases = [b" ".join([words[i] for i in p[:k]])
+                           for p, k in zip(ids[places].tolist(), size[own].tolist(), strict=True)]
+                data, ends = varints(n[own])
+                ends = np.concatenate([np.zeros(1, np.int64), ends])
+                edges = np.flatnonzero(np.diff(bucket[own], prepend=-1, append=-1))
+                cuts = list(zip(edges[:-1], edges[1:], strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard.lang] * len(cuts), pa.string()), pa.array(bucket[own][edges[:-1]], pa.int64()),
+                     pa.array([b"\n".join(phrases[lo:hi]) for lo, hi in cuts], pa.binary()),
+                     pa.array([data[ends[lo] : ends[hi]].tobytes() for lo, hi in cuts], pa.binary())],
+                    names=["lang", "bucket", "phrases", "counts"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            kept = [(p, a) for p, a in total.items() if a >= min_count]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([own[1]] * len(kept), pa.string()),
+                 pa.array([p for p, _ in kept], pa.binary()).cast(pa.string()),
+                 pa.array([p.count(b" ") + 1 for p, _ in kept], pa.int32()),
+                 pa.array([a for _, a in kept], pa.int64())], names=["lang", "phrase", "k", "a"])
+
+        own, total = None, defaultdict(int)
+        for batch in batches:
+            for lang, bucket, phrases, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if own != (bucket, lang):
+                    if own:
+                        yield done()
+                    own, total = (bucket, lang), defaultdict(int)
+                for phrase, n in zip(phrases.split(b"\n"), from_varints(np.frombuffer(counts, np.uint8)).tolist(),
+                                     strict=True):
+                    total[phrase] += n
+        if own:
+            yield done()
+
+    blocks = docs.mapInArrow(tally, "lang string, bucket long, phrases binary, counts binary")
+    return blocks.repartition("bucket", "lang").sortWithinPartitions("bucket", "lang").mapInArrow(
+        add_up, "lang string, phrase string, k int, a long")
 
 
 def scored_cuts(counted: DataFrame, freq: DataFrame, totals: DataFrame) -> DataFrame:
@@ -293,13 +436,14 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     more, overlapping ones included.
 
     Partitioning (SON): every shard is mined completely at its share of the support, what is frequent in some
-    shard is united (as hashes in blocks of a hash range, of which there are as many as the words
+    shard is united (as parts of hashes in blocks of a hash range, of which there are as many as the words
     ask for, and with an upper bound of its count, which most of the union fails), and the candidates are
     counted exactly over all texts.  A phrase with ``min_count`` occurrences has its share in
-    some shard, so none is lost.  Beyond ``min_count`` shards a share is a single occurrence: then the
-    first pass is a count of all phrases by their hashes, and its bound their number itself.  Candidates reach
-    the second pass as a bit filter of at most 32 MB.  What it lets through wrongly is counted, found
-    rare and dropped, so it costs time and never a result.
+    some shard, so none is lost.  Beyond ``min_count`` shards a share is a single occurrence: then mining
+    is a count of all phrases by their hashes, and its bound their number itself.  So that this stays smaller
+    than the texts, pairs are mined first, of words with ``min_count`` occurrences, and then longer phrases, of
+    pairs that are candidates.  Candidates reach the passes after as bit filters of at most 32 MB each.
+    What these let through wrongly is counted, found rare and dropped, so it costs time and never a result.
 
     Returns lang, rank (from 1), phrase, a (its count), l and r (counts of the two parts of the lowest
     cut), n (words of the language) and score = floor(1000 a n / (l r)), by score, count (both descending) and
@@ -313,16 +457,14 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
                         F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = written(word_counts(texts, shard_words, held_words))
     totals = written(words.groupBy("lang").agg(F.sum("n").alias("n")))
-    buckets = FEWEST_BUCKETS
-    n_words = totals.agg(F.sum("n")).first()[0] or 0
-    while buckets * BUCKET_WORDS < n_words:
-        buckets *= 2
-    local = written(locally_frequent(
-        texts.join(totals, "lang").select("lang", "text", "n"), min_count, max_words, shard_words,
-        held_words, buckets))
-    candidates = written(united(local, min_count))
-    counted = written(candidate_counts(texts, candidates, max_words, shard_words, held_words)
-                      .where(F.col("a") >= min_count))
+    sized = texts.join(totals, "lang").select("lang", "text", "n")
+    share = docs.sparkSession.sparkContext.broadcast
+    known = [share(filter_of(word_names(words.where(F.col("n") >= min_count))))]
+    for most in [2, max_words][: max_words - 1]:
+        local = locally_frequent(sized, min_count, most, shard_words, held_words, FEWEST_BUCKETS, tuple(known))
+        known.append(share(filter_of(written(united(local, min_count)))))
+    counted = written(candidate_counts(
+        sized, tuple(known), min_count, max_words, shard_words, held_words, FEWEST_BUCKETS))
     freq = counted.select("lang", "phrase", "a").unionByName(
         words.where(F.col("n") >= min_count).select("lang", F.col("word").alias("phrase"),
                                                     F.col("n").alias("a")))

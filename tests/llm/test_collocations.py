@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from cohortwise.llm import collocations as c
@@ -96,3 +97,54 @@ def test_local_support_is_proportional(spark):
     assert [r.missed for r in rows if r.bucket is None] == [4]
     assert [(len(r.hashes), int.from_bytes(r.excess, "little")) for r in rows if r.bucket is not None] == [(8, 6)]
     assert c.united(local, 10).count() == 1 and c.united(local, 11).count() == 0
+
+
+@pytest.mark.parametrize("top", [1, 1 << 7, 1 << 20, 1 << 40])
+def test_blocks_are_read_as_they_were_packed(top):
+    rng = np.random.default_rng(top)
+    blocks = [(np.unique(rng.integers(0, top, n).astype(np.uint64)), rng) for n in (1, 400, 3)]
+    names, excess = [x for x, _ in blocks], [rng.integers(1, 1 << 34, len(x)) for x, _ in blocks]
+    packed = [c.packed_blocks(x, e, np.array([0, len(x)])) for x, e in zip(names, excess, strict=True)]
+    got = c.unpacked_blocks([h for p, _ in packed for h in p], [e for _, p in packed for e in p])
+    assert got[0].tolist() == np.concatenate(names).tolist()
+    assert got[1].tolist() == np.concatenate(excess).tolist()
+    cut = c.packed_blocks(names[1], excess[1], np.array([0, 1, len(names[1])] if top > 1 else [0, 1]))
+    assert c.unpacked_blocks(*cut)[0].tolist() == names[1].tolist()
+
+
+def test_mining_sends_less_than_the_texts_hold(spark, monkeypatch):
+    """Where a single occurrence is a shard's share, hardly any phrase is frequent and nothing is written twice."""
+    rng = random.Random(8)
+    rows = [(" ".join(f"word{int(rng.paretovariate(0.5)) % 5000}" for _ in range(400)), "en") for _ in range(60)]
+    rows += [("the frequent line of words", "en")] * 25
+    docs = documents(spark, [(i, t, lang, "s") for i, (t, lang) in enumerate(rows)]).repartition(4)
+    sent, tables = [], []
+    unite, write = c.united, c.written
+
+    def united(local, min_count):
+        sent.append(local.selectExpr("sum(length(hashes) + length(excess))").first()[0] or 0)
+        return unite(local, min_count)
+
+    def written(df):
+        tables.append(df.columns)
+        return write(df)
+
+    monkeypatch.setattr(c, "united", united)
+    monkeypatch.setattr(c, "written", written)
+    got = c.collocations(docs, min_count=25, shard_words=700, held_words=700)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 25)
+    assert sum(sent) < sum(len(t) for t, _ in rows)
+    assert not any("hashes" in columns for columns in tables)
+
+
+def test_shards_that_may_miss_a_phrase_count_in_the_bound(spark):
+    """Blocks of two shards in one language, with shares above a single occurrence, and a third that has none."""
+    rows = ["x y " * 5, "x y " * 4, "p q " * 3 + "p"]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(rows)]).selectExpr(
+        "lang", "text", "25L AS n").repartition(3, "text")
+    local = c.locally_frequent(docs, 10, 2, 1000, 1000, 64)
+    missed = [r.missed for r in local.collect() if r.bucket is None]
+    assert sorted(missed) == [2, 3, 3]
+    # Bounds: x y 5 + 4 and 2 that may be missed; y x 4 and 3 + 2; p q and q p 3 and 3 + 3.
+    assert c.united(local, 9).count() == 4 and c.united(local, 10).count() == 1
+    assert c.united(local, 11).count() == 1 and c.united(local, 12).count() == 0
